@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.operators import changefeed, quotient
+from tideline.operators import changefeed, heavykeys, quotient, regrid
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -67,3 +67,60 @@ WHERE n = 1 AND kind NOT IN ('d', 'del', 'delete')
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     """The rebuilt table with the change behind each row."""
     return changefeed.current_rows(table(spark, sf, "point_changes")).select("address", "time", "change_seq")
+
+
+# Problem 3: irregular readings onto a regular grid.
+
+
+@query("""
+WITH w AS (SELECT DISTINCT window_id, address, start_time, step_ns, n_slots FROM reading_windows WHERE step_ns > 0 AND n_slots > 0),
+s AS (SELECT window_id, address, start_time + k * step_ns AS slot_time
+      FROM (SELECT *, unnest(range(n_slots)) AS k FROM w WHERE address IS NOT NULL AND start_time IS NOT NULL)),
+f AS (SELECT DISTINCT w.window_id, w.start_time + ((p.time - w.start_time) // w.step_ns) * w.step_ns AS slot_time
+      FROM w JOIN simple_points p ON p.address = w.address AND p.time >= w.start_time AND p.time < w.start_time + w.step_ns * w.n_slots
+      WHERE p.payload IS NOT NULL)
+SELECT s.address, s.slot_time FROM s ANTI JOIN f USING (window_id, slot_time)
+""")
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Slots without a reading."""
+    grid = regrid.regular_grid(table(spark, sf, "simple_points"), table(spark, sf, "reading_windows"))
+    return grid.filter(F.col("missing")).select("address", "slot_time")
+
+
+@query()
+def p3_grid(spark: SparkSession, sf: str) -> DataFrame:
+    """Value, support and missing mark of every slot; empty slots estimated where support suffices."""
+    return regrid.regular_grid(table(spark, sf, "simple_points"), table(spark, sf, "reading_windows"), fill=True)
+
+
+# Problem 4: a few keys holding most records.
+
+
+@query("""
+SELECT address FROM simple_points WHERE address IS NOT NULL GROUP BY address
+HAVING count(*) >= 0.03 * (SELECT count(address) FROM simple_points)
+""")
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Addresses with at least 3 % of the rows."""
+    return heavykeys.heavy_keys(table(spark, sf, "simple_points"), 0.03).select("address")
+
+
+@query("""
+WITH u AS (
+  SELECT address, payload, CASE WHEN time < 0 THEN time::HUGEINT + 18446744073709551616 ELSE time::HUGEINT END AS t
+  FROM simple_points WHERE address IS NOT NULL),
+g AS (SELECT *, t - lag(t) OVER (PARTITION BY address ORDER BY t NULLS FIRST) AS gap FROM u),
+r AS (
+  SELECT address, count(*) AS points, min(t) AS f, max(t) AS l, max(gap) AS gap, count(payload) AS payloads,
+         CAST(sum(payload) AS VARCHAR) AS payload_sum, min(payload) AS lowest, max(payload) AS highest
+  FROM g GROUP BY address)
+SELECT address, points,
+       CAST(CASE WHEN f >= 9223372036854775808 THEN f - 18446744073709551616 ELSE f END AS BIGINT) AS first_time,
+       CAST(CASE WHEN l >= 9223372036854775808 THEN l - 18446744073709551616 ELSE l END AS BIGINT) AS last_time,
+       CAST(least(gap, 9223372036854775807) AS BIGINT) AS widest_gap, payloads, payload_sum, lowest, highest
+FROM r
+""")
+def p4_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact statistics of every address, times in unsigned order."""
+    stats = heavykeys.key_statistics(table(spark, sf, "simple_points"))
+    return stats.select("address", "points", "first_time", "last_time", "widest_gap", "payloads", F.col("payload_sum").cast("string").alias("payload_sum"), "lowest", "highest")
