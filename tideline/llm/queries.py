@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideline.llm import bpe, mixing
+from tideline.llm import bpe, mixing, subjects
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,3 +44,9 @@ def p7_mix(spark: SparkSession, sf: str) -> DataFrame:
 def p7_report(spark: SparkSession, sf: str) -> DataFrame:
     """Target and actual share of every source in the mix, and repeats used."""
     return mixing.mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets")).report
+
+
+@query()
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with the subjects that a substantial part of them is about."""
+    return subjects.subject_areas(*(table(spark, sf, t) for t in ("documents", "subjects", "subject_labels")))
