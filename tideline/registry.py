@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.operators import changefeed, heavykeys, quotient, regrid
+from tideline.operators import anomaly, changefeed, heavykeys, quotient, regrid
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -124,3 +124,19 @@ def p4_statistics(spark: SparkSession, sf: str) -> DataFrame:
     """Exact statistics of every address, times in unsigned order."""
     stats = heavykeys.key_statistics(table(spark, sf, "simple_points"))
     return stats.select("address", "points", "first_time", "last_time", "widest_gap", "payloads", F.col("payload_sum").cast("string").alias("payload_sum"), "lowest", "highest")
+
+
+# Problem 5: implausible spikes in measurements.
+
+
+@query()
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Implausible readings."""
+    tables = (table(spark, sf, t) for t in ("simple_points", "reading_windows", "units"))
+    return anomaly.implausible(*tables, only_found=True).select("seq")
+
+
+@query()
+def p5_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Every reading with its score, deviation and run, and the reason if it is implausible."""
+    return anomaly.implausible(*(table(spark, sf, t) for t in ("simple_points", "reading_windows", "units")))
