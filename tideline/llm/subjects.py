@@ -33,6 +33,8 @@ DIMENSIONS = 1 << 18
 RANK = 96
 #: Passes of subspace iteration.
 PASSES = 3
+#: The terms in most documents are multiplied as dense blocks of so many, over so many rows; the others as sparse ones.
+DENSE_TERMS, DENSE_ROWS = 8192, 512
 #: Documents that a term must be in; natural log of documents per document with the term, below which a term says nothing.
 LEAST_DOCUMENTS, LEAST_WEIGHT = 3, 1.0
 #: Labelled documents used at most, those with the least hash of doc_id.
@@ -108,7 +110,9 @@ class Space:
     def __init__(self, weights: np.ndarray):
         #: Position of a dimension among those with a weight, or -1.
         self.position = np.full(DIMENSIONS, -1, np.int32)
+        # Rising weights: the terms in most documents first.
         active = np.flatnonzero(weights > 0)
+        active = active[np.argsort(weights[active], kind="stable")]
         self.position[active] = np.arange(len(active))
         self.weights = weights[active].astype(np.float32)
         self.basis = np.zeros((len(active), 0), np.float32)
@@ -123,11 +127,28 @@ class Space:
         length = np.sqrt(np.bincount(rows, value * value, minlength=len(dims)))
         return rows, at, (value / np.maximum(length, 1e-12)[rows]).astype(np.float32)
 
-    def project(self, rows: np.ndarray, at: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
-        out = np.zeros((n, self.basis.shape[1]), np.float32)
-        if len(rows):
-            start = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-            out[rows[start]] = np.add.reduceat(self.basis[at] * value[:, None], start, axis=0)
+    def project(self, rows: np.ndarray, at: np.ndarray, value: np.ndarray, n: int, gram: np.ndarray | None = None) -> np.ndarray:
+        """The rows in the basis; to gram is added what the rows make of it, the transposed rows times that."""
+        rank = self.basis.shape[1]
+        out = np.zeros((n, rank), np.float32)
+        most = min(DENSE_TERMS, len(self.weights))
+        rare = np.flatnonzero(at >= most)
+        rare_rows, rare_at, rare_value = rows[rare], at[rare], value[rare]
+        if len(rare):
+            for j in range(rank):
+                out[:, j] = np.bincount(rare_rows, rare_value * self.basis[rare_at, j], minlength=n)
+        for low in range(0, n, DENSE_ROWS):
+            high = min(n, low + DENSE_ROWS)
+            a, b = np.searchsorted(rows, [low, high])
+            often = at[a:b] < most
+            dense = np.zeros((high - low, most), np.float32)
+            dense[rows[a:b][often] - low, at[a:b][often]] = value[a:b][often]
+            out[low:high] += dense @ self.basis[:most]
+            if gram is not None:
+                gram[:most] += dense.T @ out[low:high]
+        if gram is not None and len(rare):
+            for j in range(rank):
+                gram[:, j] += np.bincount(rare_at, rare_value * out[rare_rows, j], minlength=len(gram))
         return out
 
     def embed(self, dims: pa.ListArray, counts: pa.ListArray) -> np.ndarray:
@@ -195,10 +216,7 @@ def fit_space(vectors: DataFrame) -> Space:
             own = sent.value
             total = np.zeros(own.basis.shape, np.float64)
             for piece in _pieces(batches, 16384):
-                rows, at, value = own.sparse(piece.column("dims"), piece.column("counts"))
-                y = own.project(rows, at, value, piece.num_rows)
-                for j in range(y.shape[1]):
-                    total[:, j] += np.bincount(at, value * y[rows, j], minlength=len(total))
+                own.project(*own.sparse(piece.column("dims"), piece.column("counts")), piece.num_rows, total)
             return total
 
         total = _summed(vectors.select("dims", "counts"), gram, (size, rank))
