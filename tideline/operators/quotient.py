@@ -30,7 +30,7 @@ BLOCK_ROWS = 1 << 20
 #: Rows from which on whole shards are put into one table.
 TABLE_ROWS = 1 << 18
 #: Bits of the quotient that name the shard; the next bits name the home slot.
-SHARD_BITS = 32
+SHARD_BITS = 31
 
 _LAST = np.iinfo(np.int64).max
 
@@ -100,73 +100,74 @@ def _words(batch: pa.Table, column: str) -> np.ndarray:
     return batch.column(column).combine_chunks().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64, copy=False).view(np.uint64)
 
 
-def _first(slot: np.ndarray, order: np.ndarray, tie: np.ndarray) -> np.ndarray:
-    """Marks one row of each slot: least order, then least tie, then the first seen."""
-    size = int(slot.max()) + 1 if len(slot) else 0
-    marked = np.ones(len(slot), bool)
-    for by in (order, tie, np.arange(len(slot))):
-        least = np.full(size, _LAST)
-        rows = np.flatnonzero(marked)
-        np.minimum.at(least, slot[rows], by[rows])
-        marked[rows] = by[rows] == least[slot[rows]]
+def _least(slot: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """Least value in the slot of each row."""
+    least = np.full(int(slot.max()) + 1 if len(slot) else 0, _LAST)
+    np.minimum.at(least, slot, by)
+    return least[slot]
+
+
+def _first(slot: np.ndarray, order: np.ndarray, rows: pa.Table, index: np.ndarray) -> np.ndarray:
+    """Marks one row of each slot: least order, of equals the one whose columns written out come first; index: their places in rows."""
+    marked = order == _least(slot, order)
+    at = np.flatnonzero(marked)
+    tied = at[np.bincount(slot[at], minlength=int(slot.max()) + 1 if len(slot) else 0)[slot[at]] > 1]
+    if len(tied):
+        text = np.array([repr(r) for r in rows.take(pa.array(index[tied])).to_pylist()], object)
+        place = np.empty(len(tied), np.int64)
+        place[np.argsort(text, kind="stable")] = np.arange(len(tied))
+        marked[tied] = place == _least(slot[tied], place)
     return marked
 
 
 def _deliveries(df: DataFrame, keys: tuple[str, str], order: str, later: bool) -> DataFrame:
-    shard, settled, seq, tie = fresh(df, "__shard", "__settled", "__seq", "__tie")
+    (shard,) = fresh(df, "__shard")
     columns = df.columns
-    plain = [c for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
-    # A row without an order value counts as written last.
-    at = df.withColumn(seq, F.coalesce(F.col(f"`{order}`").cast("long"), F.lit(_LAST)))
-    at = at.withColumn(tie, F.lit(0).cast("long") if later else F.xxhash64(*(F.col(f"`{c}`") for c in plain)))
     whole = F.col(f"`{keys[0]}`").isNotNull() & F.col(f"`{keys[1]}`").isNotNull()
-    at = at.filter(whole) if later else at
-    schema = T.StructType([*at.schema.fields, T.StructField(shard, T.LongType()), T.StructField(settled, T.BooleanType())])
+    schema = T.StructType([*df.schema.fields, T.StructField(shard, T.IntegerType(), False)])
+
+    def identify(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Permuted identifiers, order and whether there is an identifier."""
+        have = np.ones(rows.num_rows, bool)
+        for k in keys:
+            have &= rows.column(k).is_valid().to_numpy()
+        # A row without an order value counts as written last.
+        at = rows.column(order).cast(pa.int64()).fill_null(_LAST).to_numpy()
+        return *permute(_words(rows, keys[0]), _words(rows, keys[1])), at, have
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, BLOCK_ROWS):
-            high, low = permute(_words(block, keys[0]), _words(block, keys[1]))
-            orders, ties = (block.column(c).to_numpy() for c in (seq, tie))
-            missing = np.zeros(block.num_rows, bool)
-            for k in keys:
-                missing |= block.column(k).is_null().to_numpy()
-            first = np.zeros(block.num_rows, bool)
-            have = np.flatnonzero(~missing)
-            slot = insert(high[have], low[have])
-            first[have] = _first(slot, orders[have], ties[have])
+            high, low, at, have = identify(block)
+            some = np.flatnonzero(have)
+            slot = insert(high[some], low[some])
+            # The first of the block has to compete with other blocks; what becomes of the rest is settled.
+            open_ = np.zeros(block.num_rows, bool)
             if later:
-                # Rows above the least order of their block are settled; the others compete.
-                least = np.full(int(slot.max()) + 1, _LAST)
-                np.minimum.at(least, slot, orders)
-                done = orders > least[slot]
-                keep = np.ones(block.num_rows, bool)
+                open_[some] = at[some] == _least(slot, at[some])
+                keep = have
             else:
-                done, keep = missing, first | missing
-            # Settled rows go anywhere; spread by their order value.
-            ids = (np.where(done, permute(orders.view(np.uint64), low)[0], high) >> np.uint64(64 - SHARD_BITS)).astype(np.int64)
-            out = block.append_column(shard, pa.array(ids)).append_column(settled, pa.array(done)).filter(pa.array(keep))
-            yield from emit(out)
+                open_[some] = _first(slot, at[some], block, some)
+                keep = open_ | ~have
+            # Settled rows have negative shards and go anywhere, spread by their order value.
+            ids = (np.where(open_, high, permute(at.view(np.uint64), low)[0]) >> np.uint64(64 - SHARD_BITS)).astype(np.int32)
+            yield from emit(block.append_column(shard, pa.array(np.where(open_, ids, ~ids))).filter(pa.array(keep)))
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in whole_groups(batches, shard, TABLE_ROWS):
-            out = rows.column(settled).to_numpy().copy()
+            out = rows.column(shard).to_numpy() < 0
             open_ = np.flatnonzero(~out)
             if open_.size:
                 part = rows.take(pa.array(open_))
-                slot = insert(*permute(_words(part, keys[0]), _words(part, keys[1])))
-                orders = part.column(seq).to_numpy()
-                if later:
-                    least = np.full(int(slot.max()) + 1, _LAST)
-                    np.minimum.at(least, slot, orders)
-                    out[open_] = orders > least[slot]
-                else:
-                    out[open_] = _first(slot, orders, part.column(tie).to_numpy())
+                high, low, at, _ = identify(part)
+                slot = insert(high, low)
+                out[open_] = at > _least(slot, at) if later else _first(slot, at, part, np.arange(len(at)))
             yield from emit(rows.select(columns).filter(pa.array(out)))
 
     n = shuffle_partitions(df.sparkSession)
     return (
-        at.mapInArrow(local, schema)
-        .repartitionById(n, (F.col(shard) % n).cast("int"))
+        (df.filter(whole) if later else df)
+        .mapInArrow(local, schema)
+        .repartitionById(n, F.pmod(F.col(shard), F.lit(n)))
         .sortWithinPartitions(shard)
         .mapInArrow(settle, df.schema)
     )
@@ -188,8 +189,8 @@ def first_deliveries(df: DataFrame, keys: tuple[str, str] = ("address", "time"),
     """df with exactly one row of each identifier, the first written.
 
     Rows with a null in either key have no identifier and all stay. Of rows
-    that share identifier and order, the one with the least hash over all
-    columns stays, so the result depends on the rows only; of equal rows one
+    that share identifier and order, the one whose columns written out come
+    first stays, so the result depends on the rows only; of equal rows one
     stays. A null order counts as written last.
     """
     return _deliveries(df, keys, order, later=False)
