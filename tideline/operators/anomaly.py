@@ -106,28 +106,50 @@ def _runs(group: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.diff(np.r_[start, len(p)]), np.diff(np.r_[start, len(p)])), first
 
 
-_SHAPE = np.dtype([("distance", "<f4"), ("difference", "<f4"), ("season", "<f8"), ("hour", "i1"), ("run", "<i4"), ("first", "?"), ("out", "?"), ("own", "?")])
+#: Of each reading, what cannot be had from its time and payload. Runs are within the unit, so below 2**16 unless readings are denser than steps.
+_SHAPE = np.dtype([("distance", "<f4"), ("difference", "<f4"), ("run", "<u4"), ("first", "?"), ("out", "?"), ("own", "?")])
+#: Of a reading in a source's sample.
+_SAMPLE = np.dtype([("distance", "<f4"), ("difference", "<f4"), ("run", "<u4"), ("payload", "<i8"), ("hour", "i1")])
+
+
+#: Bits of the flags of a row: outside the limits, of this unit and not beside it, the only unit of its source; above them, how often the share of the sample is halved.
+_OUT, _OWN, _SOLO, _SHARE = 1, 2, 4, 8
+
+
+def _packed(v: np.ndarray) -> bytes:
+    """LONGs by their differences, byte after byte: compresses to what changes."""
+    d = v.copy()
+    d[1:] -= v[:-1]
+    return d.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpacked(b: bytes) -> np.ndarray:
+    d = np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+    return np.cumsum(d)
+
+
+def _hour(at: np.ndarray) -> np.ndarray:
+    """Hour of the day (UTC) of order keys of times."""
+    return ((at.view(np.uint64) ^ np.uint64(1 << 63)) // np.uint64(_HOUR) % np.uint64(24)).astype(np.int8)
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of readings, sorted by unit and time, to one row per unit with their shape."""
     for rows in whole_groups(batches, "unit_key", ROWS):
-        get = {c: rows.column(c).to_numpy() for c in ("window_id", "block", "at", "seq", "payload", "own", "solo", "address", "share", "unit_key")}
+        get = {c: rows.column(c).to_numpy() for c in ("window_id", "block", "at", "seq", "payload", "flags", "address", "unit_key")}
         key = np.stack([get["unit_key"], get["address"], get["block"]])
         group = np.cumsum(np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0)]) - 1
-        low = rows.column("lowest").fill_null(np.iinfo(np.int64).min).to_numpy()
-        high = rows.column("highest").fill_null(np.iinfo(np.int64).max).to_numpy()
-        p = get["payload"]
+        p, flags = get["payload"], get["flags"]
         x = p.astype(np.float64)
-        out = (p < low) | (p > high)
+        out, own, solo = ((flags & bit) > 0 for bit in (_OUT, _OWN, _SOLO))
+        share = 0.5 ** (flags // _SHARE)
         shape = np.zeros(len(p), _SHAPE)
         inside = np.flatnonzero(~out)
         distance, away, difference, middle = _shape(group[inside], x[inside])
         shape["distance"][inside], shape["difference"][inside] = distance, difference
-        shape["season"] = x
-        shape["hour"] = ((get["at"].view(np.uint64) ^ np.uint64(1 << 63)) // np.uint64(_HOUR) % np.uint64(24)).astype(np.int8)
+        hour = _hour(get["at"])
         shape["run"], shape["first"] = _runs(group, p)
-        shape["out"], shape["own"] = out, get["own"]
+        shape["out"], shape["own"] = out, own
         start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
         end = np.r_[start[1:], len(group)]
         far = np.zeros(len(p))
@@ -139,7 +161,7 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             s = slice(a, b)
             used = np.flatnonzero(shape["own"][s] & ~out[s])
             head = used[shape["first"][s][used]]
-            hours = shape["hour"][s][used]
+            hours = hour[s][used]
             summary = {
                 "away": np.unique(_bin(far[s][used]), return_counts=True),
                 "runs": np.unique(_bin(shape["run"][s][head].astype(float)), return_counts=True),
@@ -147,12 +169,15 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             }
             rank = get["seq"][s][head].astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
             rank = (rank ^ (rank >> np.uint64(29))) >> np.uint64(1)
-            most = np.uint64(int(min(1.0, get["share"][a]) * ((1 << 63) - 1)))
-            few = rank <= most
-            summary["sample"] = (rank[few].astype(np.int64), shape[s][head][few])
+            few = rank <= np.uint64(int(share[a] * ((1 << 63) - 1)))
+            sample = np.zeros(few.sum(), _SAMPLE)
+            for c in ("distance", "difference", "run"):
+                sample[c] = shape[c][s][head][few]
+            sample["payload"], sample["hour"] = p[s][head][few], hour[s][head][few]
+            summary["sample"] = (rank[few].astype(np.int64), sample)
             found.append((
-                int(get["address"][a]), int(get["window_id"][a]), int(get["block"][a]), bool(get["solo"][a]),
-                get["seq"][s].tobytes(), get["at"][s].tobytes(), p[s].tobytes(), shape[s].tobytes(), pickle.dumps(summary),
+                int(get["address"][a]), int(get["window_id"][a]), int(get["block"][a]), bool(solo[a]),
+                _packed(get["seq"][s]), _packed(get["at"][s]), _packed(p[s]), shape[s].tobytes(), pickle.dumps(summary),
             ))
         names = ["address", "window_id", "block", "solo", "seq", "time", "payload", "shape", "summary"]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), *[pa.binary()] * 5]
@@ -169,9 +194,9 @@ def _model(away, runs, hours, sample) -> dict:
     whole = total.sum() / max(n.sum(), 1)
     level = np.where(n > 0, total / np.maximum(n, 1), whole)
     model = {"scatter": scatter, "long": max(LONG_RUN, RUN_FACTOR * usual), "level": level, "season": 1.0}
-    off = np.abs(sample["season"] - level[sample["hour"]])
+    off = np.abs(sample["payload"] - level[sample["hour"]])
     model["season"] = max(float(np.median(off)) * 1.4826, scatter) if len(off) else scatter
-    x = _features(sample, model) if len(sample) else np.zeros((1, 4), np.float32)
+    x = _features(sample, sample["payload"], sample["hour"], model) if len(sample) else np.zeros((1, 4), np.float32)
     # A reading inside the longest run, which the sample, having first readings only, may lack.
     longest = _middle(runs[0].max()) if len(runs[0]) else 1.0
     inside = np.array([[0, 0, np.median(x[:, 2]), np.log2(max(longest, 1.0))]], np.float32)
@@ -179,10 +204,10 @@ def _model(away, runs, hours, sample) -> dict:
     return model
 
 
-def _features(shape: np.ndarray, model: dict) -> np.ndarray:
+def _features(shape: np.ndarray, payload: np.ndarray, hour: np.ndarray, model: dict) -> np.ndarray:
     return np.stack([
         np.arcsinh(shape["distance"] / model["scatter"]), np.arcsinh(shape["difference"] / model["scatter"]),
-        np.arcsinh((shape["season"] - model["level"][shape["hour"]]) / model["season"]), np.log2(np.maximum(shape["run"], 1)),
+        np.arcsinh((payload - model["level"][hour]) / model["season"]), np.log2(np.maximum(shape["run"], 1)),
     ], axis=1).astype(np.float32)
 
 
@@ -213,7 +238,7 @@ def _models(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kind, bins, n, v = (get[c][a:b] for c in ("kind", "bin", "n", "v"))
             hours = np.zeros(24), np.zeros(24)
             hours[0][bins[kind == 2]], hours[1][bins[kind == 2]] = v[kind == 2], n[kind == 2]
-            sample = np.frombuffer(b"".join(x.as_py() for x in rows.column("s").slice(a, b - a) if x.is_valid), _SHAPE)
+            sample = np.frombuffer(b"".join(x.as_py() for x in rows.column("s").slice(a, b - a) if x.is_valid), _SAMPLE)
             out.append(pickle.dumps(_model(*((bins[kind == k], n[kind == k]) for k in (0, 1)), hours, sample)))
         yield pa.RecordBatch.from_arrays([pa.array(get["address"][start]), pa.array(out, pa.binary())], ["m_address", "model"])
 
@@ -230,6 +255,7 @@ def _scored(only_found: bool):
 
 def _score(units: list[dict], only_found: bool) -> pa.RecordBatch:
     shapes = [np.frombuffer(u["shape"], _SHAPE) for u in units]
+    words = {c: [_unpacked(u[c]) for u in units] for c in ("seq", "time", "payload")}
     models = []
     for u in units:
         if u["model"] is not None:
@@ -242,7 +268,7 @@ def _score(units: list[dict], only_found: bool) -> pa.RecordBatch:
     forests = Forests(np.concatenate([m["x"] for m in models]), bounds, np.array([u["address"] for u in units]))
     source = np.repeat(np.arange(len(units)), [len(s) for s in shapes])
     shape = np.concatenate(shapes)
-    x = np.concatenate([_features(s, m) for s, m in zip(shapes, models)])
+    x = np.concatenate([_features(s, p, _hour(t), m) for s, p, t, m in zip(shapes, words["payload"], words["time"], models)])
     score = forests.score(x, source)
     deviation = shape["distance"] / np.array([m["scatter"] for m in models])[source]
     long = shape["run"] >= np.array([m["long"] for m in models])[source]
@@ -256,7 +282,7 @@ def _score(units: list[dict], only_found: bool) -> pa.RecordBatch:
     reason[shape["out"]] = "limit"
     score[shape["out"]] = 1.0
     keep = np.flatnonzero(shape["own"] & (np.not_equal(reason, None) if only_found else True))
-    word = {c: np.concatenate([np.frombuffer(u[c], np.int64) for u in units])[keep] for c in ("seq", "time", "payload")}
+    word = {c: np.concatenate(v)[keep] for c, v in words.items()}
     of = {c: np.array([u[c] for u in units], np.int64)[source[keep]] for c in ("address", "window_id")}
     time = (word["time"].view(np.uint64) ^ np.uint64(1 << 63)).view(np.int64)
     columns = [word["seq"], of["address"], of["window_id"], time, word["payload"], score[keep].astype(np.float64), np.where(shape["out"][keep], np.nan, deviation[keep]).astype(np.float64), shape["run"][keep].astype(np.int64)]
@@ -306,11 +332,12 @@ def implausible(points: DataFrame, windows: DataFrame, limits: DataFrame, only_f
         F.when((rest < F.col("step_ns") * HALO) & (F.col("block") > 0), F.col("block") - 1),
         F.when((rest >= F.col("step_ns") * (BLOCK - HALO)) & (F.col("block") + 1 < F.col("blocks")), F.col("block") + 1),
     ))
+    out = F.coalesce((F.col("payload") < F.col("lowest")) | (F.col("payload") > F.col("highest")), F.col("payload") < F.col("lowest"), F.col("payload") > F.col("highest"), F.lit(False))
+    # Of larger windows two to four times the sample is offered to the merge; of a source's only unit, all.
+    halved = F.when(F.col("solo"), F.lit(0)).otherwise(F.greatest(F.lit(0), F.floor(F.log2(F.col("n_slots") / (2.0 * SAMPLE))).cast("int")))
+    flags = F.when(out, F.lit(_OUT)).otherwise(F.lit(0)) + F.when(F.col("in_block") == F.col("block"), F.lit(_OWN)).otherwise(F.lit(0)) + F.when(F.col("solo"), F.lit(_SOLO)).otherwise(F.lit(0)) + halved * _SHARE
     rows = reads.withColumn("in_block", F.explode(beside)).select(
-        "address", "window_id", F.col("in_block").alias("block"), (F.col("in_block") == F.col("block")).alias("own"), "solo", "lowest", "highest",
-        order_key(F.col("p_time")).alias("at"), "seq", "payload",
-        # Of larger windows about twice the sample is offered to the merge; of a source's only unit, all.
-        F.when(F.col("solo"), F.lit(1.0)).otherwise(F.lit(2.0 * SAMPLE) / F.col("n_slots")).alias("share"),
+        "address", "window_id", F.col("in_block").alias("block"), order_key(F.col("p_time")).alias("at"), "seq", "payload", flags.cast("int").alias("flags"),
         F.xxhash64("window_id", "address", "start_time", "in_block").alias("unit_key"),
     )
     sorted_rows = rows.repartition(n, "unit_key").sortWithinPartitions("unit_key", "address", "block", "at", "seq")
