@@ -42,7 +42,7 @@ def proper_windows(windows: DataFrame) -> DataFrame:
         F.col("address").isNotNull() & F.col("start_time").isNotNull() & (F.col("step_ns") > 0) & (F.col("n_slots") > 0)
     )
     first = order_key(F.col("start_time"))
-    last = F.coalesce(F.try_add(first, F.try_multiply(F.col("step_ns"), F.col("n_slots"))), F.lit(_MAX)) - 1
+    last = F.coalesce(F.try_add(first, F.try_multiply(F.col("step_ns"), F.col("n_slots"))) - 1, F.lit(_MAX))
     return w.distinct().withColumn("first", first).withColumn("last", last)
 
 
@@ -103,7 +103,8 @@ def regular_grid(
     at = own.cast("double") + F.col("offset").cast("double") % step.cast("double") / step.cast("double")
     reads = reads.withColumn("own", own).withColumn("at", at)
     low = F.greatest(F.lit(0).cast("long"), F.ceil(F.col("at") - 0.5 - bandwidth))
-    high = F.least(F.col("n_slots") - 1, F.floor(F.col("at") - 0.5 + bandwidth))
+    # The last slot is that of the window's last time; later ones would be beyond the last word.
+    high = F.least(F.expr("(last - first) div step_ns"), F.floor(F.col("at") - 0.5 + bandwidth))
     near = F.sequence(F.least(low, F.col("own")), F.greatest(high, F.col("own")))
     parts = reads.select("window_id", "address", "start_time", "step_ns", "own", "at", F.col("p_payload").cast("double").alias("y"), F.explode(near).alias("slot"))
     d = F.col("at") - F.col("slot") - 0.5
@@ -126,7 +127,7 @@ def regular_grid(
     support = F.when(F.col("ww") > 0, F.col("w") * F.col("w") / F.col("ww")).otherwise(F.lit(0.0))
     shown = (F.col("readings") > 0) | F.lit(fill) & (F.col("support") >= min_support)
     return s.select(
-        "window_id", "address", "slot", (F.col("start_time") + F.col("slot") * step).alias("slot_time"),
+        "window_id", "address", "slot", order_key(order_key(F.col("start_time")) + F.col("slot") * step).alias("slot_time"),
         F.col("n").alias("readings"), support.alias("support"), estimate.alias("estimate"),
     ).select(
         "window_id", "address", "slot", "slot_time", "readings", "support",
