@@ -42,14 +42,9 @@ def at_addresses(points: DataFrame, addresses: Addresses) -> DataFrame:
 def first_written(points: DataFrame) -> DataFrame:
     """address, time, payload: of the points of an (address, time) the one with the least seq.
 
-    Partial and final aggregation around one exchange. A null payload that was
-    written first stays null.
+    Partial and final aggregation around one exchange, by hashing for LONG
+    payloads. A null payload that was written first stays null.
     """
-    return points.groupBy("address", "time").agg(F.min_by(F.struct("payload"), "seq")["payload"].alias("payload"))
-
-
-def first_written_long(points: DataFrame) -> DataFrame:
-    """first_written for LONG payloads that are not null, all by hash aggregation."""
     return points.groupBy("address", "time").agg(F.min_by("payload", "seq").alias("payload"))
 
 
