@@ -36,7 +36,7 @@ PASSES = 3
 #: The terms in most documents are multiplied as dense blocks of so many, over so many rows; the others as sparse ones.
 DENSE_TERMS, DENSE_ROWS = 8192, 512
 #: Documents that a term must be in; natural log of documents per document with the term, below which a term says nothing.
-LEAST_DOCUMENTS, LEAST_WEIGHT = 3, 1.0
+LEAST_DOCUMENTS, LEAST_WEIGHT = 3, 0.4
 #: Labelled documents used at most, those with the least hash of doc_id.
 MAX_LABELLED = 20_000
 #: Part of a document from which on it deals with a subject.
@@ -277,8 +277,8 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.maximum(np.linalg.norm(v, axis=-1, keepdims=True), 1e-12)
 
 
-def _refined(found: DataFrame, seeds: Centroids, passes: int) -> Centroids:
-    """Each centroid becomes the mean of the documents that are purely its own, if there are three."""
+def _refined(found: DataFrame, seeds: Centroids, passes: int, least: float = PURE) -> Centroids:
+    """Each centroid becomes the mean of the documents that are purely its own, if there are three; least: so much of it."""
     rank = seeds.vectors.shape[1]
     now = seeds
     for _ in range(passes):
@@ -290,7 +290,7 @@ def _refined(found: DataFrame, seeds: Centroids, passes: int) -> Centroids:
                 x, by = now.parts(e)
                 order = np.sort(by, axis=1)
                 second = order[:, -2] if order.shape[1] > 1 else np.zeros(len(e))
-                pure = (order[:, -1] > PURE) & (second < OTHER)
+                pure = (order[:, -1] > least) & (second < OTHER)
                 best = x.argmax(axis=1)
                 for c in np.unique(best[pure]):
                     mine = pure & (best == c)
@@ -374,7 +374,11 @@ def subject_areas(documents: DataFrame, subjects: DataFrame, labels: DataFrame,
             v = _hashed(listed[name])
             lists = [pa.array([list(x)], pa.list_(pa.int32())) for x in (v, v.values())]
             first.append(space.embed(*lists)[0].astype(np.float64))
-    centroids = _refined(found, Centroids(np.array(first), list(range(len(names))), background, len(names)), 2)
+    centroids = Centroids(np.array(first), list(range(len(names))), background, len(names))
+    if not all((has[:, s] & (has.sum(axis=1) == 1)).any() for s in range(len(names))):
+        # A description has few of a subject's terms: its documents are less like it than like each other.
+        centroids = _refined(found, centroids, 2, PURE / 2)
+    centroids = _refined(found, centroids, 2)
     if len(known):
         centroids = _refined(found, _further(centroids, e, has), 2)
 
