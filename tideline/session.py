@@ -53,6 +53,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as there are cores, for work in Python that a small file would leave to one task."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def fits(df: DataFrame, rows: int) -> bool:
     """Whether df has at most so many rows; reads no more than it needs to tell."""
     return df.limit(rows + 1).count() <= rows
