@@ -26,9 +26,10 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tideline.session import spread
+
 #: Ranks of the tokens, one line each: the token in base 64, its id.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
@@ -197,7 +198,7 @@ def _with_encoding(df: DataFrame, text: str, name: str, kind: T.DataType, vocabu
             ids = [encode(x) if x else b"" for x in batch.column(text).to_pylist()]
             yield batch.append_column(name, column(ids))
 
-    return rest.mapInArrow(run, schema)
+    return spread(rest).mapInArrow(run, schema)
 
 
 def _ids_column(ids: list[bytes]) -> pa.Array:
