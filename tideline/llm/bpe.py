@@ -44,6 +44,8 @@ WORDS = r" ?[^" + WHITE + r"]+|[" + WHITE + r"]+(?![^" + WHITE + r"])|[" + WHITE
 #: The same on ASCII, where a small set is faster.
 ASCII_WORDS = r" ?[^\t-\r ]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
 
+#: Rows whose ids a worker holds at a time.
+ROWS = 1024
 #: Entries that a worker remembers of each kind, and the longest word it remembers.
 REMEMBERED = 1 << 18
 LONGEST_WORD = 64
@@ -195,8 +197,9 @@ def _with_encoding(df: DataFrame, text: str, name: str, kind: T.DataType, vocabu
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(content.value).encode
         for batch in batches:
-            ids = [encode(x) if x else b"" for x in batch.column(text).to_pylist()]
-            yield batch.append_column(name, column(ids))
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                yield part.append_column(name, column([encode(x.as_py()) if x.is_valid else b"" for x in part.column(text)]))
 
     return spread(rest).mapInArrow(run, schema)
 

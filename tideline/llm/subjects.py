@@ -47,6 +47,10 @@ PURE, OTHER = 0.6, 0.15
 UNEXPLAINED = 0.3
 #: ... that have so many labelled documents within this cosine, of which this share has the subject.
 COMPANY, COMPANY_COSINE, COMPANY_SHARE = 3, 0.6, 0.8
+#: Their cosine with every centroid there is is below this: of another kind, neither mislabelled nor a subject's with more of the common terms.
+NEW_COSINE = 0.45
+#: Share of the labelled documents nearest to a further centroid that must have its subject, before and after refinement.
+BORNE_OUT = 0.7
 #: Further centroids per subject at most.
 MORE_CENTROIDS = 8
 #: Steps of the non-negative decomposition.
@@ -324,13 +328,22 @@ def _further(now: Centroids, e: np.ndarray, has: np.ndarray) -> Centroids:
         share = has[near].mean(axis=0)
         s = int(share.argmax())
         if near.sum() >= COMPANY and share[s] >= COMPANY_SHARE and owner.count(s) < MORE_CENTROIDS:
-            new.append(_unit(e[near & has[:, s]].mean(axis=0)))
-            owner.append(s)
+            v = _unit(e[near & has[:, s]].mean(axis=0))
+            if (now.vectors @ v).max() < NEW_COSINE:
+                new.append(v)
+                owner.append(s)
     if not new:
         return now
     return Centroids(np.vstack([now.vectors, *new]), [*now.owner, *owner], now.background, now.subjects)
 
 
+def _borne_out(now: Centroids, first: int, e: np.ndarray, has: np.ndarray) -> Centroids:
+    """Without those of the further centroids (from `first` on) whose labelled documents are not mostly of their subject."""
+    best = now.parts(e)[0].argmax(axis=1)
+    keep = [c for c, s in enumerate(now.owner) if c < first or ((best == c).any() and has[best == c, s].mean() >= BORNE_OUT)]
+    return Centroids(now.vectors[keep], list(now.owner[keep]), now.background, now.subjects)
+
+
 def subject_areas(documents: DataFrame, subjects: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, subject: a row for each subject that makes up at least the threshold of a document.
 
@@ -380,7 +393,9 @@ def subject_areas(documents: DataFrame, subjects: DataFrame, labels: DataFrame,
         centroids = _refined(found, centroids, 2, PURE / 2)
     centroids = _refined(found, centroids, 2)
     if len(known):
-        centroids = _refined(found, _further(centroids, e, has), 2)
+        for _ in range(2):
+            centroids = _borne_out(_further(centroids, e, has), len(names), e, has)
+            centroids = _borne_out(_refined(found, centroids, 1), len(names), e, has)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
