@@ -38,9 +38,13 @@ BLOCK, HALO = 4096, 128
 #: Readings on each side that a reading is compared with.
 SIDE = 5
 #: Scatters from its neighbours at which a reading stands far off.
-FAR = 7.0
-#: A run is far longer than usual from this length on, and from so many times the length that 95 % of the source's runs do not exceed.
+FAR = 8.0
+#: A run is far longer than usual from this length on, and from so many times the length that 95 % of the source's other runs do not exceed ...
 LONG_RUN, RUN_FACTOR = 10, 5
+#: ... the more times, the more the source repeats by nature: by this much more for each reading that its other runs are longer than 1 on average.
+BY_NATURE = 10
+#: The longest runs that do not count among the others, if there are more.
+APART = 2
 #: Readings of a source that its forest is grown on at most; of a run only the first may be among them.
 SAMPLE = 256
 #: Score from which on a reading counts as easy to isolate.
@@ -72,6 +76,15 @@ def _quantile(bins: np.ndarray, n: np.ndarray, q: float) -> float:
     return float(_middle(bins[order][np.searchsorted(upto, q * upto[-1])]))
 
 
+def _without_longest(bins: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of runs without the APART longest; as they are, if there are no others."""
+    if n.sum() <= APART:
+        return bins, n
+    order = np.argsort(bins, kind="stable")
+    upto = np.minimum(np.cumsum(n[order]), n.sum() - APART)
+    return bins[order], np.diff(np.r_[0, upto])
+
+
 def _median_of(columns: np.ndarray) -> np.ndarray:
     """Median of each row, without its NaNs; NaN if there are only those."""
     s = np.sort(columns, axis=1)
@@ -163,7 +176,8 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             head = used[shape["first"][s][used]]
             hours = hour[s][used]
             summary = {
-                "away": np.unique(_bin(far[s][used]), return_counts=True),
+                # Of a run only the first reading, or stuck ones would pass for a small scatter.
+                "away": np.unique(_bin(far[s][head]), return_counts=True),
                 "runs": np.unique(_bin(shape["run"][s][head].astype(float)), return_counts=True),
                 "hours": (np.bincount(hours, mid[s][used], minlength=24), np.bincount(hours, minlength=24)),
             }
@@ -189,11 +203,15 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _model(away, runs, hours, sample) -> dict:
     """A source's scales and the features of its sample, from summed statistics."""
     scatter = max(_quantile(*away, 0.5) * 1.4826, 0.5) if len(away[0]) else 0.5
-    usual = round(_quantile(*runs, 0.95)) if len(runs[0]) else 1
+    usual, repeats = 1.0, 0.0
+    if len(runs[0]):
+        others = _without_longest(*runs)
+        usual = round(_quantile(*others, 0.95))
+        repeats = float((np.rint(_middle(others[0])) * others[1]).sum() / others[1].sum()) - 1
     total, n = hours
     whole = total.sum() / max(n.sum(), 1)
     level = np.where(n > 0, total / np.maximum(n, 1), whole)
-    model = {"scatter": scatter, "long": max(LONG_RUN, RUN_FACTOR * usual), "level": level, "season": 1.0}
+    model = {"scatter": scatter, "long": max(LONG_RUN, RUN_FACTOR * usual * (1 + BY_NATURE * repeats)), "level": level, "season": 1.0}
     off = np.abs(sample["payload"] - level[sample["hour"]])
     model["season"] = max(float(np.median(off)) * 1.4826, scatter) if len(off) else scatter
     x = _features(sample, sample["payload"], sample["hour"], model) if len(sample) else np.zeros((1, 4), np.float32)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +26,20 @@ def local_session(cores: int = 8, memory: str = "12g", partitions: int | None =
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the executors' Python, once per application."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tideline_shipped", False):
+        return
+    root = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="tideline-")) / "tideline_package.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, f"{root.name}/{p.relative_to(root)}")
+    sc.addPyFile(str(archive))
+    sc._tideline_shipped = True
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
