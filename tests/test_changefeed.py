@@ -87,3 +87,16 @@ def test_commits_are_exclusive(spark):
     with pytest.raises(CommitConflict):
         log.commit(0, {"a": 2})
     assert log.latest() == (0, {"a": 1})
+
+
+def test_only_touched_parts_are_rewritten(spark):
+    table = C.ChangeTable(spark, f"{shared_folder(spark)}/t", parts=5)
+    table.apply(spark.createDataFrame([(i, "I", i, 1, i, "", 0) for i in range(1, 40)], FEED))
+    before = table.log.latest()[1]
+    table.apply(spark.createDataFrame([(100, "D", 3, 1, None, "", 0)], FEED))
+    after = table.log.latest()[1]
+    assert before["parts"] == after["parts"] == 5 and len(before["held"]) == 5
+    assert sum(before["held"][p] != after["held"][p] for p in after["held"]) == 1
+    assert {r.address for r in table.rows().collect()} == set(range(1, 40)) - {3}
+    table.apply(spark.createDataFrame([(7, "H", 3, 1, None, "", 0)], FEED))  # nothing to apply is a version, too
+    assert table.log.versions() == [0, 1, 2] and table.log.latest()[1]["held"] == after["held"]

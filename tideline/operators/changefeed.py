@@ -6,12 +6,13 @@ that keeps whichever of the stored and the offered change was committed later
 at the origin. Order of delivery and repeats so make no difference. A delete is
 kept as a tombstone with its sequence, or a late older insert would revive the
 row. Each task first upserts its own rows, so a key changed a million times is
-shuffled once per block. All buckets are exported as one version of the table,
-which a single commit publishes.
+shuffled once per block. The buckets that a feed touches are exported anew, and
+a single commit publishes them all as the next version of the table.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import duckdb
@@ -31,8 +32,8 @@ DELETES = ("d", "del", "delete")
 BLOCK_ROWS = 1 << 19
 #: Rows from which on whole buckets are put into one table.
 TABLE_ROWS = 1 << 18
-#: Buckets per shuffle partition.
-BUCKETS_PER_PARTITION = 64
+#: Buckets in a part of the table.
+BUCKETS = 64
 
 STATE = "address long, time long, payload long, change_seq long, deleted boolean"
 
@@ -114,41 +115,45 @@ def changes_of(feed: DataFrame, op: str = "op") -> DataFrame:
     ).select("address", "time", F.when(~deleted, F.col("payload")).alias("payload"), "change_seq", deleted.alias("deleted"))
 
 
-def upsert(changes: DataFrame, state: DataFrame | None = None) -> DataFrame:
-    """State (rows and tombstones) after the changes, each taken once in order of commit."""
-    spark = changes.sparkSession
-    n = shuffle_partitions(spark)
+def part_of(parts: int) -> Column:
+    """The part of the table that a key belongs to."""
+    return F.pmod(F.xxhash64("address", "time"), F.lit(parts)).cast("int")
+
+
+def upsert(changes: DataFrame, state: DataFrame | None = None, parts: int | None = None) -> DataFrame:
+    """State (rows and tombstones) after the changes, each taken once in order of commit; one partition per part."""
+    n = parts or shuffle_partitions(changes.sparkSession)
     latest = changes.mapInArrow(_local, STATE)
     if state is not None:
         latest = latest.unionByName(state.select(*_COLUMNS))
-    bucket = F.pmod(F.xxhash64("address", "time"), F.lit(n * BUCKETS_PER_PARTITION))
-    return (
-        latest.withColumn("bucket", bucket)
-        .repartitionById(n, (F.col("bucket") % n).cast("int"))
-        .sortWithinPartitions("bucket")
-        .mapInArrow(_by_bucket, STATE)
-    )
+    bucket = F.pmod(F.xxhash64("time", "address"), F.lit(BUCKETS))
+    return latest.withColumn("bucket", bucket).repartitionById(n, part_of(n)).sortWithinPartitions("bucket").mapInArrow(_by_bucket, STATE)
 
 
 class ChangeTable:
     """A table kept from change feeds, in versions that are published whole.
 
-    Each call of apply reads the current version, upserts the feed into it and
-    writes all buckets below a new name; the commit that names it is the only
-    thing a reader looks at. Applying a feed again, or parts of it in another
-    order, leads to the same table.
+    Keys are hashed into parts, as many as there are shuffle partitions when
+    the table is made (or `parts`). A call of apply reads the current state of
+    those parts that its feed touches, upserts the feed into it and writes them
+    below a new name; the commit that says which name holds each part is the
+    only thing a reader looks at. Applying a feed again, or parts of it in
+    another order, leads to the same table.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, parts: int | None = None):
+        self.spark, self.path, self._parts = spark, path.rstrip("/"), parts
         self.log = CommitLog(spark, f"{self.path}/_commits")
 
+    def _read(self, held: dict[str, str]) -> DataFrame:
+        if not held:
+            return self.spark.createDataFrame([], STATE)
+        return self.spark.read.schema(STATE).parquet(*(f"{self.path}/{data}/part={part}" for part, data in held.items()))
+
     def state(self) -> DataFrame:
         """Rows and tombstones of the newest version; empty before the first."""
         found = self.log.latest()
-        if found is None:
-            return self.spark.createDataFrame([], STATE)
-        return self.spark.read.schema(STATE).parquet(f"{self.path}/{found[1]['data']}")
+        return self._read(found[1]["held"] if found else {})
 
     def rows(self) -> DataFrame:
         """The table: address, time, payload and the change_seq behind each row."""
@@ -157,20 +162,18 @@ class ChangeTable:
     def apply(self, feed: DataFrame) -> int:
         """Apply a feed; the version published. CommitConflict if another writer was first."""
         found = self.log.latest()
-        version = found[0] + 1 if found else 0
-        data = f"data-{version:012d}-{shared_name()}"
-        result = upsert(changes_of(feed), self.state() if found else None)
-        result.write.parquet(f"{self.path}/{data}")
-        self.log.commit(version, {"data": data})
+        version, held = (found[0] + 1, found[1]["held"]) if found else (0, {})
+        parts = found[1]["parts"] if found else self._parts or shuffle_partitions(self.spark)
+        changes, data = changes_of(feed), f"data-{version:012d}-{uuid.uuid4().hex[:12]}"
+        # At most as many rows as there are parts.
+        touched = [str(r.part) for r in changes.select(part_of(parts).alias("part")).distinct().collect()]
+        if touched:
+            result = upsert(changes, self._read({p: held[p] for p in touched if p in held}), parts)
+            result.withColumn("part", part_of(parts)).write.partitionBy("part").parquet(f"{self.path}/{data}")
+        self.log.commit(version, {"parts": parts, "held": held | dict.fromkeys(touched, data)})
         return version
 
 
-def shared_name() -> str:
-    import uuid
-
-    return uuid.uuid4().hex[:12]
-
-
 def current_rows(feed: DataFrame) -> DataFrame:
     """The table a whole feed leads to: address, time, payload, change_seq.
 
