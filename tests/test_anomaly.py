@@ -101,3 +101,15 @@ def test_forest_isolates_the_odd_row(together):
     assert (score.argmax(axis=1) == 17).all() and np.median(score) < 0.55
     alone = Forests(x[0], np.array([0, 200]), np.array([0])).score(x[0], np.zeros(200, int))
     assert np.allclose(alone, score[0])  # a source's forest does not depend on its company
+
+
+def test_dense_sources_and_long_steps(spark):
+    """Far more readings than slots are cut into units all the same; steps may be as long as they like."""
+    v = wave(3 * A.BLOCK, 5)
+    v[[100, A.BLOCK, 2 * A.BLOCK - 1]] += 900
+    rows = [(2, BASE + k * 1_000_000, int(x), k, 1, "x") for k, x in enumerate(v)]
+    windows = [(0, 2, "u", BASE, 10**9 * len(v) // 1000 // 2, 2, 1), (1, 4, "u", BASE, 2**62, 1, 1)]
+    df = spark.createDataFrame([*rows, (4, BASE + 5, 1, -1, 1, "x")], POINTS)
+    out = A.implausible(df, spark.createDataFrame(windows, WINDOWS), spark.createDataFrame([("u", 0, 0, 10_000)], UNITS)).collect()
+    assert len(out) == len(rows) + 1
+    assert {r.seq: r.reason for r in out if r.reason} == {100: "spike", A.BLOCK: "spike", 2 * A.BLOCK - 1: "spike"}

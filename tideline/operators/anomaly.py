@@ -1,8 +1,9 @@
 """Implausible readings of sources: an isolation forest per source, and rules.
 
 A source is an address; its readings are taken within its windows. The work is
-cut into units of BLOCK steps of a window, with some readings of the units
-beside it for neighbours, so a source of any length is spread over many tasks.
+cut into units of BLOCK steps of a window (shorter ones where a source reports
+more often), with some readings of the units beside it for neighbours, so a
+source of any length is spread over many tasks.
 Every reading gets four features: level (distance from the readings around it),
 difference (to the nearer of the two readings beside it), season (distance from
 the source's usual level at that hour of the day) and run length (of equal
@@ -55,6 +56,7 @@ ROWS, TOGETHER = 1 << 16, 256
 BROADCAST_MODELS = 2000
 
 _HOUR = 3_600_000_000_000
+_LONGEST = (1 << 63) - 1
 _BINS = 32
 
 RESULT = "seq long, address long, window_id long, time long, payload long, score double, deviation double, run long, reason string"
@@ -331,7 +333,14 @@ def implausible(points: DataFrame, windows: DataFrame, limits: DataFrame, only_f
     firsts = first_deliveries(points.select("address", "time", "payload", "seq")).filter(F.col("payload").isNotNull() & F.col("seq").isNotNull())
     bounds = limits.filter(F.col("unit").isNotNull()).groupBy("unit").agg(F.max("lowest").alias("lowest"), F.min("highest").alias("highest"))
     unit = windows.filter(F.col("unit").isNotNull()).select("window_id", F.col("address").alias("u_address"), F.col("start_time").alias("u_start"), "unit").distinct()
-    proper = proper_windows(windows).withColumn("blocks", F.expr(f"(n_slots + {BLOCK - 1}) div {BLOCK}"))
+    # A source that reports several times as often as it owes gets units that are as many times shorter.
+    rows_of = points.filter(F.col("address").isNotNull()).groupBy(F.col("address").alias("s_address")).agg(F.count("*").alias("rows"))
+    slots = proper_windows(windows)
+    owed = slots.groupBy(F.col("address").alias("o_address")).agg(F.sum("n_slots").alias("owed"))
+    proper = slots.join(owed, F.col("address") == F.col("o_address")).join(rows_of, F.col("address") == F.col("s_address"), "left").drop("o_address", "s_address")
+    proper = proper.withColumn("dense", F.least(F.col("step_ns"), F.greatest(F.lit(1).cast("long"), F.expr("coalesce(rows, 0) div owed"))))
+    proper = proper.withColumn("unit_ns", F.expr(f"coalesce(try_multiply(step_ns, {BLOCK}L), {_LONGEST}L) div dense"))
+    proper = proper.withColumn("blocks", F.expr("(last - first) div unit_ns + 1")).drop("rows", "owed")
     per_source = proper.groupBy(F.col("address").alias("s_address")).agg((F.sum("blocks") == 1).alias("solo"))
     proper = proper.join(per_source, F.col("address") == F.col("s_address")).drop("s_address")
     named = unit.join(bounds, "unit", "left").groupBy("window_id", "u_address", "u_start").agg(F.max("lowest").alias("lowest"), F.min("highest").alias("highest"))
@@ -341,18 +350,17 @@ def implausible(points: DataFrame, windows: DataFrame, limits: DataFrame, only_f
     # Small beside the points: one row per window.
     proper = materialise(proper.withColumn("window_id", F.coalesce("window_id", F.lit(-1).cast("long"))), "windows")
     reads = in_windows(firsts, proper, "payload", "seq").withColumnRenamed("p_payload", "payload").withColumnRenamed("p_seq", "seq")
-    wide = F.col("step_ns") * BLOCK
-    block = F.expr(f"offset div (step_ns * {BLOCK})")
-    rest = F.col("offset") - F.col("block") * wide
-    reads = reads.withColumn("block", block)
+    reads = reads.withColumn("block", F.expr("offset div unit_ns"))
+    rest = F.col("offset") - F.col("block") * F.col("unit_ns")
+    halo = F.expr(f"unit_ns div {BLOCK // HALO}")
     beside = F.array_compact(F.array(
         F.col("block"),
-        F.when((rest < F.col("step_ns") * HALO) & (F.col("block") > 0), F.col("block") - 1),
-        F.when((rest >= F.col("step_ns") * (BLOCK - HALO)) & (F.col("block") + 1 < F.col("blocks")), F.col("block") + 1),
+        F.when((rest < halo) & (F.col("block") > 0), F.col("block") - 1),
+        F.when((rest >= F.col("unit_ns") - halo) & (F.col("block") + 1 < F.col("blocks")), F.col("block") + 1),
     ))
     out = F.coalesce((F.col("payload") < F.col("lowest")) | (F.col("payload") > F.col("highest")), F.col("payload") < F.col("lowest"), F.col("payload") > F.col("highest"), F.lit(False))
     # Of larger windows two to four times the sample is offered to the merge; of a source's only unit, all.
-    halved = F.when(F.col("solo"), F.lit(0)).otherwise(F.greatest(F.lit(0), F.floor(F.log2(F.col("n_slots") / (2.0 * SAMPLE))).cast("int")))
+    halved = F.when(F.col("solo"), F.lit(0)).otherwise(F.greatest(F.lit(0), F.floor(F.log2(F.col("n_slots") * F.col("dense").cast("double") / (2.0 * SAMPLE))).cast("int")))
     flags = F.when(out, F.lit(_OUT)).otherwise(F.lit(0)) + F.when(F.col("in_block") == F.col("block"), F.lit(_OWN)).otherwise(F.lit(0)) + F.when(F.col("solo"), F.lit(_SOLO)).otherwise(F.lit(0)) + halved * _SHARE
     rows = reads.withColumn("in_block", F.explode(beside)).select(
         "address", "window_id", F.col("in_block").alias("block"), order_key(F.col("p_time")).alias("at"), "seq", "payload", flags.cast("int").alias("flags"),
