@@ -60,7 +60,8 @@ def test_held_out_accuracy(spark):
     docs, listed, labels, truth = corpus(spark)
     found = S.subject_areas(docs, listed, labels)
     assert found.count() == found.distinct().count()
-    precision, recall = scores(found, truth)
+    # Documents below 200 are labelled: only the others tell.
+    precision, recall = scores(found.filter("doc_id >= 200"), {i: t for i, t in truth.items() if i >= 200})
     assert precision > 0.9 and recall > 0.9
 
 
