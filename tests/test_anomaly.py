@@ -113,3 +113,33 @@ def test_dense_sources_and_long_steps(spark):
     out = A.implausible(df, spark.createDataFrame(windows, WINDOWS), spark.createDataFrame([("u", 0, 0, 10_000)], UNITS)).collect()
     assert len(out) == len(rows) + 1
     assert {r.seq: r.reason for r in out if r.reason} == {100: "spike", A.BLOCK: "spike", 2 * A.BLOCK - 1: "spike"}
+
+
+def test_rows_that_are_no_readings_cut_nothing(spark):
+    """Rows outside the windows, repeats and nulls do not take a reading's neighbours or the ends of a run away."""
+    v = wave(60, 4)
+    v[23:37] = v[23]
+    extra = [(2, BASE - 10**12 - k, 1, -k - 1, 1, "") for k in range(60 * 400)]
+    extra += [(2, BASE + 5 * STEP + 7, 9, (1 << 40) + k, 1, "") for k in range(6000)] + [(2, BASE + k, None, (1 << 41) + k, 1, "") for k in range(10, 6000)]
+    found, alone = run(spark, {2: v}, extra=extra), run(spark, {2: v})
+    assert {k: r.reason for k, r in found.items() if r.reason} == {(2, k): "stuck" for k in range(23, 37)}
+    assert {k: (r.run, r.deviation, r.reason) for k, r in found.items()} == {k: (r.run, r.deviation, r.reason) for k, r in alone.items()}
+
+
+@pytest.mark.parametrize("steps", [1, 3, 16])
+def test_units_of_any_length_give_the_same(spark, monkeypatch, steps):
+    """Runs over many units, empty units and readings with no neighbour in their unit."""
+    series = {2: list(wave(400, 7)), 4: list(wave(400, 8))}
+    for v in series.values():
+        v[100:160] = [v[100]] * 60
+        v[200:240] = [None] * 40
+        v[300] += 900
+        v[301], v[310] = -5, 20_000
+    whole = run(spark, series)
+    monkeypatch.setattr(A, "BLOCK", steps)
+    cut = run(spark, series)
+    assert whole.keys() == cut.keys()
+    for k, r in whole.items():
+        assert (r.reason, r.run, r.seq) == (cut[k].reason, cut[k].run, cut[k].seq), k
+        assert np.allclose([r.deviation, r.score], [cut[k].deviation, cut[k].score], rtol=1e-4, equal_nan=True), k
+    assert {k for (a, k), r in cut.items() if a == 2 and r.reason == "stuck"} == set(range(100, 160))

@@ -1,9 +1,10 @@
 """Implausible readings of sources: an isolation forest per source, and rules.
 
 A source is an address; its readings are taken within its windows. The work is
-cut into units of BLOCK steps of a window (shorter ones where a source reports
-more often), with some readings of the units beside it for neighbours, so a
-source of any length is spread over many tasks.
+cut into units of BLOCK steps of a window (shorter ones where a window has more
+readings than slots), so a source of any length is spread over many tasks. From
+the edges of all units of a window each unit learns the readings beside it and
+how far runs go on beyond it, so results do not depend on the cuts.
 Every reading gets four features: level (distance from the readings around it),
 difference (to the nearer of the two readings beside it), season (distance from
 the source's usual level at that hour of the day) and run length (of equal
@@ -34,8 +35,8 @@ from tideline.operators.quotient import first_deliveries
 from tideline.operators.regrid import in_windows, proper_windows
 from tideline.session import bounded_join, materialise, shuffle_partitions
 
-#: Steps of a window in a unit of work, and steps taken along from the units beside it.
-BLOCK, HALO = 4096, 128
+#: Steps of a window in a unit of work.
+BLOCK = 4096
 #: Readings on each side that a reading is compared with.
 SIDE = 5
 #: Scatters from its neighbours at which a reading stands far off.
@@ -52,15 +53,15 @@ SAMPLE = 256
 ISOLATED = 0.5
 #: Rows that a task takes at a time; sources whose forests are grown together.
 ROWS, TOGETHER = 1 << 16, 256
-#: Models up to which they are broadcast; beyond, both sides are shuffled.
-BROADCAST_MODELS = 2000
+#: Models, and contexts of units, up to which they are broadcast; beyond, both sides are shuffled.
+BROADCAST_MODELS, BROADCAST_CONTEXTS = 2000, 20_000
 
 _HOUR = 3_600_000_000_000
 _LONGEST = (1 << 63) - 1
 _BINS = 32
 
 RESULT = "seq long, address long, window_id long, time long, payload long, score double, deviation double, run long, reason string"
-_UNIT = "address long, window_id long, block long, solo boolean, seq binary, time binary, payload binary, shape binary, summary binary"
+_UNIT = "address long, window_id long, start long, block long, solo boolean, seq binary, time binary, payload binary, out binary, edge binary"
 
 
 def _bin(v: np.ndarray) -> np.ndarray:
@@ -121,14 +122,14 @@ def _runs(group: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.diff(np.r_[start, len(p)]), np.diff(np.r_[start, len(p)])), first
 
 
-#: Of each reading, what cannot be had from its time and payload. Runs are within the unit, so below 2**16 unless readings are denser than steps.
-_SHAPE = np.dtype([("distance", "<f4"), ("difference", "<f4"), ("run", "<u4"), ("first", "?"), ("out", "?"), ("own", "?")])
+#: Of each reading, what cannot be had from its time and payload. Runs are within the window.
+_SHAPE = np.dtype([("distance", "<f4"), ("difference", "<f4"), ("run", "<u4"), ("first", "?"), ("out", "?")])
 #: Of a reading in a source's sample.
 _SAMPLE = np.dtype([("distance", "<f4"), ("difference", "<f4"), ("run", "<u4"), ("payload", "<i8"), ("hour", "i1")])
 
 
-#: Bits of the flags of a row: outside the limits, of this unit and not beside it, the only unit of its source; above them, how often the share of the sample is halved.
-_OUT, _OWN, _SOLO, _SHARE = 1, 2, 4, 8
+#: Bits of the flags of a row: outside the limits, in the only unit of its source, in the only unit of its window.
+_OUT, _SOLO, _ONLY = 1, 2, 4
 
 
 def _packed(v: np.ndarray) -> bytes:
@@ -148,60 +149,142 @@ def _hour(at: np.ndarray) -> np.ndarray:
     return ((at.view(np.uint64) ^ np.uint64(1 << 63)) // np.uint64(_HOUR) % np.uint64(24)).astype(np.int8)
 
 
+def _hours_in(hour: np.ndarray) -> int:
+    """Set of hours as bits."""
+    return int(np.bitwise_or.reduce(1 << hour.astype(np.int64)))
+
+
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of readings, sorted by unit and time, to one row per unit with their shape."""
+    """Rows of readings, sorted by unit and time, to one row per unit with its edge, if its window has others."""
     for rows in whole_groups(batches, "unit_key", ROWS):
-        get = {c: rows.column(c).to_numpy() for c in ("window_id", "block", "at", "seq", "payload", "flags", "address", "unit_key")}
+        get = {c: rows.column(c).to_numpy() for c in ("window_id", "start", "block", "at", "seq", "payload", "flags", "address", "unit_key")}
         key = np.stack([get["unit_key"], get["address"], get["block"]])
         group = np.cumsum(np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0)]) - 1
-        p, flags = get["payload"], get["flags"]
-        x = p.astype(np.float64)
-        out, own, solo = ((flags & bit) > 0 for bit in (_OUT, _OWN, _SOLO))
-        share = 0.5 ** (flags // _SHARE)
-        shape = np.zeros(len(p), _SHAPE)
-        inside = np.flatnonzero(~out)
-        distance, away, difference, middle = _shape(group[inside], x[inside])
-        shape["distance"][inside], shape["difference"][inside] = distance, difference
-        hour = _hour(get["at"])
-        shape["run"], shape["first"] = _runs(group, p)
-        shape["out"], shape["own"] = out, own
+        p, flags, hour = get["payload"], get["flags"], _hour(get["at"])
+        out = (flags & _OUT) > 0
+        run, first = _runs(group, p)
         start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-        end = np.r_[start[1:], len(group)]
-        far = np.zeros(len(p))
-        far[inside] = away
-        mid = np.zeros(len(p))
-        mid[inside] = middle
         found = []
-        for a, b in zip(start, end):
-            s = slice(a, b)
-            used = np.flatnonzero(shape["own"][s] & ~out[s])
-            head = used[shape["first"][s][used]]
-            hours = hour[s][used]
-            summary = {
-                # Of a run only the first reading, or stuck ones would pass for a small scatter.
-                "away": np.unique(_bin(far[s][head]), return_counts=True),
-                "runs": np.unique(_bin(shape["run"][s][head].astype(float)), return_counts=True),
-                "hours": (np.bincount(hours, mid[s][used], minlength=24), np.bincount(hours, minlength=24)),
-            }
-            rank = get["seq"][s][head].astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-            rank = (rank ^ (rank >> np.uint64(29))) >> np.uint64(1)
-            few = rank <= np.uint64(int(share[a] * ((1 << 63) - 1)))
-            sample = np.zeros(few.sum(), _SAMPLE)
-            for c in ("distance", "difference", "run"):
-                sample[c] = shape[c][s][head][few]
-            sample["payload"], sample["hour"] = p[s][head][few], hour[s][head][few]
-            summary["sample"] = (rank[few].astype(np.int64), sample)
+        for a, b in zip(start, np.r_[start[1:], len(group)]):
+            s, edge = slice(a, b), None
+            if not flags[a] & _ONLY:
+                inside = p[s][~out[s]]
+                head, tail = int(run[a]), int(run[b - 1])
+                edge = pickle.dumps((
+                    int(b - a), int((first[s] & ~out[s]).sum()), not out[a], inside[:SIDE].tolist(), inside[-SIDE:].tolist(),
+                    (int(p[a]), head, _hours_in(hour[a : a + head])), (int(p[b - 1]), tail, _hours_in(hour[b - tail : b])),
+                ))
             found.append((
-                int(get["address"][a]), int(get["window_id"][a]), int(get["block"][a]), bool(solo[a]),
-                _packed(get["seq"][s]), _packed(get["at"][s]), _packed(p[s]), shape[s].tobytes(), pickle.dumps(summary),
+                *(int(get[c][a]) for c in ("address", "window_id", "start", "block")), bool(flags[a] & _SOLO),
+                _packed(get["seq"][s]), _packed(get["at"][s]), _packed(p[s]), out[s].tobytes(), edge,
             ))
-        names = ["address", "window_id", "block", "solo", "seq", "time", "payload", "shape", "summary"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), *[pa.binary()] * 5]
+        names = ["address", "window_id", "start", "block", "solo", "seq", "time", "payload", "out", "edge"]
+        kinds = [*[pa.int64()] * 4, pa.bool_(), *[pa.binary()] * 5]
         for k in range(0, len(found), 512):
             part = list(zip(*found[k : k + 512]))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(part, kinds)], names)
 
 
+def _beside(edges: list[tuple]) -> list[tuple[list[int], tuple[int, int]]]:
+    """Of units in order, by their edges: the SIDE readings before each, and length and hours of the run that goes on into it."""
+    found, left, run = [], [], (None, 0, 0)
+    for n, _, _, _, last, head, tail in edges:
+        goes_on = run[1:] if run[1] and run[0] == head[0] else (0, 0)
+        found.append((left, goes_on))
+        left = (left + last)[-SIDE:]
+        run = (tail[0], tail[1] + goes_on[0], tail[2] | goes_on[1]) if tail[1] == n else tail
+    return found
+
+
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges, sorted by window and block, to what each unit needs of the rest of its window."""
+    for rows in whole_groups(batches, "window_key", ROWS):
+        keys = [rows.column(c).to_numpy() for c in ("address", "window_id", "start", "block")]
+        key = np.stack([rows.column("window_key").to_numpy(), *keys[:3]])
+        start = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0)])
+        edges, out = [pickle.loads(e) for e in rows.column("edge").to_pylist()], []
+        for a, b in zip(start, np.r_[start[1:], len(edges)]):
+            own = edges[a:b]
+            before = _beside(own)
+            mirrored = [(n, heads, inside, last[::-1], first[::-1], tail, head) for n, heads, inside, first, last, head, tail in own[::-1]]
+            after = [(right[::-1], goes_on) for right, goes_on in _beside(mirrored)[::-1]]
+            # A run that goes on from the unit before has its first reading there.
+            heads = sum(e[1] - (e[2] and x[1][0] > 0) for e, x in zip(own, before))
+            out += [pickle.dumps((heads, x, y)) for x, y in zip(before, after)]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, keys), pa.array(out, pa.binary())], ["c_address", "c_window_id", "c_start", "c_block", "context"])
+
+
+class _Shaped:
+    """Readings of units with their shape in the whole window; unit u has readings bounds[u] to bounds[u+1]."""
+
+    def __init__(self, units: list[dict]):
+        self.words = {c: np.concatenate([_unpacked(u[c]) for u in units]) for c in ("seq", "time", "payload")}
+        outs = [np.frombuffer(u["out"], bool) for u in units]
+        self.bounds = np.cumsum([0, *map(len, outs)])
+        self.source = np.repeat(np.arange(len(units)), np.diff(self.bounds))
+        self.hour = _hour(self.words["time"])
+        p, out = self.words["payload"], np.concatenate(outs)
+        self.shape = shape = np.zeros(len(p), _SHAPE)
+        shape["out"] = out
+        shape["run"], shape["first"] = _runs(self.source, p)
+        #: Readings of the windows of the units that a sample may hold, None of a unit that is a window's only one.
+        self.heads: list[int | None] = []
+        #: By the first reading of a part of a run, hours of the readings of that run in other units.
+        self.elsewhere: dict[int, int] = {}
+        pieces, own = [], []
+        for u, a, b in zip(units, self.bounds, self.bounds[1:]):
+            heads, (left, before), (right, after) = pickle.loads(u["context"]) if u["context"] is not None else (None, ([], (0, 0)), ([], (0, 0)))
+            self.heads.append(heads)
+            inside = p[a:b][~out[a:b]]
+            pieces += [np.array(left, np.int64), inside, np.array(right, np.int64)]
+            own += [len(left), len(inside), len(right)]
+            head, tail = a + shape["run"][a], b - shape["run"][b - 1]
+            for part, (n, hours) in ((slice(a, head), before), (slice(tail, b), after)):
+                if n:
+                    shape["run"][part] += n
+                    self.elsewhere[part.start] = self.elsewhere.get(part.start, 0) | hours
+            if before[0]:
+                shape["first"][a] = False
+        mine = np.repeat(np.tile([False, True, False], len(units)), own)
+        group = np.repeat(np.repeat(np.arange(len(units)), 3), own)
+        distance, away, difference, middle = (v[mine] for v in _shape(group, np.concatenate(pieces).astype(np.float64)))
+        shape["distance"][~out], shape["difference"][~out] = distance, difference
+        self.away, self.middle = np.zeros(len(p)), np.zeros(len(p))
+        self.away[~out], self.middle[~out] = away, middle
+
+    def summary(self, u: int) -> dict:
+        """What a unit adds to the statistics of its source."""
+        s = slice(self.bounds[u], self.bounds[u + 1])
+        shape, p, hour = self.shape[s], self.words["payload"][s], self.hour[s]
+        used = np.flatnonzero(~shape["out"])
+        # Of a run only the first reading, or stuck ones would pass for a small scatter.
+        head = used[shape["first"][used]]
+        rank = self.words["seq"][s][head].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        rank = (rank ^ (rank >> np.uint64(29))) >> np.uint64(1)
+        # Of larger windows two to four times the sample is offered to the merge.
+        heads = len(head) if self.heads[u] is None else self.heads[u]
+        halved = max(0, int(np.floor(np.log2(max(heads, 1) / (2 * SAMPLE)))))
+        few = rank <= np.uint64(_LONGEST >> halved)
+        sample = np.zeros(few.sum(), _SAMPLE)
+        for c in ("distance", "difference", "run"):
+            sample[c] = shape[c][head][few]
+        sample["payload"], sample["hour"] = p[head][few], hour[head][few]
+        return {
+            "away": np.unique(_bin(self.away[s][head]), return_counts=True),
+            "runs": np.unique(_bin(shape["run"][head].astype(float)), return_counts=True),
+            "hours": (np.bincount(hour[used], self.middle[s][used], minlength=24), np.bincount(hour[used], minlength=24)),
+            "sample": (rank[few].astype(np.int64), sample),
+        }
+
+
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """Rows of units, so many together as make up work of bounded size."""
+    for table in blocks(batches, TOGETHER):
+        units = table.to_pylist()
+        for k in range(0, len(units), TOGETHER):
+            yield units[k : k + TOGETHER]
+
+
 def _model(away, runs, hours, sample) -> dict:
     """A source's scales and the features of its sample, from summed statistics."""
     scatter = max(_quantile(*away, 0.5) * 1.4826, 0.5) if len(away[0]) else 0.5
@@ -235,11 +318,12 @@ _PARTS = "address long, kind int, bin long, n long, v double, s binary"
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Summaries as rows that can be added up: kinds 0 to 2 by bin, kind 3 sample rows by hash."""
-    for batch in batches:
+    """Summaries of units as rows that can be added up: kinds 0 to 2 by bin, kind 3 sample rows by hash."""
+    for units in _together(batches):
         rows: list[tuple] = []
-        for address, blob in zip(batch.column("address").to_pylist(), batch.column("summary").to_pylist()):
-            summary = pickle.loads(blob)
+        shaped = _Shaped(units)
+        for i, address in enumerate(u["address"] for u in units):
+            summary = shaped.summary(i)
             for kind, name in enumerate(("away", "runs")):
                 rows += [(address, kind, int(b), int(n), 0.0, None) for b, n in zip(*summary[name])]
             rows += [(address, 2, h, int(n), float(v), None) for h, (v, n) in enumerate(zip(*summary["hours"])) if n]
@@ -265,44 +349,50 @@ def _models(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _scored(only_found: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in blocks(batches, TOGETHER):
-            units = table.to_pylist()
-            for k in range(0, len(units), TOGETHER):
-                yield _score(units[k : k + TOGETHER], only_found)
+        for units in _together(batches):
+            yield _score(units, only_found)
 
     return run
 
 
 def _score(units: list[dict], only_found: bool) -> pa.RecordBatch:
-    shapes = [np.frombuffer(u["shape"], _SHAPE) for u in units]
-    words = {c: [_unpacked(u[c]) for u in units] for c in ("seq", "time", "payload")}
+    shaped = _Shaped(units)
+    shape, source, words = shaped.shape, shaped.source, shaped.words
     models = []
-    for u in units:
+    for i, u in enumerate(units):
         if u["model"] is not None:
             models.append(pickle.loads(u["model"]))
         else:
-            summary = pickle.loads(u["summary"])
+            summary = shaped.summary(i)
             rank, sample = summary["sample"]
             models.append(_model(summary["away"], summary["runs"], summary["hours"], sample[np.argsort(rank, kind="stable")[:SAMPLE]]))
     bounds = np.cumsum([0, *(len(m["x"]) for m in models)])
     forests = Forests(np.concatenate([m["x"] for m in models]), bounds, np.array([u["address"] for u in units]))
-    source = np.repeat(np.arange(len(units)), [len(s) for s in shapes])
-    shape = np.concatenate(shapes)
-    x = np.concatenate([_features(s, p, _hour(t), m) for s, p, t, m in zip(shapes, words["payload"], words["time"], models)])
+    each = [slice(a, b) for a, b in zip(shaped.bounds, shaped.bounds[1:])]
+    x = np.concatenate([_features(shape[s], words["payload"][s], shaped.hour[s], m) for s, m in zip(each, models)])
     score = forests.score(x, source)
     deviation = shape["distance"] / np.array([m["scatter"] for m in models])[source]
     long = shape["run"] >= np.array([m["long"] for m in models])[source]
     easy = score >= ISOLATED
     # A run is one event: it is as easy to isolate as the easiest of its readings.
     starts = np.flatnonzero(shape["first"] | np.r_[True, source[1:] != source[:-1]])
-    easy_run = np.repeat(np.maximum.reduceat(score, starts), np.diff(np.r_[starts, len(score)])) >= ISOLATED if len(score) else easy
+    easiest = np.maximum.reduceat(score, starts)
+    # Readings of a long run have equal readings beside them, so those in other units differ by their hour only.
+    there = [(i, h) for i, hours in shaped.elsewhere.items() if long[i] for h in range(24) if hours >> h & 1]
+    if there:
+        at, hour = np.array(there).T
+        other = np.zeros(len(at), _SHAPE)
+        other["run"] = shape["run"][at]
+        y = np.concatenate([_features(other[k : k + 1], words["payload"][i : i + 1], hour[k : k + 1], models[source[i]]) for k, i in enumerate(at)])
+        np.maximum.at(easiest, np.searchsorted(starts, at), forests.score(y, source[at]))
+    easy_run = np.repeat(easiest, np.diff(np.r_[starts, len(score)])) >= ISOLATED
     reason = np.full(len(shape), None, object)
     reason[easy_run & long] = "stuck"
     reason[easy & (deviation >= FAR)] = "spike"
     reason[shape["out"]] = "limit"
     score[shape["out"]] = 1.0
-    keep = np.flatnonzero(shape["own"] & (np.not_equal(reason, None) if only_found else True))
-    word = {c: np.concatenate(v)[keep] for c, v in words.items()}
+    keep = np.flatnonzero(np.not_equal(reason, None)) if only_found else np.arange(len(shape))
+    word = {c: v[keep] for c, v in words.items()}
     of = {c: np.array([u[c] for u in units], np.int64)[source[keep]] for c in ("address", "window_id")}
     time = (word["time"].view(np.uint64) ^ np.uint64(1 << 63)).view(np.int64)
     columns = [word["seq"], of["address"], of["window_id"], time, word["payload"], score[keep].astype(np.float64), np.where(shape["out"][keep], np.nan, deviation[keep]).astype(np.float64), shape["run"][keep].astype(np.int64)]
@@ -333,48 +423,45 @@ def implausible(points: DataFrame, windows: DataFrame, limits: DataFrame, only_f
     firsts = first_deliveries(points.select("address", "time", "payload", "seq")).filter(F.col("payload").isNotNull() & F.col("seq").isNotNull())
     bounds = limits.filter(F.col("unit").isNotNull()).groupBy("unit").agg(F.max("lowest").alias("lowest"), F.min("highest").alias("highest"))
     unit = windows.filter(F.col("unit").isNotNull()).select("window_id", F.col("address").alias("u_address"), F.col("start_time").alias("u_start"), "unit").distinct()
-    # A source that reports several times as often as it owes gets units that are as many times shorter.
-    rows_of = points.filter(F.col("address").isNotNull()).groupBy(F.col("address").alias("s_address")).agg(F.count("*").alias("rows"))
-    slots = proper_windows(windows)
-    owed = slots.groupBy(F.col("address").alias("o_address")).agg(F.sum("n_slots").alias("owed"))
-    proper = slots.join(owed, F.col("address") == F.col("o_address")).join(rows_of, F.col("address") == F.col("s_address"), "left").drop("o_address", "s_address")
-    proper = proper.withColumn("dense", F.least(F.col("step_ns"), F.greatest(F.lit(1).cast("long"), F.expr("coalesce(rows, 0) div owed"))))
-    proper = proper.withColumn("unit_ns", F.expr(f"coalesce(try_multiply(step_ns, {BLOCK}L), {_LONGEST}L) div dense"))
-    proper = proper.withColumn("blocks", F.expr("(last - first) div unit_ns + 1")).drop("rows", "owed")
+    # A window with several times as many readings as slots gets units that are as many times shorter. Repeats count here:
+    # units only bound the work.
+    window = ["window_id", "address", "start_time"]
+    slots = proper_windows(windows).withColumn("window_id", F.coalesce("window_id", F.lit(-1).cast("long"))).distinct()
+    some = points.select("address", "time").filter(F.col("payload").isNotNull() & F.col("seq").isNotNull())
+    inside = in_windows(some, slots).groupBy(*window).agg(F.count("*").alias("rows"))
+    proper = slots.join(inside, window, "left")
+    proper = proper.withColumn("dense", F.least(F.col("step_ns"), F.greatest(F.lit(1).cast("long"), F.expr("coalesce(rows, 0) div n_slots"))))
+    proper = proper.withColumn("unit_ns", F.greatest(F.lit(1).cast("long"), F.expr(f"coalesce(try_multiply(step_ns, {BLOCK}L), {_LONGEST}L) div dense")))
+    proper = proper.withColumn("blocks", F.expr("(last - first) div unit_ns + 1")).drop("rows", "dense")
     per_source = proper.groupBy(F.col("address").alias("s_address")).agg((F.sum("blocks") == 1).alias("solo"))
     proper = proper.join(per_source, F.col("address") == F.col("s_address")).drop("s_address")
+    unit = unit.withColumn("window_id", F.coalesce("window_id", F.lit(-1).cast("long")))
     named = unit.join(bounds, "unit", "left").groupBy("window_id", "u_address", "u_start").agg(F.max("lowest").alias("lowest"), F.min("highest").alias("highest"))
     proper = proper.join(
-        named, proper["window_id"].eqNullSafe(named["window_id"]) & (F.col("address") == F.col("u_address")) & (F.col("start_time") == F.col("u_start")), "left"
+        named, (proper["window_id"] == named["window_id"]) & (F.col("address") == F.col("u_address")) & (F.col("start_time") == F.col("u_start")), "left"
     ).drop(named["window_id"]).drop("u_address", "u_start")
     # Small beside the points: one row per window.
-    proper = materialise(proper.withColumn("window_id", F.coalesce("window_id", F.lit(-1).cast("long"))), "windows")
+    proper = materialise(proper, "windows")
     reads = in_windows(firsts, proper, "payload", "seq").withColumnRenamed("p_payload", "payload").withColumnRenamed("p_seq", "seq")
     reads = reads.withColumn("block", F.expr("offset div unit_ns"))
-    rest = F.col("offset") - F.col("block") * F.col("unit_ns")
-    halo = F.expr(f"unit_ns div {BLOCK // HALO}")
-    beside = F.array_compact(F.array(
-        F.col("block"),
-        F.when((rest < halo) & (F.col("block") > 0), F.col("block") - 1),
-        F.when((rest >= F.col("unit_ns") - halo) & (F.col("block") + 1 < F.col("blocks")), F.col("block") + 1),
-    ))
     out = F.coalesce((F.col("payload") < F.col("lowest")) | (F.col("payload") > F.col("highest")), F.col("payload") < F.col("lowest"), F.col("payload") > F.col("highest"), F.lit(False))
-    # Of larger windows two to four times the sample is offered to the merge; of a source's only unit, all.
-    halved = F.when(F.col("solo"), F.lit(0)).otherwise(F.greatest(F.lit(0), F.floor(F.log2(F.col("n_slots") * F.col("dense").cast("double") / (2.0 * SAMPLE))).cast("int")))
-    flags = F.when(out, F.lit(_OUT)).otherwise(F.lit(0)) + F.when(F.col("in_block") == F.col("block"), F.lit(_OWN)).otherwise(F.lit(0)) + F.when(F.col("solo"), F.lit(_SOLO)).otherwise(F.lit(0)) + halved * _SHARE
-    rows = reads.withColumn("in_block", F.explode(beside)).select(
-        "address", "window_id", F.col("in_block").alias("block"), order_key(F.col("p_time")).alias("at"), "seq", "payload", flags.cast("int").alias("flags"),
-        F.xxhash64("window_id", "address", "start_time", "in_block").alias("unit_key"),
+    flags = sum((F.when(c, F.lit(bit)).otherwise(F.lit(0)) for bit, c in ((_OUT, out), (_SOLO, F.col("solo")), (_ONLY, F.col("blocks") == 1))), F.lit(0))
+    rows = reads.select(
+        "address", "window_id", F.col("start_time").alias("start"), "block", order_key(F.col("p_time")).alias("at"), "seq", "payload", flags.cast("int").alias("flags"),
+        F.xxhash64("window_id", "address", "start_time", "block").alias("unit_key"),
     )
     sorted_rows = rows.repartition(n, "unit_key").sortWithinPartitions("unit_key", "address", "block", "at", "seq")
     units = materialise(sorted_rows.mapInArrow(_units, _UNIT), "units")
-    parts = units.filter(~F.col("solo")).select("address", "summary").mapInArrow(_parts, _PARTS)
+    edges = units.filter(F.col("edge").isNotNull()).select("address", "window_id", "start", "block", "edge", F.xxhash64("window_id", "address", "start").alias("window_key"))
+    edges = edges.repartition(n, "window_key").sortWithinPartitions("window_key", "address", "window_id", "start", "block")
+    contexts = materialise(edges.mapInArrow(_contexts, "c_address long, c_window_id long, c_start long, c_block long, context binary"), "contexts")
+    place = [F.col(c) == F.col(f"c_{c}") for c in ("address", "window_id", "start", "block")]
+    units = bounded_join(units.drop("edge"), contexts, place[0] & place[1] & place[2] & place[3], "left", BROADCAST_CONTEXTS)
+    parts = units.filter(~F.col("solo")).select("address", "seq", "time", "payload", "out", "context").mapInArrow(_parts, _PARTS)
     sums = parts.filter(F.col("kind") < 3).groupBy("address", "kind", "bin").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).withColumn("s", F.lit(None).cast("binary"))
     first = F.row_number().over(Window.partitionBy("address").orderBy("bin"))
     sample = parts.filter(F.col("kind") == 3).withColumn("nth", first).filter(F.col("nth") <= SAMPLE).drop("nth")
     model_parts = sums.unionByName(sample).repartition(n, "address").sortWithinPartitions("address", "kind", "bin")
     models = materialise(model_parts.mapInArrow(_models, "m_address long, model binary"), "models")
     joined = bounded_join(units, models, F.col("address") == F.col("m_address"), "left", BROADCAST_MODELS)
-    return joined.select("address", "window_id", "seq", "time", "payload", "shape", "model", F.when(F.col("solo"), F.col("summary")).alias("summary")).mapInArrow(
-        _scored(only_found), RESULT
-    )
+    return joined.select("address", "window_id", "seq", "time", "payload", "out", "context", "model").mapInArrow(_scored(only_found), RESULT)
