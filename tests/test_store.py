@@ -197,3 +197,25 @@ def test_cli(spark, store, capsys):
     assert capsys.readouterr().out.splitlines() == ["Registered", "Already registered"]
     with pytest.raises(SystemExit):
         main(["--root", store.root, "--origin", "A_B", "register", "--simple-buckets", "3", "--extended-buckets", "4"])
+
+
+def test_the_first_written_of_a_write_of_several_blobs(spark, store):
+    """The order of blobs counts before positions in them, in one write and over several."""
+    store.register("N", 4, 4)
+    one = blob([(8, 100 + k, k) for k in range(900)] + [(2, 5, 1), (3, 5, b"one")])
+    two = blob([(10, 1, 0), (2, 5, 2), (3, 5, b"two"), (4, 6, 3)])
+    store.write_blobs("N", spark.createDataFrame([(1, bytearray(two)), (0, bytearray(one))], "batch_id long, blob binary"))
+    store.write_blobs("N", spark.createDataFrame([(0, bytearray(blob([(2, 5, 9), (4, 6, 9), (6, 7, 4)])))], "batch_id long, blob binary"))
+    assert rows(store.read_simple("N", 0, 20, [2, 4, 6])) == [(2, 5, 1), (4, 6, 3), (6, 7, 4)]
+    assert rows(store.read_extended("N", 0, 20, [3])) == [(3, 5, b"one")]
+    assert [parsed(c) for c in store.chunks("N", 0, 20, [2])] == [[(2, 5, 1)]]
+
+
+def test_seq_is_kept_whole(spark, store):
+    schema = "address long, time long, payload long, seq long"
+    store.register("N", 4, 4)
+    store.write("N", spark.createDataFrame([(2, 1, 10, (7 << 32) + 1), (2, 1, 20, (2**31 - 1 << 32) + 0), (4, 1, 30, 5), (4, 1, 40, -5)], schema))
+    store.write("N", spark.createDataFrame([(2, 1, 50, -(2**63)), (6, 1, 60, 2**63 - 1)], schema))
+    assert rows(store.read_simple("N", 0, 9, [2, 4, 6])) == [(2, 1, 10), (4, 1, 40), (6, 1, 60)]
+    found = sorted((r.version, r.seq) for r in store.points("N").collect())
+    assert found == [(1, -5), (1, 5), (1, (7 << 32) + 1), (1, 2**31 - 1 << 32), (2, -(2**63)), (2, 2**63 - 1)]

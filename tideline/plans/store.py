@@ -144,9 +144,9 @@ class PointStore:
     def write(self, ns: str, simple: DataFrame | None = None, extended: DataFrame | None = None) -> Snapshot:
         """Write simple and extended points (address, time, payload, seq) as one batch.
 
-        seq orders the points within the batch and must be below 2**32 times
-        the batches to come for the stored order to hold. Points with a null
-        address or time, or of the other kind, are not written.
+        seq, any LONG, orders the points within the batch and is kept whole;
+        points of earlier writes come first. Points with a null address or
+        time, or of the other kind, are not written.
         """
         self.snapshot(ns)
         local = self.root if "://" not in self.root else self.root[7:] if self.root.startswith("file://") else None
@@ -164,12 +164,11 @@ class PointStore:
         now = self.snapshot(ns)
         version = now.version + 1
         batch = f"{version:012d}-{uuid.uuid4().hex[:8]}"
-        base = version << 32
         wrote = {}
         for kind, rows, index in (("simple", simple, now.simple), ("extended", extended, now.extended)):
             if rows is None:
                 continue
-            own = P.of_kind(rows, kind == "extended").select("address", "time", "payload", (F.col("seq").bitwiseAND(F.lit((1 << 32) - 1)) + F.lit(base)).alias("seq"))
+            own = P.of_kind(rows, kind == "extended").select("address", "time", "payload", F.col("seq").cast("long").alias("seq"))
             routed = index.located(own).repartition(shuffle_partitions(self.spark), "epoch", "bucket").sortWithinPartitions("epoch", "bucket", order_key(F.col("time")))
             routed.write.partitionBy("epoch", "bucket").parquet(f"{self._path(ns)}/{kind}/batch={batch}")
             wrote[kind] = self._summary(ns, batch, kind)
@@ -230,19 +229,25 @@ class PointStore:
     def _table(self, ns: str, now: Snapshot, extended: bool) -> DataFrame:
         return self._read(ns, "extended" if extended else "simple", now.batches)
 
+    def _in_order(self, ns: str, now: Snapshot, extended: bool) -> DataFrame:
+        """The table with seq as the order over all writes: by write, then by seq within it, in one number that hashed aggregates can hold."""
+        version = F.split_part("batch", F.lit("-"), F.lit(1)).cast("decimal(17,0)")
+        return self._table(ns, now, extended).withColumn("seq", version * F.lit(str(1 << 64)).cast("decimal(20,0)") + F.col("seq").cast("decimal(19,0)"))
+
     def points(self, ns: str, extended: bool = False) -> DataFrame:
-        """All visible points as written, with seq, epoch and bucket."""
-        return self._table(ns, self.snapshot(ns), extended).drop("batch")
+        """All visible points as written, with seq, the version of the write, epoch and bucket."""
+        version = F.split_part("batch", F.lit("-"), F.lit(1)).cast("long")
+        return self._table(ns, self.snapshot(ns), extended).withColumn("version", version).drop("batch")
 
     def read_simple(self, ns: str, start: int, end: int, addresses: P.Addresses) -> DataFrame:
         """address, time, payload of the simple points of the addresses with start <= time <= end."""
         now = self.snapshot(ns)
-        return P.read(self._table(ns, now, False), start, end, addresses, False, now.simple)
+        return P.read(self._in_order(ns, now, False), start, end, addresses, False, now.simple)
 
     def read_extended(self, ns: str, start: int, end: int, addresses: P.Addresses) -> DataFrame:
         """address, time, payload (bytes) of the extended points of the addresses with start <= time <= end."""
         now = self.snapshot(ns)
-        return P.read(self._table(ns, now, True), start, end, addresses, True, now.extended)
+        return P.read(self._in_order(ns, now, True), start, end, addresses, True, now.extended)
 
     def chunks(self, ns: str, start: int, end: int, addresses: Sequence[int], extended: bool = False) -> Iterator[bytes]:
         """The points of a read in wire form, a chunk per object that has any.
@@ -253,7 +258,7 @@ class PointStore:
         """
         now = self.snapshot(ns)
         index = now.extended if extended else now.simple
-        rows = P.read(self._table(ns, now, extended), start, end, addresses, extended, index)
+        rows = P.read(self._in_order(ns, now, extended), start, end, addresses, extended, index)
         place = {}
         for e, (epoch, buckets) in enumerate(index.targets(start, end, addresses)):
             place |= {(to_signed(epoch), b): (e, i) for i, b in enumerate(buckets)}

@@ -222,9 +222,7 @@ def _stored(spark: SparkSession, sf: str) -> PointStore:
     store = PointStore.temporary(spark, threshold=1 << 16)
     store.register("points", 4, 3)
     for t, kind in (("simple_points", "simple"), ("extended_points", "extended")):
-        rows = table(spark, sf, t)
-        # The order of writing fits the 32 bits of a batch: batch ids of the table above, positions below.
-        store.write("points", **{kind: rows.withColumn("seq", F.shiftright("seq", 32) * (1 << 16) + F.col("seq").bitwiseAND(F.lit(0xFFFF)))})
+        store.write("points", **{kind: table(spark, sf, t)})
     return store
 
 
