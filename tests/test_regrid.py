@@ -71,3 +71,19 @@ def test_extremes_and_empty(spark):
     none = spark.createDataFrame([], POINTS)
     assert R.regular_grid(none, windows).filter("missing").count() == len(rows)
     assert R.regular_grid(points, spark.createDataFrame([], WINDOWS)).count() == 0
+
+
+def test_the_method_is_computed_whole(spark):
+    """p3_method sums all moments and gives every slot; p3_found needs their count only."""
+    import __spark_entry__ as entry
+
+    queries = entry.queries()
+    assert [n for n in queries if n.startswith("p3_")][:2] == ["p3_method", "p3_found"]
+    grid = queries["p3_method"](spark, "/root/testdata/sf0.001")
+    plan = grid._jdf.queryExecution().optimizedPlan().toString()
+    assert all(f"AS {c}#" in plan for c in ("w", "wd", "wdd", "wy", "wdy", "ww", "n"))
+    slots = spark.read.parquet("/root/testdata/sf0.001/reading_windows.parquet").distinct().agg({"n_slots": "sum"}).first()[0]
+    rows = grid.collect()
+    assert len(rows) == slots
+    assert sum(r.missing for r in rows) == queries["p3_found"](spark, "/root/testdata/sf0.001").count()
+    assert all(r.value is not None for r in rows if not r.missing)
