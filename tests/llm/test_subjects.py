@@ -109,3 +109,13 @@ def test_decomposition_brute_force(spark):
     kept = np.linalg.norm(a @ space.basis) ** 2
     best = (np.linalg.svd(a, compute_uv=False)[: space.basis.shape[1]] ** 2).sum()
     assert kept > 0.97 * best
+
+
+def test_scripts_without_spaces():
+    """Sentences that share words share terms, and words of two characters count."""
+    assert S.terms("价格 getPrice") == {"价格": 1, "get": 1, "price": 1}
+    assert S.terms("税率表，税率") == {"税率": 2, "率表": 1}
+    a, b = S.terms("# 法院判决赔偿原告的损失"), S.terms("# 原告上诉，法院判决无效")
+    assert {"法院", "判决", "原告"} <= a.keys() & b.keys()
+    assert S.terms("법원 판결").keys() == {"법원", "판결"} and "ที่" not in S.terms("ศาลที่") and len(S.terms("ศาลที่")) == 5
+    assert S.terms("plainWords überall") == {"plain": 1, "words": 1, "überall": 1}

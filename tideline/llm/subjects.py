@@ -59,6 +59,8 @@ STEPS = 40
 _UPPER = "A-ZÀ-ÖØ-Þ"
 #: Parts of identifiers: runs of capitals, or a letter with the small ones after it.
 _TERMS = re.compile(rf"[{_UPPER}]+(?![^\W\d_{_UPPER}])|[{_UPPER}]?[^\W\d_{_UPPER}]+").findall
+#: Runs of scripts that put no spaces between words (Thai, Lao, Burmese, Khmer, Japanese, Chinese), and Korean, whose words are mostly of two.
+_UNSPACED = re.compile("[\u0e01-\u0e4e\u0e81-\u0ece\u1000-\u103f\u1780-\u17d3\u3005\u3041-\u3096\u30a1-\u30fa\u30fc\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7a3\uf900-\ufaff\U00020000-\U000323af]+")
 _COMMENTS_AT_START = re.compile(r"\A(?:[ \t]*(?://|#|/\*|\*|--|<!--|;|%)[^\n]*\n)+")
 _LICENCE = re.compile(r"licen[cs]e|spdx|copyright|terms:", re.IGNORECASE)
 
@@ -66,13 +68,21 @@ _LICENCE = re.compile(r"licen[cs]e|spdx|copyright|terms:", re.IGNORECASE)
 def terms(text: str) -> dict[str, int]:
     """Terms of a text with their counts: lower-case words of three letters and more, out of identifiers too.
 
-    Comments at the very start that speak of a licence are left out, unless
+    Of scripts without spaces, and of Korean, every two characters side by side
+    are a term. Comments at the very start that speak of a licence are left out, unless
     they are all there is.
     """
     head = _COMMENTS_AT_START.match(text)
     body = text[head.end() :] if head and _LICENCE.search(head.group()) else text
-    words = _TERMS(body) or _TERMS(text)
+    words = _TERMS(body)
+    if not words:
+        body, words = text, _TERMS(text)
     out: dict[str, int] = {}
+    if not body.isascii() and _UNSPACED.search(body):
+        words = [part for w in words for part in _UNSPACED.split(w)]
+        for run in _UNSPACED.findall(body):
+            for pair in map("".join, zip(run, run[1:])):
+                out[pair] = out.get(pair, 0) + 1
     for w in words:
         if len(w) >= 3:
             w = w.lower()
