@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
 
 from tideline.llm import subjects as S
 
@@ -119,3 +120,9 @@ def test_scripts_without_spaces():
     assert {"法院", "判决", "原告"} <= a.keys() & b.keys()
     assert S.terms("법원 판결").keys() == {"법원", "판결"} and "ที่" not in S.terms("ศาลที่") and len(S.terms("ศาลที่")) == 5
     assert S.terms("plainWords überall") == {"plain": 1, "words": 1, "überall": 1}
+
+
+def test_too_many_subjects_are_refused(spark):
+    listed = spark.range(S.MAX_SUBJECTS + 1).selectExpr("concat('s', id) AS subject", "'' AS description")
+    with pytest.raises(ValueError, match="subjects"):
+        S.subject_areas(spark.createDataFrame([], "doc_id long, text string"), listed, spark.createDataFrame([], LABELS))

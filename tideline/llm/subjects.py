@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.session import materialise
+from tideline.session import fits, materialise
 
 #: Terms are hashed to so many dimensions.
 DIMENSIONS = 1 << 18
@@ -37,6 +37,8 @@ PASSES = 3
 DENSE_TERMS, DENSE_ROWS = 8192, 512
 #: Documents that a term must be in; natural log of documents per document with the term, below which a term says nothing.
 LEAST_DOCUMENTS, LEAST_WEIGHT = 3, 0.4
+#: Rows that the table of subjects may have.
+MAX_SUBJECTS = 1000
 #: Labelled documents used at most, those with the least hash of doc_id.
 MAX_LABELLED = 20_000
 #: Part of a document from which on it deals with a subject.
@@ -51,7 +53,7 @@ COMPANY, COMPANY_COSINE, COMPANY_SHARE = 3, 0.6, 0.8
 NEW_COSINE = 0.45
 #: Share of the labelled documents nearest to a further centroid that must have its subject, before and after refinement.
 BORNE_OUT = 0.7
-#: Further centroids per subject at most.
+#: Further centroids per subject at most: documents in still more languages or forms are only found if they are near one of these.
 MORE_CENTROIDS = 8
 #: Steps of the non-negative decomposition.
 STEPS = 40
@@ -358,13 +360,16 @@ def subject_areas(documents: DataFrame, subjects: DataFrame, labels: DataFrame,
     """doc_id, subject: a row for each subject that makes up at least the threshold of a document.
 
     documents: doc_id, text; subjects: subject, description (a small table of
-    parameters); labels: doc_id, subject, of any raters. Null, empty and blank
+    parameters, refused beyond MAX_SUBJECTS rows); labels: doc_id, subject, of any raters. Null, empty and blank
     texts, and texts whose words are all too common or too rare to weigh, have
     no subject. Labels of other subjects or documents, or with nulls, are not
     used. Empty subjects or documents give no rows. Other columns are not read.
     """
     spark = documents.sparkSession
-    listed = {r.subject: r.description or "" for r in subjects.select("subject", "description").limit(1000).collect() if r.subject is not None}
+    rows = subjects.select("subject", "description").filter(F.col("subject").isNotNull())
+    if not fits(rows, MAX_SUBJECTS):
+        raise ValueError(f"more than {MAX_SUBJECTS} subjects")
+    listed = {r.subject: r.description or "" for r in rows.collect()}
     names = sorted(listed)
     vectors = materialise(term_vectors(documents), "terms")
     space = fit_space(vectors)
