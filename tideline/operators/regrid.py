@@ -1,32 +1,49 @@
 """Irregular readings onto the regular grid of their windows.
 
 Each grid slot is evaluated by weighted local polynomial regression (degree 1)
-with a compact kernel, at the middle of the slot. A reading has weight only in
-the few slots whose kernel reaches it, so instead of searching readings for
-every slot, each reading is indexed to those slots and adds its weighted
-moments there. Moments are sums: they combine before the shuffle, so a source
-with most of the readings, or a slot with millions, is no hot spot, and nothing
-needs sorting. All of it is column expressions.
+with the Epanechnikov kernel, at the middle of the slot. The kernel reaches
+whole slots (its half width is an odd number of half steps) and is a polynomial
+there, so what a slot's readings contribute to it and to its neighbours follows
+from ten sums over the slot's own readings. Readings are thus indexed by their
+slot, once each, and no reading is searched for or copied for its neighbours.
+
+Windows are cut into chunks of slots. A task first adds up the readings of a
+slot that has many of them, so a source with most of the readings, or a slot
+with millions, sends few rows; then each chunk is evaluated as it streams by.
+Only the readings of the outermost slots of a chunk go to the chunk beside it,
+too.
 """
 
 from __future__ import annotations
 
+import struct
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions.u64 import order_key
-from tideline.session import bounded_join, shuffle_partitions
+from tideline.operators.arrow_blocks import blocks
+from tideline.session import bounded_join, materialise, shuffle_partitions
 
-#: Half width of the kernel, in steps of the window.
+#: Half width of the kernel, in steps of the window: an odd number of halves.
 BANDWIDTH = 1.5
-#: Least effective number of readings for an estimate across an empty slot.
-MIN_SUPPORT = 2.0
+#: Least effective number of readings for an estimate.
+MIN_SUPPORT = 1.5
+#: Share of its upper bound below which the determinant of the normal equations is taken for that of one time only.
+FLAT = 1e-6
 #: Width of the time cells by which readings find their window: 2**46 ns, 19.5 hours.
 CELL_BITS = 46
-#: Slots that one task makes at a time out of one window.
+#: Slots in a chunk, the unit of work; a kernel must not reach farther.
 SLOT_CHUNK = 4096
-#: Window cells up to which they are broadcast; beyond, both sides are shuffled.
+#: Window cells up to which they are broadcast (about 100 bytes each); beyond, both sides are shuffled.
 BROADCAST_CELLS = 200_000
+#: Rows of a task among which readings of a slot are added up before the shuffle, if there are so many of them.
+BLOCK_ROWS, MANY = 1 << 18, 8
+#: Slots that are evaluated at a time.
+AT_ONCE = 1 << 18
 
 _MAX = (1 << 63) - 1
 
@@ -37,12 +54,14 @@ def proper_windows(windows: DataFrame) -> DataFrame:
     first and last are the order keys of the first time and the last time that
     belong to the window. Windows with a null (but window_id), with no slots or
     with a step below 1 have no slots and are dropped; repeated rows count once.
+    A window ends with the last word, and 2**63 - 1 ns after its start.
     """
     w = windows.select("window_id", "address", "start_time", "step_ns", "n_slots").filter(
         F.col("address").isNotNull() & F.col("start_time").isNotNull() & (F.col("step_ns") > 0) & (F.col("n_slots") > 0)
     )
     first = order_key(F.col("start_time"))
-    last = F.coalesce(F.try_add(first, F.try_multiply(F.col("step_ns"), F.col("n_slots"))) - 1, F.lit(_MAX))
+    span = F.coalesce(F.try_multiply(F.col("step_ns"), F.col("n_slots")), F.lit(_MAX))
+    last = F.coalesce(F.try_add(first, span - 1), F.lit(_MAX))
     return w.distinct().withColumn("first", first).withColumn("last", last)
 
 
@@ -68,68 +87,195 @@ def in_windows(points: DataFrame, windows: DataFrame, *extra: str) -> DataFrame:
     return joined.withColumn("offset", F.col("p_key") - F.col("first")).drop("cell", "p_cell", "p_key", "p_address")
 
 
-def slots_of(windows: DataFrame) -> DataFrame:
-    """Every slot of the windows: window_id, address, slot, slot_time, made in chunks over many tasks."""
-    n = shuffle_partitions(windows.sparkSession)
-    chunks = windows.withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_slots") - 1, F.lit(SLOT_CHUNK).cast("long"))))
-    chunks = chunks.repartition(n, "window_id", "address", "start_time", "from")
-    to = F.least(F.col("from") + (SLOT_CHUNK - 1), F.col("n_slots") - 1)
-    # The window's last time may be the last word there is; slots beyond it do not exist.
-    reach = F.expr("(last - first) div step_ns")
-    return chunks.withColumn("slot", F.explode(F.sequence("from", F.least(to, F.greatest(reach, F.col("from")))))).filter(F.col("slot") <= reach)
+#: Rows on their way to a chunk: a reading (slot in the chunk, ns into the slot, payload), sums over readings of a
+#: slot (sums, a null), or the chunk itself (slot FIRST, slots in it, step, sums: where it lies).
+_CELL = "wid long, chunk long, slot int, a long, b long, sums binary"
+FIRST = -(1 << 30)
+_PLACE = "<qqqqq?"
+RESULT = "window_id long, address long, slot long, slot_time long, readings long, support double, value double, missing boolean"
+
+
+def _sums(u: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Rows (n, u, u2, u3, u4, y, uy, u2y, u3y) of readings at u, from -0.5 to 0.5 steps off the middle of their slot."""
+    u2 = u * u
+    return np.stack([np.ones(len(u)), u, u2, u2 * u, u2 * u2, y, u * y, u2 * y, u2 * u * y])
+
+
+def _indexed(halo: int, length: int, least: int):
+    """Rows (wid, step, slots, offset, payload) to cells; readings near the border of a chunk also as cells of the next; chunks have `length` slots, slots with `least` readings are added up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in blocks(batches, BLOCK_ROWS):
+            wid, step, slots, offset, y = (table.column(c).to_numpy() for c in ("wid", "step_ns", "n_slots", "offset", "payload"))
+            own = offset // step
+            rest = offset - own * step
+            order = np.lexsort((own, wid))
+            new = np.r_[True, (np.diff(wid[order]) != 0) | (np.diff(own[order]) != 0)]
+            start = np.flatnonzero(new)
+            size = np.diff(np.r_[start, len(order)])
+            group = np.cumsum(new) - 1
+            dense = size >= least
+            one = order[~dense[group]]
+            part = [np.stack([wid[one], own[one], rest[one], y[one]]), np.zeros((4, 0), np.int64)]
+            sums: list[bytes | None] = [None] * len(one)
+            if dense.any():
+                many = order[dense[group]]
+                at = np.r_[0, np.cumsum(size[dense])[:-1]]
+                total = np.add.reduceat(_sums(rest[many] / step[many] - 0.5, y[many].astype(np.float64)), at, axis=1)
+                zero = np.zeros(len(at), np.int64)
+                part[1] = np.stack([wid[many][at], own[many][at], zero, zero])
+                sums += [np.ascontiguousarray(c).tobytes() for c in total.T]
+            cells = np.concatenate(part, axis=1)
+            sums = pa.array(sums, pa.binary())
+            last = np.concatenate([slots[one], slots[many][at] if dense.any() else np.zeros(0, np.int64)]) - 1
+            yield from _out(cells, cells[1] // length, sums, np.arange(cells.shape[1]))
+            inside = cells[1] % length
+            chunks = cells[1] // length
+            for to, near in ((chunks - 1, (inside < halo) & (chunks > 0)), (chunks + 1, (inside >= length - halo) & (chunks < last // length))):
+                yield from _out(cells, to, sums, np.flatnonzero(near))
+
+    def _out(cells: np.ndarray, chunk: np.ndarray, sums: pa.Array, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(at):
+            wid, own, a, b = cells[:, at]
+            columns = [pa.array(wid), pa.array(chunk[at]), pa.array((own - chunk[at] * length).astype(np.int32)), pa.array(a), pa.array(b), sums.take(pa.array(at))]
+            yield pa.RecordBatch.from_arrays(columns, ["wid", "chunk", "slot", "a", "b", "sums"])
+
+    return run
+
 
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (wid, chunk, slots of it, step, window_id, address, start_time, its first slot) to cells that say where the chunk lies."""
+    for batch in batches:
+        wid, chunk, width, step, window_id, address, start, before = (batch.column(c) for c in ("wid", "chunk", "width", "step_ns", "window_id", "address", "start_time", "before"))
+        place = [
+            struct.pack(_PLACE, i or 0, a, s, st, c, i is None)
+            for i, a, s, st, c in zip(*(x.to_pylist() for x in (window_id, address, start, step, before)))
+        ]
+        first = pa.array(np.full(batch.num_rows, FIRST, np.int32))
+        yield pa.RecordBatch.from_arrays([wid, chunk, first, width, step, pa.array(place, pa.binary())], ["wid", "chunk", "slot", "a", "b", "sums"])
 
-def regular_grid(
-    points: DataFrame, windows: DataFrame, bandwidth: float = BANDWIDTH, min_support: float = MIN_SUPPORT, fill: bool = False
-) -> DataFrame:
+
+def _evaluated(bandwidth: float, min_support: float):
+    """Cells, sorted by chunk and slot, to the slots of the grid."""
+    halo = int(bandwidth)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The chunk that may go on in the next batch: its key, place, step and sums.
+        held: tuple | None = None
+        for batch in batches:
+            wid, chunk, slot, a, b = (batch.column(c).to_numpy() for c in ("wid", "chunk", "slot", "a", "b"))
+            if not len(wid):
+                continue
+            sums = batch.column("sums")
+            start = np.flatnonzero(np.r_[True, (np.diff(wid) != 0) | (np.diff(chunk) != 0)])
+            end = np.r_[start[1:], len(wid)]
+            done: list[tuple] = []
+            size = 0
+            for s, e in zip(start, end):
+                key = (wid[s], chunk[s])
+                if held is None or held[0] != key:
+                    if held is not None:
+                        done.append(held)
+                        size += held[3].shape[1]
+                        held = None
+                        if size >= AT_ONCE:
+                            yield _grid(done, halo, bandwidth, min_support)
+                            done, size = [], 0
+                    if slot[s] != FIRST:
+                        continue  # beyond the window's last word
+                    held = (key, struct.unpack(_PLACE, sums[int(s)].as_py()), int(b[s]), np.zeros((9, int(a[s]) + 2 * halo)))
+                    s += 1
+                if s < e:
+                    _, _, step, total = held
+                    at = slot[s:e] + halo
+                    rows = np.flatnonzero((at >= 0) & (at < total.shape[1]))
+                    summed = sums.slice(s, e - s).is_valid().to_numpy(zero_copy_only=False)[rows]
+                    one = rows[~summed]
+                    for row, v in zip(total, _sums(a[s:e][one] / step - 0.5, b[s:e][one].astype(np.float64))):
+                        row += np.bincount(at[one], v, minlength=len(row))
+                    for r in rows[summed]:
+                        total[:, at[r]] += np.frombuffer(sums[int(s + r)].as_py(), np.float64)
+            if done:
+                yield _grid(done, halo, bandwidth, min_support)
+        if held is not None:
+            yield _grid([held], halo, bandwidth, min_support)
+
+    return run
+
+
+def _grid(chunks: list[tuple], halo: int, bandwidth: float, min_support: float) -> pa.RecordBatch:
+    """Slots of whole chunks from the sums over their own readings."""
+    total = np.concatenate([c[3] for c in chunks], axis=1)
+    width = [c[3].shape[1] for c in chunks]
+    inside = np.concatenate([np.arange(w) for w in width])
+    own = np.flatnonzero((inside >= halo) & (inside < np.repeat(width, width) - halo))
+    # Sums over the kernel of d, the distance from the slot's middle; a reading j slots off has d = u + j.
+    n, d, d2, d3, d4, y, dy, d2y, d3y = np.zeros((9, len(own)))
+    for j in range(-halo, halo + 1):
+        m, u, u2, u3, u4, v, uv, u2v, u3v = total[:, own + j]
+        n += m
+        d += u + j * m
+        d2 += u2 + 2 * j * u + j * j * m
+        d3 += u3 + 3 * j * u2 + 3 * j**2 * u + j**3 * m
+        d4 += u4 + 4 * j * u3 + 6 * j**2 * u2 + 4 * j**3 * u + j**4 * m
+        y += v
+        dy += uv + j * v
+        d2y += u2v + 2 * j * uv + j * j * v
+        d3y += u3v + 3 * j * u2v + 3 * j**2 * uv + j**3 * v
+    h = bandwidth * bandwidth
+    w, wd, wdd, wy, wdy, ww = n - d2 / h, d - d3 / h, d2 - d4 / h, y - d2y / h, dy - d3y / h, n - 2 * d2 / h + d4 / (h * h)
+    # Readings at the very ends of the kernel have no weight, but for rounding.
+    some = w > 1e-9 * np.maximum(n, 1)
+    det = w * wdd - wd * wd
+    flat = det <= FLAT * w * w * h
+    with np.errstate(divide="ignore", invalid="ignore"):
+        support = np.where(some & (ww > 0), w * w / ww, 0.0)
+        estimate = np.where(flat, wy / w, (wdd * wy - wd * wdy) / det)
+    known = some & (support >= min_support)
+    place = np.array([c[1] for c in chunks], object)
+    each = np.repeat(np.arange(len(chunks)), np.array(width) - 2 * halo)
+    window_id, address, start, step, before = (place[:, i].astype(np.int64)[each] for i in range(5))
+    slot = before + inside[own] - halo
+    with np.errstate(over="ignore"):
+        time = start + slot * step
+    columns = [
+        pa.array(window_id, mask=place[:, 5].astype(bool)[each]), pa.array(address), pa.array(slot), pa.array(time), pa.array(np.rint(total[0, own]).astype(np.int64)),
+        pa.array(support), pa.array(estimate, mask=~known), pa.array(~known),
+    ]
+    return pa.RecordBatch.from_arrays(columns, ["window_id", "address", "slot", "slot_time", "readings", "support", "value", "missing"])
+
+
+def regular_grid(points: DataFrame, windows: DataFrame, bandwidth: float = BANDWIDTH, min_support: float = MIN_SUPPORT) -> DataFrame:
     """One row per slot of every window.
 
     points: address, time, payload (LONG words; payload signed). Readings with
     a null in any of them are none; all others count, also repeated ones.
-    windows: window_id, address, start_time, step_ns, n_slots.
+    windows: window_id, address, start_time, step_ns, n_slots. bandwidth: half
+    width of the kernel in steps, an odd number of halves (0.5, 1.5, 2.5 ...).
 
     Result: window_id, address, slot, slot_time, readings (in the slot itself),
     support (effective number of readings in the kernel, square of the sum of
-    weights over the sum of squares, 0 without any), value, missing. A slot
-    without a reading in it is missing and has no value; with fill, it gets the
-    estimate if support reaches min_support, and stays marked as missing. Where
-    the kernel holds fewer than two times, the weighted mean is the estimate.
-    Empty points leave all slots missing; empty windows give no rows.
+    weights over the sum of squares, 0 without any), value, missing. Where the
+    support does not reach min_support the slot is missing and has no value,
+    whether or not it has a reading of its own; all other slots have the
+    regression's estimate at their middle, the weighted mean if the kernel
+    holds a single time. Empty points leave all slots missing; empty windows
+    give no rows. Other columns are not read.
     """
-    w = proper_windows(windows)
-    reads = in_windows(points.select("address", "time", "payload").filter(F.col("payload").isNotNull()), w, "payload")
-    step = F.col("step_ns")
-    own = F.expr("offset div step_ns")
-    at = own.cast("double") + F.col("offset").cast("double") % step.cast("double") / step.cast("double")
-    reads = reads.withColumn("own", own).withColumn("at", at)
-    low = F.greatest(F.lit(0).cast("long"), F.ceil(F.col("at") - 0.5 - bandwidth))
-    # The last slot is that of the window's last time; later ones would be beyond the last word.
-    high = F.least(F.expr("(last - first) div step_ns"), F.floor(F.col("at") - 0.5 + bandwidth))
-    near = F.sequence(F.least(low, F.col("own")), F.greatest(high, F.col("own")))
-    parts = reads.select("window_id", "address", "start_time", "step_ns", "own", "at", F.col("p_payload").cast("double").alias("y"), F.explode(near).alias("slot"))
-    d = F.col("at") - F.col("slot") - 0.5
-    parts = parts.withColumn("d", d).withColumn("w", F.greatest(F.lit(0.0), 1 - F.pow(F.col("d") / bandwidth, F.lit(2.0))))
-    keys = ["window_id", "address", "start_time", "step_ns", "slot"]
-    moments = parts.select(
-        *keys, "w", (F.col("w") * F.col("d")).alias("wd"), (F.col("w") * F.col("d") * F.col("d")).alias("wdd"),
-        (F.col("w") * F.col("y")).alias("wy"), (F.col("w") * F.col("d") * F.col("y")).alias("wdy"),
-        (F.col("w") * F.col("w")).alias("ww"), (F.col("slot") == F.col("own")).cast("long").alias("n"),
-    )
-    zero = [F.lit(0.0).alias(c) for c in ("w", "wd", "wdd", "wy", "wdy", "ww")]
-    slots = slots_of(w).select(*keys, *zero, F.lit(0).cast("long").alias("n"))
-    s = moments.unionByName(slots).groupBy(*keys).agg(*(F.sum(c).alias(c) for c in ("w", "wd", "wdd", "wy", "wdy", "ww", "n")))
-    det = F.col("w") * F.col("wdd") - F.col("wd") * F.col("wd")
-    # Below this share of its upper bound the determinant is rounding: one time only.
-    flat = det <= 1e-9 * F.col("w") * F.col("w") * bandwidth * bandwidth
-    estimate = F.when(F.col("w") <= 0, F.lit(None)).when(flat, F.col("wy") / F.col("w")).otherwise(
-        (F.col("wdd") * F.col("wy") - F.col("wd") * F.col("wdy")) / det
-    )
-    support = F.when(F.col("ww") > 0, F.col("w") * F.col("w") / F.col("ww")).otherwise(F.lit(0.0))
-    shown = (F.col("readings") > 0) | F.lit(fill) & (F.col("support") >= min_support)
-    return s.select(
-        "window_id", "address", "slot", order_key(order_key(F.col("start_time")) + F.col("slot") * step).alias("slot_time"),
-        F.col("n").alias("readings"), support.alias("support"), estimate.alias("estimate"),
-    ).select(
-        "window_id", "address", "slot", "slot_time", "readings", "support",
-        F.when(shown, F.col("estimate")).alias("value"), (F.col("readings") == 0).alias("missing"),
-    )
+    if bandwidth < 0.5 or (bandwidth * 2) % 2 != 1:
+        raise ValueError(f"the kernel's half width is no odd number of half steps: {bandwidth}")
+    if bandwidth > SLOT_CHUNK:
+        raise ValueError(f"the kernel reaches beyond the {SLOT_CHUNK} slots of a chunk: {bandwidth}")
+    spark = points.sparkSession
+    # Numbered once, in the written table: one row per window.
+    w = materialise(proper_windows(windows).withColumn("wid", F.monotonically_increasing_id()), "windows")
+    reads = in_windows(points.select("address", "time", "payload").filter(F.col("payload").isNotNull()), w.select("address", "first", "last", "wid", "step_ns", "n_slots"), "payload")
+    cells = reads.select("wid", "step_ns", "n_slots", "offset", F.col("p_payload").alias("payload")).mapInArrow(_indexed(int(bandwidth), SLOT_CHUNK, MANY), _CELL)
+    # The window's last time may be the last word there is; slots beyond it do not exist.
+    slots = F.least(F.col("n_slots"), F.expr("(last - first) div step_ns + 1"))
+    parts = w.withColumn("slots", slots).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(slots - 1) div {SLOT_CHUNK}"))))
+    before = F.col("chunk") * SLOT_CHUNK
+    width = F.least(F.lit(SLOT_CHUNK).cast("long"), F.col("slots") - before)
+    places = parts.select("wid", "chunk", width.alias("width"), "step_ns", "window_id", "address", "start_time", before.alias("before")).mapInArrow(_chunks, _CELL)
+    ordered = cells.unionByName(places).repartition(shuffle_partitions(spark), "wid", "chunk").sortWithinPartitions("wid", "chunk", "slot")
+    return ordered.mapInArrow(_evaluated(bandwidth, min_support), RESULT)
