@@ -1,17 +1,17 @@
 """Irregular readings onto the regular grid of their windows.
 
 Each grid slot is evaluated by weighted local polynomial regression (degree 1)
-with the Epanechnikov kernel, at the middle of the slot. The kernel reaches
-whole slots (its half width is an odd number of half steps) and is a polynomial
-there, so what a slot's readings contribute to it and to its neighbours follows
-from ten sums over the slot's own readings. Readings are thus indexed by their
-slot, once each, and no reading is searched for or copied for its neighbours.
-
-Windows are cut into chunks of slots. A task first adds up the readings of a
-slot that has many of them, so a source with most of the readings, or a slot
-with millions, sends few rows; then each chunk is evaluated as it streams by.
-Only the readings of the outermost slots of a chunk go to the chunk beside it,
-too.
+with the Epanechnikov kernel, at the middle of the slot. Readings are indexed
+by their slot, once each; the few slots whose kernel reaches a reading follow
+from it. Windows are cut into chunks of slots, and each chunk adds up the
+weighted moments of its slots as its readings stream by. Only the readings of
+the outermost slots of a chunk go to the chunk beside it, too.
+
+The kernel reaches whole slots (its half width is an odd number of half steps)
+and is a polynomial there, so what many readings in one slot contribute to it
+and to its neighbours follows from nine sums over them. A task first adds up
+the readings of such slots, so a source with most of the readings, or a slot
+with millions, sends few rows.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ BANDWIDTH = 1.5
 MIN_SUPPORT = 1.5
 #: Share of its upper bound below which the determinant of the normal equations is taken for that of one time only.
 FLAT = 1e-6
+#: Sum of weights up to which there is none.
+NONE = 1e-9
 #: Width of the time cells by which readings find their window: 2**46 ns, 19.5 hours.
 CELL_BITS = 46
 #: Slots in a chunk, the unit of work; a kernel must not reach farther.
@@ -155,12 +157,31 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([wid, chunk, first, width, step, pa.array(place, pa.binary())], ["wid", "chunk", "slot", "a", "b", "sums"])
 
 
+def _moments(u: np.ndarray, y: np.ndarray, j: int, h: float) -> np.ndarray:
+    """Rows (w, wd, wdd, wy, wdy, ww) that readings add to the slot j before theirs; h: square of the kernel's half width."""
+    d = u + j
+    w = np.maximum(0.0, 1 - d * d / h)
+    wd = w * d
+    return np.stack([w, wd, wd * d, w * y, wd * y, w * w])
+
+
+def _moments_of_sums(sums: np.ndarray, j: int, h: float) -> np.ndarray:
+    """The same of readings that were added up."""
+    n, u, u2, u3, u4, y, uy, u2y, u3y = sums
+    d, d2 = u + j * n, u2 + 2 * j * u + j * j * n
+    d3 = u3 + 3 * j * u2 + 3 * j**2 * u + j**3 * n
+    d4 = u4 + 4 * j * u3 + 6 * j**2 * u2 + 4 * j**3 * u + j**4 * n
+    dy, d2y = uy + j * y, u2y + 2 * j * uy + j * j * y
+    d3y = u3y + 3 * j * u2y + 3 * j**2 * uy + j**3 * y
+    return np.stack([n - d2 / h, d - d3 / h, d2 - d4 / h, y - d2y / h, dy - d3y / h, n - 2 * d2 / h + d4 / (h * h)])
+
+
 def _evaluated(bandwidth: float, min_support: float):
     """Cells, sorted by chunk and slot, to the slots of the grid."""
-    halo = int(bandwidth)
+    halo, h = int(bandwidth), bandwidth * bandwidth
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # The chunk that may go on in the next batch: its key, place, step and sums.
+        # The chunk that may go on in the next batch: its key, place, step, moments of its slots and readings in them.
         held: tuple | None = None
         for batch in batches:
             wid, chunk, slot, a, b = (batch.column(c).to_numpy() for c in ("wid", "chunk", "slot", "a", "b"))
@@ -168,64 +189,53 @@ def _evaluated(bandwidth: float, min_support: float):
                 continue
             sums = batch.column("sums")
             start = np.flatnonzero(np.r_[True, (np.diff(wid) != 0) | (np.diff(chunk) != 0)])
-            end = np.r_[start[1:], len(wid)]
             done: list[tuple] = []
             size = 0
-            for s, e in zip(start, end):
+            for s, e in zip(start, np.r_[start[1:], len(wid)]):
                 key = (wid[s], chunk[s])
                 if held is None or held[0] != key:
                     if held is not None:
                         done.append(held)
-                        size += held[3].shape[1]
+                        size += len(held[4])
                         held = None
                         if size >= AT_ONCE:
-                            yield _grid(done, halo, bandwidth, min_support)
+                            yield _grid(done, h, min_support)
                             done, size = [], 0
                     if slot[s] != FIRST:
                         continue  # beyond the window's last word
-                    held = (key, struct.unpack(_PLACE, sums[int(s)].as_py()), int(b[s]), np.zeros((9, int(a[s]) + 2 * halo)))
+                    held = (key, struct.unpack(_PLACE, sums[int(s)].as_py()), int(b[s]), np.zeros((6, int(a[s]))), np.zeros(int(a[s]), np.int64))
                     s += 1
                 if s < e:
-                    _, _, step, total = held
-                    at = slot[s:e] + halo
-                    rows = np.flatnonzero((at >= 0) & (at < total.shape[1]))
-                    summed = sums.slice(s, e - s).is_valid().to_numpy(zero_copy_only=False)[rows]
-                    one = rows[~summed]
-                    for row, v in zip(total, _sums(a[s:e][one] / step - 0.5, b[s:e][one].astype(np.float64))):
-                        row += np.bincount(at[one], v, minlength=len(row))
-                    for r in rows[summed]:
-                        total[:, at[r]] += np.frombuffer(sums[int(s + r)].as_py(), np.float64)
+                    _, _, step, moments, readings = held
+                    width = len(readings)
+                    at = slot[s:e].astype(np.int64)
+                    summed = sums.slice(s, e - s).is_valid().to_numpy(zero_copy_only=False)
+                    own = (at >= 0) & (at < width)
+                    readings += np.bincount(at[own & ~summed], minlength=width)
+                    one, many = np.flatnonzero(~summed), np.flatnonzero(summed)
+                    u, y = a[s:e][one] / step - 0.5, b[s:e][one].astype(np.float64)
+                    added = np.array([np.frombuffer(sums[int(s + r)].as_py(), np.float64) for r in many]).T if len(many) else np.zeros((9, 0))
+                    np.add.at(readings, at[many][own[many]], np.rint(added[0][own[many]]).astype(np.int64))
+                    for j in range(-halo, halo + 1):
+                        for to, v in ((at[one] - j, _moments(u, y, j, h)), (at[many] - j, _moments_of_sums(added, j, h))):
+                            here = (to >= 0) & (to < width)
+                            if here.any():
+                                for row, x in zip(moments, v):
+                                    row += np.bincount(to[here], x[here], minlength=width)
             if done:
-                yield _grid(done, halo, bandwidth, min_support)
+                yield _grid(done, h, min_support)
         if held is not None:
-            yield _grid([held], halo, bandwidth, min_support)
+            yield _grid([held], h, min_support)
 
     return run
 
 
-def _grid(chunks: list[tuple], halo: int, bandwidth: float, min_support: float) -> pa.RecordBatch:
-    """Slots of whole chunks from the sums over their own readings."""
-    total = np.concatenate([c[3] for c in chunks], axis=1)
-    width = [c[3].shape[1] for c in chunks]
-    inside = np.concatenate([np.arange(w) for w in width])
-    own = np.flatnonzero((inside >= halo) & (inside < np.repeat(width, width) - halo))
-    # Sums over the kernel of d, the distance from the slot's middle; a reading j slots off has d = u + j.
-    n, d, d2, d3, d4, y, dy, d2y, d3y = np.zeros((9, len(own)))
-    for j in range(-halo, halo + 1):
-        m, u, u2, u3, u4, v, uv, u2v, u3v = total[:, own + j]
-        n += m
-        d += u + j * m
-        d2 += u2 + 2 * j * u + j * j * m
-        d3 += u3 + 3 * j * u2 + 3 * j**2 * u + j**3 * m
-        d4 += u4 + 4 * j * u3 + 6 * j**2 * u2 + 4 * j**3 * u + j**4 * m
-        y += v
-        dy += uv + j * v
-        d2y += u2v + 2 * j * uv + j * j * v
-        d3y += u3v + 3 * j * u2v + 3 * j**2 * uv + j**3 * v
-    h = bandwidth * bandwidth
-    w, wd, wdd, wy, wdy, ww = n - d2 / h, d - d3 / h, d2 - d4 / h, y - d2y / h, dy - d3y / h, n - 2 * d2 / h + d4 / (h * h)
+def _grid(chunks: list[tuple], h: float, min_support: float) -> pa.RecordBatch:
+    """Slots of whole chunks from their moments."""
+    w, wd, wdd, wy, wdy, ww = np.concatenate([c[3] for c in chunks], axis=1)
+    readings = np.concatenate([c[4] for c in chunks])
     # Readings at the very ends of the kernel have no weight, but for rounding.
-    some = w > 1e-9 * np.maximum(n, 1)
+    some = w > NONE
     det = w * wdd - wd * wd
     flat = det <= FLAT * w * w * h
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -233,13 +243,14 @@ def _grid(chunks: list[tuple], halo: int, bandwidth: float, min_support: float)
         estimate = np.where(flat, wy / w, (wdd * wy - wd * wdy) / det)
     known = some & (support >= min_support)
     place = np.array([c[1] for c in chunks], object)
-    each = np.repeat(np.arange(len(chunks)), np.array(width) - 2 * halo)
+    width = [len(c[4]) for c in chunks]
+    each = np.repeat(np.arange(len(chunks)), width)
     window_id, address, start, step, before = (place[:, i].astype(np.int64)[each] for i in range(5))
-    slot = before + inside[own] - halo
+    slot = before + np.concatenate([np.arange(n) for n in width])
     with np.errstate(over="ignore"):
         time = start + slot * step
     columns = [
-        pa.array(window_id, mask=place[:, 5].astype(bool)[each]), pa.array(address), pa.array(slot), pa.array(time), pa.array(np.rint(total[0, own]).astype(np.int64)),
+        pa.array(window_id, mask=place[:, 5].astype(bool)[each]), pa.array(address), pa.array(slot), pa.array(time), pa.array(readings),
         pa.array(support), pa.array(estimate, mask=~known), pa.array(~known),
     ]
     return pa.RecordBatch.from_arrays(columns, ["window_id", "address", "slot", "slot_time", "readings", "support", "value", "missing"])

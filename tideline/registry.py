@@ -80,9 +80,9 @@ r AS (SELECT w.*, (p.time - w.start_time) // w.step_ns AS own, ((p.time - w.star
       FROM w JOIN simple_points p ON p.address = w.address AND p.time >= w.start_time AND p.time < w.start_time + w.step_ns * w.n_slots
       WHERE p.payload IS NOT NULL),
 k AS (SELECT *, greatest(0, 1 - d * d / 2.25) AS w FROM (SELECT address, start_time, own - j AS slot, u + j AS d, y, j FROM r CROSS JOIN (SELECT unnest([-1, 0, 1]) AS j))),
-s AS (SELECT address, start_time, slot, count(*) AS near, count(*) FILTER (j = 0) AS readings, sum(w) AS w, sum(w * d) AS wd, sum(w * d * d) AS wdd,
+s AS (SELECT address, start_time, slot, count(*) FILTER (j = 0) AS readings, sum(w) AS w, sum(w * d) AS wd, sum(w * d * d) AS wdd,
              sum(w * y) AS wy, sum(w * d * y) AS wdy, sum(w * w) AS ww FROM k GROUP BY ALL),
-e AS (SELECT g.*, coalesce(readings, 0) AS readings, CASE WHEN w > 1e-9 * near THEN w * w / ww ELSE 0 END AS support,
+e AS (SELECT g.*, coalesce(readings, 0) AS readings, CASE WHEN w > 1e-9 THEN w * w / ww ELSE 0 END AS support,
              CASE WHEN w * wdd - wd * wd <= 1e-6 * w * w * 2.25 THEN wy / w ELSE (wdd * wy - wd * wdy) / (w * wdd - wd * wd) END AS estimate
       FROM g LEFT JOIN s USING (address, start_time, slot))
 SELECT window_id, address, slot, start_time + slot * step_ns AS slot_time, readings, round(support, 3) AS support,
