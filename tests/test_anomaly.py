@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from tideline.operators import anomaly as A
-from tideline.operators.forest import Forests
+from tideline.operators import forest
 
 POINTS = "address long, time long, payload long, seq long, block int, own string"
 WINDOWS = "window_id long, address long, unit string, start_time long, step_ns long, n_slots long, solo int"
@@ -51,7 +51,7 @@ def test_finds_what_was_planted(spark):
     found = run(spark, series)
     assert len(found) == sum(map(len, series.values()))
     assert {k: r.reason for k, r in found.items() if r.reason} == planted
-    assert all(0 < r.score <= 1 for r in found.values())
+    assert all(0 < r.score <= 1 and (not r.reason or r.score >= A.CUT) for r in found.values())
 
 
 def test_sources_over_many_units(spark):
@@ -92,15 +92,45 @@ def test_packing():
 @pytest.mark.parametrize("together", [1, 5])
 def test_forest_isolates_the_odd_row(together):
     rng = np.random.default_rng(0)
-    x = [rng.normal(0, 1, (200, 4)).astype(np.float32) for _ in range(together)]
-    for part in x:
-        part[17] = [12, 12, 0, 5]
-    bounds = np.cumsum([0, *map(len, x)])
-    forests = Forests(np.concatenate(x), bounds, np.arange(together))
-    score = forests.score(np.concatenate(x), np.repeat(np.arange(together), 200)).reshape(together, 200)
-    assert (score.argmax(axis=1) == 17).all() and np.median(score) < 0.55
-    alone = Forests(x[0], np.array([0, 200]), np.array([0])).score(x[0], np.zeros(200, int))
-    assert np.allclose(alone, score[0])  # a source's forest does not depend on its company
+    x = [np.unique(rng.integers(0, 4, (200, 4)), axis=0, return_counts=True) for _ in range(together)]
+    cells = [np.concatenate([c, [[15, 15, 2, 0], [9, 2, 2, 2]]]) for c, _ in x]
+    weight = [np.r_[n, 1, 0] for _, n in x]  # the last one is only asked about
+    source = np.repeat(np.arange(together), [len(c) for c in cells])
+    score = forest.scores(source, np.concatenate(cells), np.concatenate(weight))
+    for i in range(together):
+        own = score[source == i]
+        assert own.argmax() == len(own) - 2 and own[-1] > own[:-2].max() and np.median(own) < 0.45
+        # A source's forest does not depend on its company.
+        assert np.allclose(own, forest.scores(np.zeros(len(own), int), cells[i], weight[i]))
+    assert not forest.scores(np.zeros(3, int), np.arange(12).reshape(3, 4), np.array([1, 1, forest.LEAST - 3])).any()
+    assert not len(forest.scores(np.zeros(0, int), np.zeros((0, 4), int), np.zeros(0)))
+
+
+def test_the_forest_decides(spark):
+    """Without its cut ordinary readings are found, above it none; moderate distances are found where they are rare."""
+    v = wave(400, 3)
+    v[50] += 900
+    points = spark.createDataFrame([(2, BASE + k * STEP, int(x), k, 1, "") for k, x in enumerate(v)], POINTS)
+    windows = spark.createDataFrame([(0, 2, "u", BASE, STEP, 400, 1)], WINDOWS)
+    limits = spark.createDataFrame([("u", 0, 0, 10_000)], UNITS)
+    found = {c: {r.seq for r in A.implausible(points, windows, limits, True, c).collect()} for c in (0.0, 0.4, A.CUT, 1.0)}
+    assert found[A.CUT] == {50} and found[1.0] == set() and len(found[0.0]) == 400 and {50} < found[0.4]
+    # As many spikes as a tenth of the readings are usual in their source.
+    v[::10] += 900
+    often = spark.createDataFrame([(2, BASE + k * STEP, int(x), k, 1, "") for k, x in enumerate(v)], POINTS)
+    assert A.implausible(often, windows, limits, True).count() < 10
+
+
+@pytest.mark.parametrize("natural", [1, 10])
+def test_a_run_longer_than_a_unit(spark, natural):
+    """In a noisy source, and in one that repeats by tens; the run is over two and more units."""
+    v = np.repeat(wave(20_000 // natural, 2), natural)
+    v[5000:14_000] = v[5000]
+    found = run(spark, {2: v})
+    stuck = {k for (_, k), r in found.items() if r.reason == "stuck"}
+    assert set(range(5000, 14_000)) <= stuck and len(stuck) < 9000 + natural
+    assert {found[2, k].run for k in range(5001, 13_999)} <= {found[2, 9000].run} and 9000 <= found[2, 9000].run < 9000 + natural + 1
+    assert not [k for (_, k), r in found.items() if r.reason and k not in stuck]
 
 
 def test_dense_sources_and_long_steps(spark):

@@ -8,14 +8,14 @@ how far runs go on beyond it, so results do not depend on the cuts.
 Every reading gets four features: level (distance from the readings around it),
 difference (to the nearer of the two readings beside it), season (distance from
 the source's usual level at that hour of the day) and run length (of equal
-consecutive readings). Their scales, the hourly levels and the usual run length
-are statistics over all readings of the source. A forest is grown for each
-source on a bounded sample of its readings, and scores every one of them.
-
-A reading is implausible if it lies outside the limits of its unit, or if the
-forest finds it easy to isolate and it also stands out in the units of the
-source: by its distance from both sides and from the middle of its neighbours,
-or by a run far longer than the source shows otherwise.
+consecutive readings), in units of what is usual in its source: scatter, hourly
+levels and run lengths are statistics over all readings of the source. The
+forest of the source, on a bounded sample of its readings, scores every one.
+
+A reading is implausible if the forest isolates it easily, and still does so
+with the season left aside (daily waves and lasting changes of level are no
+faults): as a spike by level and difference, as stuck by the length of its run.
+Only the physical limits of units are rules.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions.u64 import order_key
 from tideline.operators.arrow_blocks import blocks, whole_groups
-from tideline.operators.forest import Forests
+from tideline.operators.forest import LEVELS, SAMPLE, scores
 from tideline.operators.quotient import first_deliveries
 from tideline.operators.regrid import in_windows, proper_windows
 from tideline.session import bounded_join, materialise, shuffle_partitions
@@ -39,18 +39,14 @@ from tideline.session import bounded_join, materialise, shuffle_partitions
 BLOCK = 4096
 #: Readings on each side that a reading is compared with.
 SIDE = 5
-#: Scatters from its neighbours at which a reading stands far off.
-FAR = 8.0
-#: A run is far longer than usual from this length on, and from so many times the length that 95 % of the source's other runs do not exceed ...
-LONG_RUN, RUN_FACTOR = 10, 5
-#: ... the more times, the more the source repeats by nature: by this much more for each reading that its other runs are longer than 1 on average.
-BY_NATURE = 10
-#: The longest runs that do not count among the others, if there are more.
+#: Score from which on a reading is easy to isolate.
+CUT = 0.58
+#: The longest runs of a source that do not count among the usual ones, if there are more.
 APART = 2
-#: Readings of a source that its forest is grown on at most; of a run only the first may be among them.
-SAMPLE = 256
-#: Score from which on a reading counts as easy to isolate.
-ISOLATED = 0.5
+#: Features are linear up to FAR usual units, with so many cells to the doubling beyond.
+FAR, PER_DOUBLING = 8.0, 4.0
+#: A run of so many times the usual length (of 2 at least) is FAR.
+FAR_RUN = 5.0
 #: Rows that a task takes at a time; sources whose forests are grown together.
 ROWS, TOGETHER = 1 << 16, 256
 #: Models, and contexts of units, up to which they are broadcast; beyond, both sides are shuffled.
@@ -149,18 +145,13 @@ def _hour(at: np.ndarray) -> np.ndarray:
     return ((at.view(np.uint64) ^ np.uint64(1 << 63)) // np.uint64(_HOUR) % np.uint64(24)).astype(np.int8)
 
 
-def _hours_in(hour: np.ndarray) -> int:
-    """Set of hours as bits."""
-    return int(np.bitwise_or.reduce(1 << hour.astype(np.int64)))
-
-
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of readings, sorted by unit and time, to one row per unit with its edge, if its window has others."""
     for rows in whole_groups(batches, "unit_key", ROWS):
         get = {c: rows.column(c).to_numpy() for c in ("window_id", "start", "block", "at", "seq", "payload", "flags", "address", "unit_key")}
         key = np.stack([get["unit_key"], get["address"], get["block"]])
         group = np.cumsum(np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0)]) - 1
-        p, flags, hour = get["payload"], get["flags"], _hour(get["at"])
+        p, flags = get["payload"], get["flags"]
         out = (flags & _OUT) > 0
         run, first = _runs(group, p)
         start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
@@ -172,7 +163,7 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 head, tail = int(run[a]), int(run[b - 1])
                 edge = pickle.dumps((
                     int(b - a), int((first[s] & ~out[s]).sum()), not out[a], inside[:SIDE].tolist(), inside[-SIDE:].tolist(),
-                    (int(p[a]), head, _hours_in(hour[a : a + head])), (int(p[b - 1]), tail, _hours_in(hour[b - tail : b])),
+                    (int(p[a]), head), (int(p[b - 1]), tail),
                 ))
             found.append((
                 *(int(get[c][a]) for c in ("address", "window_id", "start", "block")), bool(flags[a] & _SOLO),
@@ -185,14 +176,14 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(part, kinds)], names)
 
 
-def _beside(edges: list[tuple]) -> list[tuple[list[int], tuple[int, int]]]:
-    """Of units in order, by their edges: the SIDE readings before each, and length and hours of the run that goes on into it."""
-    found, left, run = [], [], (None, 0, 0)
+def _beside(edges: list[tuple]) -> list[tuple[list[int], int]]:
+    """Of units in order, by their edges: the SIDE readings before each, and the length of the run that goes on into it."""
+    found, left, run = [], [], (None, 0)
     for n, _, _, _, last, head, tail in edges:
-        goes_on = run[1:] if run[1] and run[0] == head[0] else (0, 0)
+        goes_on = run[1] if run[1] and run[0] == head[0] else 0
         found.append((left, goes_on))
         left = (left + last)[-SIDE:]
-        run = (tail[0], tail[1] + goes_on[0], tail[2] | goes_on[1]) if tail[1] == n else tail
+        run = (tail[0], tail[1] + goes_on) if tail[1] == n else tail
     return found
 
 
@@ -209,7 +200,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             mirrored = [(n, heads, inside, last[::-1], first[::-1], tail, head) for n, heads, inside, first, last, head, tail in own[::-1]]
             after = [(right[::-1], goes_on) for right, goes_on in _beside(mirrored)[::-1]]
             # A run that goes on from the unit before has its first reading there.
-            heads = sum(e[1] - (e[2] and x[1][0] > 0) for e, x in zip(own, before))
+            heads = sum(e[1] - (e[2] and x[1] > 0) for e, x in zip(own, before))
             out += [pickle.dumps((heads, x, y)) for x, y in zip(before, after)]
         yield pa.RecordBatch.from_arrays([*map(pa.array, keys), pa.array(out, pa.binary())], ["c_address", "c_window_id", "c_start", "c_block", "context"])
 
@@ -229,21 +220,17 @@ class _Shaped:
         shape["run"], shape["first"] = _runs(self.source, p)
         #: Readings of the windows of the units that a sample may hold, None of a unit that is a window's only one.
         self.heads: list[int | None] = []
-        #: By the first reading of a part of a run, hours of the readings of that run in other units.
-        self.elsewhere: dict[int, int] = {}
         pieces, own = [], []
         for u, a, b in zip(units, self.bounds, self.bounds[1:]):
-            heads, (left, before), (right, after) = pickle.loads(u["context"]) if u["context"] is not None else (None, ([], (0, 0)), ([], (0, 0)))
+            heads, (left, before), (right, after) = pickle.loads(u["context"]) if u["context"] is not None else (None, ([], 0), ([], 0))
             self.heads.append(heads)
             inside = p[a:b][~out[a:b]]
             pieces += [np.array(left, np.int64), inside, np.array(right, np.int64)]
             own += [len(left), len(inside), len(right)]
             head, tail = a + shape["run"][a], b - shape["run"][b - 1]
-            for part, (n, hours) in ((slice(a, head), before), (slice(tail, b), after)):
-                if n:
-                    shape["run"][part] += n
-                    self.elsewhere[part.start] = self.elsewhere.get(part.start, 0) | hours
-            if before[0]:
+            shape["run"][a:head] += before
+            shape["run"][tail:b] += after
+            if before:
                 shape["first"][a] = False
         mine = np.repeat(np.tile([False, True, False], len(units)), own)
         group = np.repeat(np.repeat(np.arange(len(units)), 3), own)
@@ -286,32 +273,37 @@ def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
 
 
 def _model(away, runs, hours, sample) -> dict:
-    """A source's scales and the features of its sample, from summed statistics."""
+    """A source's usual units and the cells of its sample, from summed statistics."""
     scatter = max(_quantile(*away, 0.5) * 1.4826, 0.5) if len(away[0]) else 0.5
-    usual, repeats = 1.0, 0.0
-    if len(runs[0]):
-        others = _without_longest(*runs)
-        usual = round(_quantile(*others, 0.95))
-        repeats = float((np.rint(_middle(others[0])) * others[1]).sum() / others[1].sum()) - 1
+    usual = round(_quantile(*_without_longest(*runs), 0.95)) if len(runs[0]) else 1
     total, n = hours
     whole = total.sum() / max(n.sum(), 1)
     level = np.where(n > 0, total / np.maximum(n, 1), whole)
-    model = {"scatter": scatter, "long": max(LONG_RUN, RUN_FACTOR * usual * (1 + BY_NATURE * repeats)), "level": level, "season": 1.0}
     off = np.abs(sample["payload"] - level[sample["hour"]])
-    model["season"] = max(float(np.median(off)) * 1.4826, scatter) if len(off) else scatter
-    x = _features(sample, sample["payload"], sample["hour"], model) if len(sample) else np.zeros((1, 4), np.float32)
-    # A reading inside the longest run, which the sample, having first readings only, may lack.
-    longest = _middle(runs[0].max()) if len(runs[0]) else 1.0
-    inside = np.array([[0, 0, np.median(x[:, 2]), np.log2(max(longest, 1.0))]], np.float32)
-    model["x"] = np.concatenate([x, inside])
+    season = max(float(np.median(off)) * 1.4826, scatter) if len(off) else scatter
+    model = {"scatter": scatter, "usual": max(usual, 2), "level": level, "season": season}
+    model["sample"] = np.unique(_cells(sample, sample["payload"], sample["hour"], model), return_counts=True)
     return model
 
 
-def _features(shape: np.ndarray, payload: np.ndarray, hour: np.ndarray, model: dict) -> np.ndarray:
-    return np.stack([
-        np.arcsinh(shape["distance"] / model["scatter"]), np.arcsinh(shape["difference"] / model["scatter"]),
-        np.arcsinh((payload - model["level"][hour]) / model["season"]), np.log2(np.maximum(shape["run"], 1)),
-    ], axis=1).astype(np.float32)
+def _far(v: np.ndarray) -> np.ndarray:
+    return np.where(v <= FAR, v, FAR + PER_DOUBLING * np.log2(np.maximum(v, FAR) / FAR))
+
+
+def _number(level: np.ndarray | int, difference: np.ndarray | int, season: np.ndarray | int, run: np.ndarray | int) -> np.ndarray:
+    return ((level * LEVELS + difference) * LEVELS + season) * LEVELS + run
+
+
+def _features(cell: np.ndarray) -> np.ndarray:
+    return np.stack([cell // LEVELS**3, cell // LEVELS**2 % LEVELS, cell // LEVELS % LEVELS, cell % LEVELS], axis=1)
+
+
+def _cells(shape: np.ndarray, payload: np.ndarray, hour: np.ndarray, model: dict) -> np.ndarray:
+    """Cell of each reading: level, difference, season (the usual in the middle, two units a cell) and run, in usual units."""
+    run = FAR * np.log(np.maximum(shape["run"], 1) / model["usual"]) / np.log(FAR_RUN)
+    season = (payload - model["level"][hour]) / model["season"] / 2 + LEVELS / 2
+    each = [_far(shape["distance"] / model["scatter"]), _far(shape["difference"] / model["scatter"]), season, run]
+    return _number(*(np.clip(np.floor(v), 0, LEVELS - 1).astype(np.int64) for v in each))
 
 
 _PARTS = "address long, kind int, bin long, n long, v double, s binary"
@@ -347,60 +339,60 @@ def _models(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(get["address"][start]), pa.array(out, pa.binary())], ["m_address", "model"])
 
 
-def _scored(only_found: bool):
+def _scored(only_found: bool, cut: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for units in _together(batches):
-            yield _score(units, only_found)
+            yield _score(units, only_found, cut)
 
     return run
 
 
-def _score(units: list[dict], only_found: bool) -> pa.RecordBatch:
+def _score(units: list[dict], only_found: bool, cut: float) -> pa.RecordBatch:
     shaped = _Shaped(units)
     shape, source, words = shaped.shape, shaped.source, shaped.words
-    models = []
+    models: list[dict] = []
+    # Units of one source share its forest; a source of one unit has its model from that.
+    place: dict[int, int] = {}
+    forest = np.zeros(len(units), np.int64)
     for i, u in enumerate(units):
+        forest[i] = place.setdefault(u["address"], len(models))
+        if forest[i] < len(models):
+            continue
         if u["model"] is not None:
             models.append(pickle.loads(u["model"]))
         else:
             summary = shaped.summary(i)
             rank, sample = summary["sample"]
             models.append(_model(summary["away"], summary["runs"], summary["hours"], sample[np.argsort(rank, kind="stable")[:SAMPLE]]))
-    bounds = np.cumsum([0, *(len(m["x"]) for m in models)])
-    forests = Forests(np.concatenate([m["x"] for m in models]), bounds, np.array([u["address"] for u in units]))
     each = [slice(a, b) for a, b in zip(shaped.bounds, shaped.bounds[1:])]
-    x = np.concatenate([_features(shape[s], words["payload"][s], shaped.hour[s], m) for s, m in zip(each, models)])
-    score = forests.score(x, source)
-    deviation = shape["distance"] / np.array([m["scatter"] for m in models])[source]
-    long = shape["run"] >= np.array([m["long"] for m in models])[source]
-    easy = score >= ISOLATED
-    # A run is one event: it is as easy to isolate as the easiest of its readings.
-    starts = np.flatnonzero(shape["first"] | np.r_[True, source[1:] != source[:-1]])
-    easiest = np.maximum.reduceat(score, starts)
-    # Readings of a long run have equal readings beside them, so those in other units differ by their hour only.
-    there = [(i, h) for i, hours in shaped.elsewhere.items() if long[i] for h in range(24) if hours >> h & 1]
-    if there:
-        at, hour = np.array(there).T
-        other = np.zeros(len(at), _SHAPE)
-        other["run"] = shape["run"][at]
-        y = np.concatenate([_features(other[k : k + 1], words["payload"][i : i + 1], hour[k : k + 1], models[source[i]]) for k, i in enumerate(at)])
-        np.maximum.at(easiest, np.searchsorted(starts, at), forests.score(y, source[at]))
-    easy_run = np.repeat(easiest, np.diff(np.r_[starts, len(score)])) >= ISOLATED
+    whole = np.concatenate([_cells(shape[s], words["payload"][s], shaped.hour[s], models[f]) for s, f in zip(each, forest)])
+    level, difference, _, run = _features(whole).T
+    far = _number(level, difference, LEVELS // 2, 0)
+    stuck = _number(0, 0, LEVELS // 2, run)
+    of = forest[source]
+    asked = np.concatenate([np.stack([of, x]) for x in (whole, far, stuck)], axis=1)
+    sampled = np.concatenate([np.stack([np.full(len(m["sample"][0]), i), *m["sample"]]) for i, m in enumerate(models)], axis=1)
+    keys = np.concatenate([asked[0] * LEVELS**4 + asked[1], sampled[0] * LEVELS**4 + sampled[1]])
+    distinct, at = np.unique(keys, return_inverse=True)
+    weight = np.bincount(at[asked.shape[1] :], sampled[2], minlength=len(distinct))
+    score = scores(distinct // LEVELS**4, _features(distinct % LEVELS**4), weight)[at[: asked.shape[1]]]
+    score, by_distance, by_run = score.reshape(3, -1)
     reason = np.full(len(shape), None, object)
-    reason[easy_run & long] = "stuck"
-    reason[easy & (deviation >= FAR)] = "spike"
+    reason[by_run >= cut] = "stuck"
+    reason[np.minimum(score, by_distance) >= cut] = "spike"
     reason[shape["out"]] = "limit"
-    score[shape["out"]] = 1.0
+    score = np.where(shape["out"], 1.0, np.where(by_run >= cut, np.maximum(score, by_run), score))
+    deviation = shape["distance"] / np.array([m["scatter"] for m in models])[of]
     keep = np.flatnonzero(np.not_equal(reason, None)) if only_found else np.arange(len(shape))
     word = {c: v[keep] for c, v in words.items()}
-    of = {c: np.array([u[c] for u in units], np.int64)[source[keep]] for c in ("address", "window_id")}
+    unit = {c: np.array([u[c] for u in units], np.int64)[source[keep]] for c in ("address", "window_id")}
     time = (word["time"].view(np.uint64) ^ np.uint64(1 << 63)).view(np.int64)
-    columns = [word["seq"], of["address"], of["window_id"], time, word["payload"], score[keep].astype(np.float64), np.where(shape["out"][keep], np.nan, deviation[keep]).astype(np.float64), shape["run"][keep].astype(np.int64)]
+    columns = [word["seq"], unit["address"], unit["window_id"], time, word["payload"], score[keep], np.where(shape["out"][keep], np.nan, deviation[keep]).astype(np.float64), shape["run"][keep].astype(np.int64)]
     arrays = [pa.array(c) for c in columns] + [pa.array(reason[keep], pa.string())]
     return pa.RecordBatch.from_arrays(arrays, ["seq", "address", "window_id", "time", "payload", "score", "deviation", "run", "reason"])
 
 
-def implausible(points: DataFrame, windows: DataFrame, limits: DataFrame, only_found: bool = False) -> DataFrame:
+def implausible(points: DataFrame, windows: DataFrame, limits: DataFrame, only_found: bool = False, cut: float = CUT) -> DataFrame:
     """Every reading within a window with its score and, if it is implausible, the reason.
 
     points: address, time, payload, seq LONG; of repeated deliveries of an
@@ -415,8 +407,9 @@ def implausible(points: DataFrame, windows: DataFrame, limits: DataFrame, only_f
     usual scatters of the source, NaN outside the limits or without
     neighbours); run (length of its run of equal readings); reason: 'limit',
     'spike', 'stuck' or null. only_found leaves out those without a reason.
-    Sources with few readings are judged by the same rules; a lone reading has
-    no neighbours and can only break limits. Empty tables give no rows.
+    cut: score from which on a reading is isolated. Readings of sources with
+    fewer than forest.LEAST changes of value have a score of 0 and can only
+    break limits. Empty tables give no rows.
     """
     spark = points.sparkSession
     n = shuffle_partitions(spark)
@@ -464,4 +457,4 @@ def implausible(points: DataFrame, windows: DataFrame, limits: DataFrame, only_f
     model_parts = sums.unionByName(sample).repartition(n, "address").sortWithinPartitions("address", "kind", "bin")
     models = materialise(model_parts.mapInArrow(_models, "m_address long, model binary"), "models")
     joined = bounded_join(units, models, F.col("address") == F.col("m_address"), "left", BROADCAST_MODELS)
-    return joined.select("address", "window_id", "seq", "time", "payload", "out", "context", "model").mapInArrow(_scored(only_found), RESULT)
+    return joined.select("address", "window_id", "seq", "time", "payload", "out", "context", "model").mapInArrow(_scored(only_found, cut), RESULT)

@@ -1,20 +1,35 @@
-"""Isolation forests of many sources at once, as arrays.
+"""Isolation forests of many sources at once, over shared random cuts.
 
-All trees of all sources grow level by level together: a node takes a random
-feature among those that vary in it and a random cut between their extremes.
-A tree of DEPTH levels is an array of 2**(DEPTH+1) nodes with the children of i
-at 2i and 2i+1.
+Features are standardised, so all sources live in one box, cut into LEVELS
+cells along each feature. A tree cuts the box at random: at each node a random
+feature, and a random border between cells of the node's part of the box. These
+cuts are drawn once. What makes a tree a source's own is how many readings of
+its sample lie in each node: a reading is isolated where few of them (FEW, or a
+sixteenth of a small sample) are left with it. As in any isolation forest, the
+fewer cuts that takes on average, the odder the reading; readings farther out
+than any in the sample are isolated by the cuts between, which cuts drawn
+between the sample's extremes could not do.
+
+Readings in one cell share their score, so a source of millions of readings
+costs as much as its distinct cells.
 """
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 
-TREES = 16
-#: Rows that a tree is grown on: a source's last row, the others drawn with replacement.
-ROWS = 64
-DEPTH = 6
-_NODES = 2 << DEPTH
+TREES, DEPTH = 128, 12
+#: Cells of the box along each feature.
+LEVELS = 24
+#: Readings of the sample that are few, and the samples of which a sixteenth is fewer.
+FEW = 6
+#: Readings of a sample below which a forest isolates nothing.
+LEAST = 8
+#: Size of a full sample, by which scores are normalised.
+SAMPLE = 256
+_SEED = 20250303
 
 
 def _expected(n: np.ndarray) -> np.ndarray:
@@ -24,81 +39,54 @@ def _expected(n: np.ndarray) -> np.ndarray:
     return np.where(n > 2, many, np.where(n == 2, 1.0, 0.0))
 
 
-class Forests:
-    """Forests grown on rows x (n, features) of sources given by bounds: source s has rows bounds[s] to bounds[s+1]."""
+@cache
+def _trees(features: int) -> tuple[np.ndarray, np.ndarray]:
+    """Feature and cut of each inner node of each tree; the children of i are 2i and, from the cut on, 2i+1."""
+    draw = np.random.default_rng(_SEED)
+    nodes, tree = 1 << DEPTH, np.arange(TREES)
+    feature, cut = np.zeros((TREES, nodes), np.int8), np.zeros((TREES, nodes), np.int16)
+    low = np.zeros((TREES, 2 * nodes, features), np.int16)
+    high = np.full((TREES, 2 * nodes, features), LEVELS - 1, np.int16)
+    for i in range(1, nodes):
+        wide = high[:, i] > low[:, i]
+        f = (draw.random((TREES, features)) * wide).argmax(axis=1)
+        lo, hi = low[tree, i, f], high[tree, i, f]
+        # A part of one cell cannot be cut: all goes to the left.
+        c = np.where(wide.any(axis=1), lo + 1 + (draw.random(TREES) * (hi - lo)).astype(np.int16), LEVELS)
+        feature[:, i], cut[:, i] = f, c
+        low[:, 2 * i] = low[:, 2 * i + 1] = low[:, i]
+        high[:, 2 * i] = high[:, 2 * i + 1] = high[:, i]
+        high[tree, 2 * i, f] = np.minimum(c - 1, hi)
+        low[tree, 2 * i + 1, f] = np.where(c == LEVELS, lo, c)
+    return feature, cut
 
-    def __init__(self, x: np.ndarray, bounds: np.ndarray, seeds: np.ndarray):
-        sources, features = len(bounds) - 1, x.shape[1]
-        trees = sources * TREES
-        # A source's draws depend on its seed only, not on its neighbours here.
-        cells = np.arange(TREES * max(ROWS, 2 * _NODES), dtype=np.uint64)
-        draw = _uniform(seeds.astype(np.int64).view(np.uint64)[:, None], cells[None, : TREES * ROWS])
-        size = np.diff(bounds)
-        rows = (bounds[:-1, None] + (draw * size[:, None]).astype(np.int64)).reshape(trees, ROWS)
-        rows[:, 0] = np.repeat(bounds[1:] - 1, TREES)
-        held = x[np.minimum(rows, max(len(x) - 1, 0))].reshape(-1, features).astype(np.float32)
-        node = np.ones((trees, ROWS), np.int64)
-        base = (np.arange(trees) * _NODES)[:, None]
-        self.feature = np.full(trees * _NODES, -1, np.int8)
-        self.cut = np.zeros(trees * _NODES, np.float32)
-        pick = _uniform(~seeds.astype(np.int64).view(np.uint64)[:, None], cells[None, : TREES * _NODES * 2]).reshape(trees * _NODES, 2)
-        live = np.ones(trees * ROWS, bool)
-        for _ in range(DEPTH):
-            at = (base + node).ravel()[live]
-            if not len(at):
-                break
-            lows = np.full((features, trees * _NODES), np.inf, np.float32)
-            highs = np.full((features, trees * _NODES), -np.inf, np.float32)
-            inside = held[live]
-            for f in range(features):
-                np.minimum.at(lows[f], at, inside[:, f])
-                np.maximum.at(highs[f], at, inside[:, f])
-            here = np.unique(at)
-            low, high = lows[:, here], highs[:, here]
-            varies = high > low
-            count = varies.sum(axis=0)
-            split = count > 0
-            nth = np.minimum((pick[here, 0] * count).astype(np.int64), np.maximum(count - 1, 0))
-            chosen = (np.cumsum(varies, axis=0) > nth).argmax(axis=0)
-            along = np.arange(len(here))
-            lo, hi = low[chosen, along], high[chosen, along]
-            cut = lo + pick[here, 1].astype(np.float32) * (hi - lo)
-            cut = np.where(cut >= hi, lo, cut)
-            self.feature[here[split]] = chosen[split]
-            self.cut[here[split]] = cut[split]
-            flat = node.ravel()
-            f = self.feature[at]
-            goes = f >= 0
-            right = inside[np.arange(len(at)), np.maximum(f, 0)] > self.cut[at]
-            flat[live] = np.where(goes, flat[live] * 2 + right, flat[live])
-            live[np.flatnonzero(live)[~goes]] = False
-            node = flat.reshape(trees, ROWS)
-        depth = np.floor(np.log2(np.arange(_NODES).clip(1)))
-        leaves = np.bincount((base + node).ravel(), minlength=trees * _NODES)
-        self.path = (np.tile(depth, trees) + _expected(leaves)).astype(np.float32)
 
-    def score(self, x: np.ndarray, source: np.ndarray) -> np.ndarray:
-        """Scores of rows of the given sources: towards 1 the easier to isolate, about 0.5 and less the usual."""
-        x = x.astype(np.float32)
-        total = np.zeros(len(x), np.float32)
-        along = np.arange(len(x))
-        for t in range(TREES):
-            base = (source * TREES + t) * _NODES
-            node = np.ones(len(x), np.int64)
-            for _ in range(DEPTH):
-                f = self.feature[base + node]
-                goes = f >= 0
-                node = np.where(goes, node * 2 + (x[along, np.maximum(f, 0)] > self.cut[base + node]), node)
-            total += self.path[base + node]
-        return 2.0 ** (-total / TREES / float(_expected(np.array(ROWS))))
+def scores(source: np.ndarray, cells: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Scores of cells: towards 1 the easier to isolate, about 0.3 the usual, 0 without a sample of LEAST.
 
-
-def _uniform(seed: np.ndarray, cell: np.ndarray) -> np.ndarray:
-    """Numbers from 0 to below 1, a fixed function of seed and cell."""
-    z = seed * np.uint64(0x9E3779B97F4A7C15) + cell * np.uint64(0xBF58476D1CE4E5B9)
-    z ^= z >> np.uint64(30)
-    z *= np.uint64(0x94D049BB133111EB)
-    z ^= z >> np.uint64(27)
-    z *= np.uint64(0x2545F4914F6CDD1D)
-    z ^= z >> np.uint64(31)
-    return (z >> np.uint64(40)).astype(np.float64) / float(1 << 24)
+    source: number of the source of each; cells: a column per feature, from 0
+    to LEVELS - 1; weight: readings of the source's sample in the cell, 0 of
+    cells that are only asked about. A (source, cell) must come once.
+    """
+    feature, cut = _trees(cells.shape[1])
+    out = np.zeros(len(source))
+    size = np.bincount(source, weight).astype(np.int64)
+    few = np.maximum(2, np.minimum(FEW, size // 16))
+    judged = np.flatnonzero(size[source] >= LEAST)
+    source, cells, weight = source[judged], cells[judged], weight[judged].astype(np.float64)
+    path = np.zeros(len(source))
+    for t in range(TREES):
+        live, node = np.arange(len(source)), np.ones(len(source), np.int64)
+        for level in range(DEPTH + 1):
+            if not len(live):
+                break
+            own = source[live]
+            at = (own << level) + node - (1 << level)
+            mass = np.bincount(at, weight[live])[at]
+            done = (mass <= few[own]) | (level == DEPTH)
+            path[live[done]] += level + _expected(mass[done])
+            live, node = live[~done], node[~done]
+            if level < DEPTH:
+                node = 2 * node + (cells[live, feature[t, node]] >= cut[t, node])
+    out[judged] = 2.0 ** (-path / TREES / float(_expected(np.array(SAMPLE))))
+    return out
