@@ -1,15 +1,18 @@
 from __future__ import annotations
 
+import os
 import random
 import threading
 
 import pytest
+from pyspark.sql import functions as F
 
 from tideline.functions.u64 import MAX_WORD
-from tideline.plans.locks import LockTimeout, exclusive
+from tideline.plans.commits import CommitConflict, CommitLog
+from tideline.plans.locks import LockTimeout, WriteTimeout, exclusive, shared
 from tideline.plans.mutable import MutableStore
 from tideline.plans.routing import Index
-from tideline.plans.store import InvalidNamespace, PointStore
+from tideline.plans.store import FULL, InvalidNamespace, PointStore
 from tideline.sources import wire
 from tideline.streaming.ingest import ingest_blobs, ingest_changes
 
@@ -76,6 +79,8 @@ def test_read_simple_in_chunks(store):
     plan = store.read_simple("N", 8, 21, [4])._jdf.queryExecution().executedPlan().toString()
     pruned, pushed = (plan.split(f"{k}Filters: [")[1].split("]")[0] for k in ("Partition", "Pushed"))
     assert "epoch" in pruned and "bucket" in pruned and "address" in pushed and "time" in pushed
+    # Only folders of the objects that the read needs are named at all.
+    assert all("/epoch=8/bucket=4" in p for p in store._found("N", 9, 21, [4], False)[0].inputFiles())
     assert "SortAggregate" not in plan
 
 
@@ -150,14 +155,195 @@ def test_mutable(store):
     assert {r.address: (r.version, bytes(r.value)) for r in keys.enumerate().collect()} == {1: (4, b"b"), 9: (0, b"c"), 131: (0, b"")}
 
 
-def test_lock(tmp_path):
-    with exclusive(str(tmp_path), "l"):
-        with pytest.raises(LockTimeout), exclusive(str(tmp_path), "l", timeout=0.1):
+def test_mutable_merges_its_inserts(store, monkeypatch):
+    """Many single inserts, rows inserted together and merges give the same as a dict."""
+    from tideline.plans import mutable
+
+    monkeypatch.setattr(mutable, "INLINE", 5)
+    monkeypatch.setattr(mutable, "TABLES", 2)
+    keys, want = MutableStore(store, "N"), {}
+    r = random.Random(4)
+    for i in range(24):
+        k, v = r.choice([0, 1, 4, 130, 2**64 - 2, 77]), bytes([i])
+        keys.insert(k, v)
+        old = want.get(k | 1, (-1, b""))
+        want[k | 1] = (old[0] + 1, v)
+        if i % 7 == 6:
+            keys.insert_many(store.spark.createDataFrame([(4, b"m", 1), (5, v, 2)], "address long, value binary, seq long"))
+            want[5] = (want.get(5, (-1,))[0] + 2, v)
+    assert {r.address % 2**64: (r.version, bytes(r.value)) for r in keys.enumerate().collect()} == want
+    assert all(keys.lookup(k) == v for k, (_, v) in want.items())
+    keys.compact()
+    assert len(keys.vacuum(older=-1)) > 1 and len(keys.log.versions()) == 1
+    assert {r.address % 2**64: (r.version, bytes(r.value)) for r in keys.enumerate().collect()} == want
+
+
+def test_locks(spark, tmp_path):
+    at = str(tmp_path)
+    with exclusive(spark, at, "l"):
+        for other in (exclusive, shared):
+            with pytest.raises(LockTimeout), other(spark, at, "l", timeout=0.1):
+                pass
+    with shared(spark, at, "l"), shared(spark, at, "l"):
+        with pytest.raises(LockTimeout), exclusive(spark, at, "l", timeout=0.2):
             pass
-        with exclusive(str(tmp_path), "l", expiry=0):
-            pass
-    with exclusive(str(tmp_path), "l"):
+    with exclusive(spark, at, "l"):
+        pass
+    # A lock that nobody renews is void; one that is renewed is not.
+    (tmp_path / "l").write_text("gone")
+    os.utime(tmp_path / "l", (0, 0))
+    with exclusive(spark, at, "l", timeout=1):
         pass
+    with exclusive(spark, at, "l", expiry=0.4):
+        with pytest.raises(LockTimeout), exclusive(spark, at, "l", timeout=1, expiry=0.4):
+            pass
+    assert not list(tmp_path.iterdir())
+
+
+def test_counting_under_locks(spark, tmp_path):
+    count = tmp_path / "n"
+    count.write_text("0")
+
+    def add():
+        with exclusive(spark, str(tmp_path), "l"):
+            count.write_text(str(int(count.read_text()) + 1))
+
+    threads = [threading.Thread(target=add) for _ in range(12)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert count.read_text() == "12"
+
+
+def test_a_write_that_takes_too_long(spark, store):
+    store.register("N", 4, 4)
+    quick = PointStore(spark, store.root, write_timeout=0.3)
+    slow = spark.range(4, numPartitions=4).selectExpr("2 * id AS address", "id AS time", "id AS payload", "id AS seq").filter("java_method('java.lang.Thread', 'sleep', 3000L) IS NULL OR true")
+    with pytest.raises(WriteTimeout):
+        quick.write("N", slow)
+    assert store.snapshot("N").version == 0
+    PointStore(spark, store.root, write_timeout=60).write("N", spark.createDataFrame([(2, 1, 1, 1)], "address long, time long, payload long, seq long"))
+    assert store.points("N").count() == 1
+
+
+def test_a_namespace_has_its_own_threshold(store):
+    store.register("own", 4, 4, threshold=10**6)
+    store.register("other", 4, 4)
+    for ns in ("own", "other"):
+        store.write_encoded(ns, blob(SIMPLES))
+    assert len(store.index("own").entries) == 1 and len(store.index("other").entries) == 2
+    assert PointStore(store.spark, store.root).snapshot("own").threshold == 10**6
+
+
+def test_another_writer_was_first(spark, store, monkeypatch):
+    """The written data takes its place behind; located anew only if an epoch began."""
+    store.register("N", 4, 4, threshold=100)
+    written = PointStore._written
+    tables = []
+
+    def racing(self, ns, now, points):
+        tables.append(len(tables))
+        if len(tables) == 1:
+            store.write_encoded("N", blob([(2, 5, 1), *[(8, t, 0) for t in range(20)]]))
+        return written(self, ns, now, points)
+
+    monkeypatch.setattr(PointStore, "_written", racing)
+    late = spark.createDataFrame([(2, 5, 2, 0), (2, 30, 3, 1)], "address long, time long, payload long, seq long")
+    store.write("N", late)
+    assert store.index("N") == Index.of([(0, 4), (19, 4)]) and len(tables) == 3
+    assert rows(store.read_simple("N", 0, 99, [2])) == [(2, 5, 1), (2, 30, 3)]
+    assert rows(store.read_simple("N", 20, 99, [2])) == [(2, 30, 3)]
+    tables.clear()
+    extended = spark.createDataFrame([(3, 5, bytearray(b"x"), 0)], "address long, time long, payload binary, seq long")
+    monkeypatch.setattr(PointStore, "_after", lambda self, now, batch, own=PointStore._after: own(self, now, batch))
+    store.write("N", extended=extended)
+    assert rows(store.read_extended("N", 0, 9, [3])) == [(3, 5, b"x")]
+
+
+def test_parts_of_a_stream_are_written_once(spark, store):
+    store.register("N", 4, 4)
+    one = spark.createDataFrame([(2, 1, 1, 1)], "address long, time long, payload long, seq long")
+    for number in (0, 0, 1, 0):
+        store.write("N", one, once=("s", number))
+    store.write("N", one, once=("t", 0))
+    assert store.points("N").count() == 3 and store.snapshot("N").done == {"s": 1, "t": 0}
+
+
+def test_many_commits_compaction_and_vacuum(spark, store):
+    """States over several whole ones; compaction keeps the order of writes, vacuum what is visible."""
+    store.register("N", 2, 2, threshold=200)
+    schema = "address long, time long, payload long, seq long, version long"
+    for i in range(FULL + 3):
+        store.write("N", spark.createDataFrame([(2, 1, i, 5, 99), (4, i, i, 5, 99)], schema))
+        if i == 9:
+            before = store.compact("N")
+            assert len(before.batches) == 1
+    now = store.snapshot("N")
+    assert now.version == FULL + 4 and len(now.batches) == FULL + 3 - 9 and now.sizes["simple"]
+    found = rows(store.read_simple("N", 0, MAX_WORD, [2, 4]))
+    assert found == [(2, 1, 0), *[(4, i, i) for i in range(FULL + 3)]]
+    sizes = store.describe("N").collect()
+    assert sum(r.n for r in sizes) == 2 * (FULL + 3) and store.compact("N").sizes == now.sizes
+    assert sorted(map(tuple, store.describe("N").collect())) == sorted(map(tuple, sizes))
+    assert store.vacuum("N") == [] and len(store.vacuum("N", older=-1)) == FULL + 3 + 1
+    assert rows(store.read_simple("N", 0, MAX_WORD, [2, 4])) == found and store.points("N").select("version").distinct().count() == FULL + 3
+    assert store._log("N").versions()[0] == FULL
+
+
+def test_an_object_that_most_points_belong_to(spark, store):
+    """Rebalancing writes it as several files."""
+    store.register("N", 4, 4, threshold=1 << 30)
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        store.write("N", spark.range(60_000).selectExpr("2L AS address", "id * 7919 % 1000003 AS time", "id * 104729 AS payload", "id AS seq"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert store.points("N").select(F.input_file_name()).distinct().count() > 2
+    assert store.read_simple("N", 0, MAX_WORD, [2]).count() == 60_000
+
+
+def test_paths_without_a_scheme_belong_to_the_default_file_system(spark, tmp_path):
+    """Data and commits lie in one place; a conflict is told from other failures; drafts are not seen."""
+    conf = spark._jsc.hadoopConfiguration()
+    old = conf.get("fs.defaultFS")
+    conf.set("fs.viewfs.mounttable.mt.link./data", f"file://{tmp_path}")
+    conf.set("fs.defaultFS", "viewfs://mt/")
+    try:
+        store = PointStore(spark, "/data/points", threshold=0)
+        assert store.register("N", 4, 4) and not store.register("N", 4, 4)
+        store.write("N", spark.createDataFrame([(2, 1, 1, 1)], "address long, time long, payload long, seq long"))
+        log = store._log("N")
+        assert log.folder.scheme == "viewfs" and log.versions() == [0, 1]
+        with pytest.raises(CommitConflict):
+            log.commit(1, {})
+        assert not [n for n in log.folder.names() if n.endswith(".draft")]
+        (tmp_path / "points/N/_commits/000000000002.json.half.draft").write_text("{")
+        assert log.versions() == [0, 1]
+        with exclusive(spark, "/data/points", "l"), pytest.raises(LockTimeout), shared(spark, "/data/points", "l", timeout=0.2):
+            pass
+        assert rows(store.read_simple("N", 0, 9, [2])) == [(2, 1, 1)]
+        assert (tmp_path / "points/N/_commits/000000000001.json").exists() and list((tmp_path / "points/N/simple").iterdir())
+    finally:
+        conf.set("fs.defaultFS", old or "file:///")
+    with pytest.raises(OSError):
+        CommitLog(spark, "/proc/nowhere").commit(0, {})
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from tideline import session
+
+    def on(master):
+        return SimpleNamespace(
+            conf=SimpleNamespace(get=lambda *_: None, set=lambda *_: None),
+            sparkContext=SimpleNamespace(master=master, getConf=lambda: SimpleNamespace(get=lambda *_: None)),
+        )
+
+    for master in ("local", "local[4]", "local[*]"):
+        assert session.shared_folder(on(master)).startswith("file:///")
+    for master in ("yarn", "local-cluster[3,2,3000]", "spark://host:7077"):
+        with pytest.raises(ValueError, match="checkpoint"):
+            session.shared_folder(on(master))
 
 
 def test_wire(spark, tmp_path):

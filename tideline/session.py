@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -47,11 +48,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def shared_folder(spark: SparkSession) -> str:
     """A new folder that all executors can reach, below spark.checkpoint.dir.
 
-    Only where that setting is absent (tests on one machine) is a temporary
-    folder of this machine used; it is then set for the session.
+    Only where that setting is absent and Spark runs on this machine alone
+    (tests) is a temporary folder of it used; it is then set for the session.
+    On a cluster without the setting executors would write to their own disks:
+    ValueError.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^]]*])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors can reach")
         base = "file://" + tempfile.mkdtemp(prefix="tideline-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"

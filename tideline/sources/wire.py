@@ -26,6 +26,8 @@ DECODED = T.StructType([
     T.StructField("data", T.BinaryType()), T.StructField("seq", T.LongType()),
 ])
 
+ARROW = pa.schema([(n, pa.binary() if n == "data" else pa.int64()) for n in DECODED.names])
+
 #: Rows handed on at a time.
 ROWS = 1 << 16
 
@@ -64,7 +66,7 @@ def _simple_run(blob: memoryview) -> np.ndarray:
     return np.frombuffer(blob[: len(blob) // RECORD_BYTES * RECORD_BYTES], "<u8").reshape(-1, 3)
 
 
-def _decode(batch_id: int, blob: bytes) -> Iterator[pa.RecordBatch]:
+def decoded(batch_id: int, blob: bytes) -> Iterator[pa.RecordBatch]:
     """A blob as batches of rows; stretches of simple points are taken as they lie."""
     view, at, pos = memoryview(blob), 0, 0
     parts: list[tuple[np.ndarray, list[bytes | None]]] = []
@@ -116,7 +118,7 @@ def decode(blobs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for batch_id, blob in zip(batch.column("batch_id").to_pylist(), batch.column("blob").to_pylist()):
-                yield from _decode(batch_id or 0, blob or b"")
+                yield from decoded(batch_id or 0, blob or b"")
 
     return blobs.select("batch_id", "blob").mapInArrow(run, DECODED)
 

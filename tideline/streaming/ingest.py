@@ -12,12 +12,12 @@ from tideline.plans.store import PointStore
 def ingest_blobs(blobs: DataFrame, store: PointStore, ns: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Write a stream of (batch_id, blob) to a namespace, a commit per micro-batch.
 
-    A micro-batch that is repeated after a failure writes its points again;
-    reads are unaffected, since the first written of a point counts.
+    The stream is known by its checkpoint: a micro-batch that is repeated after
+    a failure is written once, since its commit records its number.
     """
 
-    def write(batch: DataFrame, _: int) -> None:
-        store.write_blobs(ns, batch)
+    def write(batch: DataFrame, number: int) -> None:
+        store.write_blobs(ns, batch, once=(checkpoint, number))
 
     return blobs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
