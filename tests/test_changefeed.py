@@ -100,3 +100,30 @@ def test_only_touched_parts_are_rewritten(spark):
     assert {r.address for r in table.rows().collect()} == set(range(1, 40)) - {3}
     table.apply(spark.createDataFrame([(7, "H", 3, 1, None, "", 0)], FEED))  # nothing to apply is a version, too
     assert table.log.versions() == [0, 1, 2] and table.log.latest()[1]["held"] == after["held"]
+
+
+def test_a_table_that_grows_gets_more_parts(spark, monkeypatch):
+    """Written anew in twice as many parts when it has outgrown them; what is no longer held can be deleted."""
+    monkeypatch.setattr(C, "PART_ROWS", 40)
+    table = C.ChangeTable(spark, f"{shared_folder(spark)}/t", parts=1)
+    rows, parts = random_feed(900, 150, 8), []
+    for k in range(6):
+        table.apply(spark.createDataFrame(rows[k::6], FEED))
+        parts.append(table.log.latest()[1]["parts"])
+    assert parts == sorted(parts) and parts[0] == 1 and parts[-1] >= 4
+    want = sorted(brute(rows), key=lambda r: (r[0], r[1]))
+    assert got(table.rows()) == want
+    assert sum(n for _, n in table.log.latest()[1]["held"].values()) == table.state().count()
+    assert table.vacuum() == [] and table.vacuum(older=-1)
+    assert got(table.rows()) == want and table.log.versions() == [5]
+    first = C.ChangeTable(spark, f"{shared_folder(spark)}/t")
+    first.apply(spark.createDataFrame(rows, FEED))
+    assert first.log.latest()[1]["parts"] == -(-len(rows) // 40)
+
+
+def test_a_feed_that_changes_nothing(spark):
+    table = C.ChangeTable(spark, f"{shared_folder(spark)}/t")
+    empty = spark.createDataFrame([(1, "heartbeat", 1, 1, 1, "", 0)], FEED)
+    assert table.apply(empty) == 0 and table.apply(empty) == 1 and table.rows().count() == 0
+    table.apply(spark.createDataFrame([(1, "I", 1, 1, 5, "", 0)], FEED))
+    assert table.apply(empty) == 3 and got(table.rows()) == [(1, 1, 5, 1)]

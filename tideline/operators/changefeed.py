@@ -12,6 +12,7 @@ a single commit publishes them all as the next version of the table.
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
 
@@ -21,8 +22,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.operators.arrow_blocks import blocks, whole_groups
-from tideline.plans.commits import CommitLog
-from tideline.session import shared_folder, shuffle_partitions
+from tideline.plans.commits import CommitLog, Folder, vacuum
+from tideline.session import materialise, shared_folder, ship, shuffle_partitions
 
 #: Spellings of operations, after trimming and lower-casing. Anything else changes nothing.
 SETS = ("i", "ins", "insert", "u", "upd", "update")
@@ -32,8 +33,10 @@ DELETES = ("d", "del", "delete")
 BLOCK_ROWS = 1 << 19
 #: Rows from which on whole buckets are put into one table.
 TABLE_ROWS = 1 << 18
-#: Buckets in a part of the table.
-BUCKETS = 64
+#: Buckets in a part of the table, and rows per part from which on the table gets twice as many parts: a bucket stays small.
+BUCKETS, PART_ROWS = 64, 1 << 22
+#: Memory of an embedded database; a bucket needs a small part of it.
+MEMORY = "1GB"
 
 STATE = "address long, time long, payload long, change_seq long, deleted boolean"
 
@@ -65,7 +68,7 @@ class Bucket:
     """Current rows and tombstones of a set of keys, in memory."""
 
     def __init__(self):
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "temp_directory": "", "preserve_insertion_order": False})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": MEMORY, "temp_directory": "", "preserve_insertion_order": False})
         self.db.sql(_CREATE)
 
     def upsert(self, changes: pa.Table) -> None:
@@ -120,10 +123,13 @@ def part_of(parts: int) -> Column:
     return F.pmod(F.xxhash64("address", "time"), F.lit(parts)).cast("int")
 
 
-def upsert(changes: DataFrame, state: DataFrame | None = None, parts: int | None = None) -> DataFrame:
-    """State (rows and tombstones) after the changes, each taken once in order of commit; one partition per part."""
+def upsert(changes: DataFrame, state: DataFrame | None = None, parts: int | None = None, settled: bool = False) -> DataFrame:
+    """State (rows and tombstones) after the changes, each taken once in order of commit; one partition per part.
+
+    settled: the changes are those that tasks left of their own rows.
+    """
     n = parts or shuffle_partitions(changes.sparkSession)
-    latest = changes.mapInArrow(_local, STATE)
+    latest = changes if settled else changes.mapInArrow(_local, STATE)
     if state is not None:
         latest = latest.unionByName(state.select(*_COLUMNS))
     bucket = F.pmod(F.xxhash64("time", "address"), F.lit(BUCKETS))
@@ -133,22 +139,25 @@ def upsert(changes: DataFrame, state: DataFrame | None = None, parts: int | None
 class ChangeTable:
     """A table kept from change feeds, in versions that are published whole.
 
-    Keys are hashed into parts, as many as there are shuffle partitions when
-    the table is made (or `parts`). A call of apply reads the current state of
-    those parts that its feed touches, upserts the feed into it and writes them
-    below a new name; the commit that says which name holds each part is the
-    only thing a reader looks at. Applying a feed again, or parts of it in
-    another order, leads to the same table.
+    Keys are hashed into parts, at first as many as there are shuffle
+    partitions (or `parts`), and more for a feed of more than PART_ROWS rows a
+    part; when the table has outgrown them it is written anew in twice as many.
+    Otherwise a call of apply reads the current state of those parts that its
+    feed touches, upserts the feed into it and writes them below a new name;
+    the commit that says which name holds each part is the only thing a reader
+    looks at. Applying a feed again, or parts of it in another order, leads to
+    the same table.
     """
 
     def __init__(self, spark: SparkSession, path: str, parts: int | None = None):
         self.spark, self.path, self._parts = spark, path.rstrip("/"), parts
         self.log = CommitLog(spark, f"{self.path}/_commits")
+        ship(spark)
 
-    def _read(self, held: dict[str, str]) -> DataFrame:
+    def _read(self, held: dict[str, list]) -> DataFrame:
         if not held:
             return self.spark.createDataFrame([], STATE)
-        return self.spark.read.schema(STATE).parquet(*(f"{self.path}/{data}/part={part}" for part, data in held.items()))
+        return self.spark.read.schema(STATE).parquet(*(f"{self.path}/{data}/part={part}" for part, (data, _) in held.items()))
 
     def state(self) -> DataFrame:
         """Rows and tombstones of the newest version; empty before the first."""
@@ -162,17 +171,38 @@ class ChangeTable:
     def apply(self, feed: DataFrame) -> int:
         """Apply a feed; the version published. CommitConflict if another writer was first."""
         found = self.log.latest()
-        version, held = (found[0] + 1, found[1]["held"]) if found else (0, {})
-        parts = found[1]["parts"] if found else self._parts or shuffle_partitions(self.spark)
-        changes, data = changes_of(feed), f"data-{version:012d}-{uuid.uuid4().hex[:12]}"
-        # At most as many rows as there are parts.
-        touched = [str(r.part) for r in changes.select(part_of(parts).alias("part")).distinct().collect()]
-        if touched:
-            result = upsert(changes, self._read({p: held[p] for p in touched if p in held}), parts)
+        changes, data = changes_of(feed), f"data-{uuid.uuid4().hex}"
+        if found is None:
+            # Every part is new, so nothing needs to be known of the feed but about how long it is.
+            version, parts, held = 0, self._parts or max(shuffle_partitions(self.spark), -(-feed.count() // PART_ROWS)), {}
+            result = upsert(changes, None, parts)
+        else:
+            version, parts, held = found[0] + 1, found[1]["parts"], found[1]["held"]
+            # What tasks leave of the feed, written once: it is asked which parts it touches, and then upserted.
+            own = materialise(changes.mapInArrow(_local, STATE), "changes")
+            touched = {str(r.part): r.n for r in own.groupBy(part_of(parts).alias("part")).agg(F.count("*").alias("n")).collect()}
+            rows = sum(touched.values()) + sum(n for _, n in held.values())
+            before = {p: held[p] for p in touched if p in held}
+            if rows > PART_ROWS * parts:
+                parts, before, held = parts * 2 ** math.ceil(math.log2(rows / PART_ROWS / parts)), held, {}
+            result = upsert(own, self._read(before), parts, settled=True) if touched else None
+        if result is not None:
             result.withColumn("part", part_of(parts)).write.partitionBy("part").parquet(f"{self.path}/{data}")
-        self.log.commit(version, {"parts": parts, "held": held | dict.fromkeys(touched, data)})
+            # By the folders' names and the files' own counts; as many rows as parts.
+            new = self.spark.read.schema(f"{STATE}, part int").parquet(f"{self.path}/{data}").groupBy("part").count().collect()
+            held = held | {str(r.part): [data, r["count"]] for r in new}
+        self.log.commit(version, {"parts": parts, "held": held})
         return version
 
+    def vacuum(self, older: float = 7 * 86400.0) -> list[str]:
+        """Delete data that the newest version does not hold and that is older than so many seconds, and earlier versions."""
+        found = self.log.latest()
+        if found is None:
+            return []
+        self.log.forget(found[0])
+        kept = {data for data, _ in found[1]["held"].values()}
+        return vacuum(Folder(self.spark, self.path), lambda name: name in kept or not name.startswith("data-"), older)
+
 
 def current_rows(feed: DataFrame) -> DataFrame:
     """The table a whole feed leads to: address, time, payload, change_seq.

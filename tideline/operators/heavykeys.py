@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from tideline.functions.u64 import order_key
 from tideline.operators.arrow_blocks import blocks, emit
-from tideline.session import shuffle_partitions
+from tideline.session import materialise, shuffle_partitions
 
 #: Sorted rows reduced at a time; a block's edges are stitched like a partition's.
 BLOCK_ROWS = 1 << 18
@@ -132,6 +132,7 @@ def key_statistics(points: DataFrame) -> DataFrame:
 
 def heavy_keys(points: DataFrame, share: float) -> DataFrame:
     """Addresses with at least so large a share of the rows whose address is not null, with their statistics."""
-    stats = key_statistics(points)
-    total = points.filter(F.col("address").isNotNull()).count()
+    # One row per address, written once: their points add up to all rows.
+    stats = materialise(key_statistics(points), "statistics")
+    total = stats.agg(F.coalesce(F.sum("points"), F.lit(0))).first()[0]
     return stats.filter(F.col("points") >= F.lit(share) * total)
