@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions.u64 import between, is_extended, order_key, set_bit0, to_signed
 from tideline.plans.routing import Index
+from tideline.session import fresh
 
 #: Addresses up to which a read filters by a list of literals; beyond, by a join.
 LISTED = 500
@@ -71,6 +72,18 @@ def newest_first(points: DataFrame) -> DataFrame:
     return points.orderBy(order_key(F.col("address")), order_key(F.col("time")).desc())
 
 
+def newest(points: DataFrame, n: int) -> DataFrame:
+    """Of each address the n newest points, with rank from 1 on; of equal times those written first.
+
+    points: address, time and seq; other columns stay. Tasks keep n points of
+    an address each before the shuffle, so no address is a hot spot.
+    """
+    (rank,) = fresh(points, "rank")
+    order = Window.partitionBy("address").orderBy(order_key(F.col("time")).desc(), F.col("seq").asc_nulls_last())
+    known = points.filter(F.col("address").isNotNull() & F.col("time").isNotNull())
+    return known.withColumn(rank, F.row_number().over(order)).filter(F.col(rank) <= n)
+
+
 def latest_times(points: DataFrame) -> DataFrame:
     """One row latest_simple, latest_extended: an extended point counts for both, 0 without any."""
     known = points.filter(F.col("address").isNotNull() & F.col("time").isNotNull())
@@ -112,6 +125,18 @@ def bucket_sizes(simple: DataFrame, extended: DataFrame, simple_index: Index, ex
     return objects.unionByName(heaps).select("kind", "epoch", "bucket", "n", "bytes")
 
 
+def sizes_at(sizes: DataFrame, objects: DataFrame) -> DataFrame:
+    """kind, epoch, bucket of the asked objects with their bytes, 0 of those that are not there."""
+    found = objects.join(sizes.select("kind", "epoch", "bucket", "bytes"), ["kind", "epoch", "bucket"], "left")
+    return found.withColumn("bytes", F.coalesce("bytes", F.lit(0).cast("long")))
+
+
+def object_pairs(sizes: DataFrame) -> DataFrame:
+    """epoch, bucket, simple_bytes, extended_bytes of places that have objects of both kinds."""
+    own = {k: sizes.filter(F.col("kind") == k).select("epoch", "bucket", F.col("bytes").alias(f"{k}_bytes")) for k in ("simple", "extended")}
+    return own["simple"].join(own["extended"], ["epoch", "bucket"])
+
+
 def rollover_candidates(sizes: DataFrame, index: Index, threshold: int) -> DataFrame:
     """Objects of the newest epoch that are larger than the threshold."""
     return sizes.filter((F.col("epoch") == F.lit(to_signed(index.newest()[0]))) & (F.col("bytes") > threshold))

@@ -19,7 +19,7 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.functions.u64 import order_key, to_signed, to_unsigned
@@ -57,6 +57,11 @@ def namespace(name: str) -> str:
     return name
 
 
+def is_namespace(name: Column) -> Column:
+    """Whether a string is a namespace, as a column; null is none."""
+    return F.coalesce((name != "") & ~name.contains("_") & ~name.contains("/") & ~name.startswith("."), F.lit(False))
+
+
 @dataclass
 class Batch:
     """A write: its name, the version that orders it, and per kind the points, bytes and latest time of each of its objects "epoch,bucket"."""

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tideline.functions import u64
 from tideline.functions.u64 import to_signed
 from tideline.operators import points as P
-from tideline.plans.mutable import folded
+from tideline.plans.mutable import MutableStore, folded
 from tideline.plans.routing import Index
-from tideline.plans.store import PointStore
+from tideline.plans.store import PointStore, is_namespace
 from tideline.registry import query, table
 from tideline.sources import wire
 
@@ -217,22 +218,240 @@ def wire_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return decoded.select("address", "time", "payload", F.hex("data").alias("data"))
 
 
-def _stored(spark: SparkSession, sf: str) -> PointStore:
-    """A store with both tables, written as one batch each; the second meets the index that the first left."""
-    store = PointStore.temporary(spark, threshold=1 << 16)
-    store.register("points", 4, 3)
-    for t, kind in (("simple_points", "simple"), ("extended_points", "extended")):
-        store.write("points", **{kind: table(spark, sf, t)})
+# Reads of the newest points, sizes of asked objects, pairs of objects.
+
+
+@query(f"""
+SELECT address, time, seq, r AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY address ORDER BY {_u('time')} DESC, seq) AS r FROM simple_points
+  WHERE address IS NOT NULL AND time IS NOT NULL) WHERE r <= 3""")
+def newest_points(spark: SparkSession, sf: str) -> DataFrame:
+    """The three newest points of every address."""
+    return P.newest(table(spark, sf, "simple_points").select("address", "time", "seq"), 3)
+
+
+_ASKED = f"""
+SELECT kind, epoch, CAST(({_u('a')} - {_u('a')} % 2) % n AS BIGINT) AS bucket FROM (
+  SELECT kind, epoch, arg_max(n_buckets, entry_seq) AS n FROM store_index GROUP BY kind, epoch) CROSS JOIN (SELECT unnest({list(ADDRESSES)}) AS a) GROUP BY ALL"""
+
+
+@query(f"SELECT kind, epoch, bucket, coalesce(bytes, 0) AS bytes FROM ({_ASKED}) LEFT JOIN ({_SIZES}) USING (kind, epoch, bucket)")
+def object_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    """Sizes of the objects of some addresses in all epochs, 0 of those that do not exist."""
+    asked = []
+    for kind in ("simple", "extended"):
+        for epoch, buckets in _index(spark, sf, kind).targets(0, (1 << 64) - 1, _words(ADDRESSES)):
+            asked += [(kind, to_signed(epoch), b) for b in buckets]
+    return P.sizes_at(_sizes(spark, sf), spark.createDataFrame(asked, "kind string, epoch long, bucket long"))
+
+
+@query(f"""
+SELECT epoch, bucket, s.bytes AS simple_bytes, e.bytes AS extended_bytes
+FROM (FROM ({_SIZES}) WHERE kind = 'simple') s JOIN (FROM ({_SIZES}) WHERE kind = 'extended') e USING (epoch, bucket)""")
+def object_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return P.object_pairs(_sizes(spark, sf))
+
+
+@query("""
+SELECT kind, epoch, arg_max(n_buckets, entry_seq) AS n_buckets FROM store_index GROUP BY kind, epoch
+UNION ALL SELECT 'entry' AS kind, 1775606400000000000 AS epoch, 7 AS n_buckets""")
+def index_codec(spark: SparkSession, sf: str) -> DataFrame:
+    """Both indexes and a single entry through their binary form."""
+    rows = []
+    for kind in ("simple", "extended"):
+        rows += [(kind, to_signed(e), n) for e, n in Index.from_bytes(_index(spark, sf, kind).to_bytes() + b"cut").entries]
+    (entry,) = Index.from_bytes(Index.of([(1775606400000000000, 7)]).to_bytes()).entries
+    return spark.createDataFrame([*rows, ("entry", *entry)], "kind string, epoch long, n_buckets long")
+
+
+@query("""
+SELECT origin, coalesce(origin <> '' AND NOT contains(origin, '_') AND NOT contains(origin, '/') AND NOT starts_with(origin, '.'), false) AS valid, count(*) AS batches
+FROM batches GROUP BY origin""")
+def namespace_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Origins of batches and whether each may name a namespace."""
+    return table(spark, sf, "batches").groupBy("origin", is_namespace(F.col("origin")).alias("valid")).agg(F.count("*").alias("batches"))
+
+
+# Mixed batches in wire form.
+
+
+def _batches(spark: SparkSession, sf: str) -> DataFrame:
+    return wire.batch_blobs(table(spark, sf, "simple_points"), table(spark, sf, "extended_points"))
+
+
+#: SQL of all records of both tables, which have no null but, of extended points, a null payload.
+_RECORDS = """
+(SELECT address, time, seq, payload, NULL AS data FROM simple_points WHERE address IS NOT NULL AND time IS NOT NULL AND payload IS NOT NULL AND seq IS NOT NULL
+ UNION ALL SELECT address, time, seq, NULL, coalesce(payload, ''::BLOB) FROM extended_points WHERE address IS NOT NULL AND time IS NOT NULL AND seq IS NOT NULL)"""
+
+
+@query(f"""
+SELECT address, time, payload, hex(data) AS data, seq >> 32 AS batch_id, row_number() OVER (PARTITION BY seq >> 32 ORDER BY seq) - 1 AS position FROM {_RECORDS}""")
+def wire_positions(spark: SparkSession, sf: str) -> DataFrame:
+    """Records of batches that hold points of both kinds, with their batch and position in it."""
+    found = wire.decode(_batches(spark, sf)).withColumn("data", F.hex("data"))
+    return found.withColumn("batch_id", F.shiftright("seq", 32)).withColumn("position", F.col("seq").bitwiseAND(F.lit((1 << 32) - 1))).drop("seq")
+
+
+@query(_SIZES.replace("simple_points", "(FROM simple_points WHERE payload IS NOT NULL)"))
+def group_mixed(spark: SparkSession, sf: str) -> DataFrame:
+    """Mixed batches decoded, located and added up by object."""
+    found = wire.decode(_batches(spark, sf))
+    return P.bucket_sizes(wire.simple_points(found), wire.extended_points(found), _index(spark, sf, "simple"), _index(spark, sf, "extended"))
+
+
+def _mixed_store(spark: SparkSession, sf: str) -> PointStore:
+    store = PointStore.temporary(spark, threshold=ROLLOVER)
+    store.register("mixed", 6, 5)
+    store.write_blobs("mixed", _batches(spark, sf))
     return store
 
 
-@query(_first("payload", "simple_points", f"(address & 1) = 0 AND address IN {ADDRESSES}"))
-def store_read_simple(spark: SparkSession, sf: str) -> DataFrame:
-    """All simple points written to a store, and some addresses read back over all times."""
-    return _stored(spark, sf).read_simple("points", 0, (1 << 64) - 1, _words(ADDRESSES))
+@query(f"""
+SELECT address, time, CAST(payload AS VARCHAR) AS payload FROM ({_first('payload', '(FROM simple_points WHERE payload IS NOT NULL)', '(address & 1) = 0')})
+UNION ALL SELECT address, time, coalesce(hex(payload), '') FROM ({_first('payload', 'extended_points', '(address & 1) = 1')})""")
+def store_write_blobs(spark: SparkSession, sf: str) -> DataFrame:
+    """All batches written to a store as blobs in one write, and the first written of every point read back."""
+    store, found = _mixed_store(spark, sf), []
+    for kind in ("simple", "extended"):
+        addresses = table(spark, sf, f"{kind}_points").select("address")
+        read = store.read_simple if kind == "simple" else store.read_extended
+        rows = read("mixed", 0, (1 << 64) - 1, addresses)
+        found.append(rows.withColumn("payload", F.col("payload").cast("string") if kind == "simple" else F.hex("payload")))
+    return found[0].unionByName(found[1])
+
+
+# A store whose epochs roll over: each kind is written in two parts, by time.
+
+#: Bytes of an object beyond which the stores of these queries begin an epoch.
+ROLLOVER = 1 << 14
+_E, _L = f"{_u('time')} < {BOUNDARY}", f"{_u('time')} >= {BOUNDARY}"
+#: SQL of the store after its four writes: places, index, sizes.
+_STORE = f"""
+s AS (SELECT *, {_u('time')} AS t, ({_u('address')} - {_u('address')} % 2) % 4 AS b FROM simple_points WHERE address IS NOT NULL AND time IS NOT NULL AND (address & 1) = 0),
+x AS (SELECT *, {_u('time')} AS t, ({_u('address')} - {_u('address')} % 2) % 3 AS b, 8 + coalesce(octet_length(payload), 0) AS size
+      FROM extended_points WHERE address IS NOT NULL AND time IS NOT NULL AND (address & 1) = 1),
+e1 AS (SELECT max(t) AS epoch FROM s WHERE {_E} AND (SELECT max(n) FROM (SELECT 24 * count(*) AS n FROM s WHERE {_E} GROUP BY b)) > {ROLLOVER}),
+sp AS (SELECT s.*, CASE WHEN t > epoch THEN epoch ELSE 0 END AS e FROM s, e1),
+newest AS (SELECT coalesce(epoch, 0) AS epoch FROM e1),
+touched AS (SELECT DISTINCT sp.b FROM sp, newest WHERE sp.e = newest.epoch AND {_L}),
+e2 AS (SELECT max(t) AS epoch FROM s WHERE (SELECT max(n) FROM (
+         SELECT 24 * count(*) AS n FROM sp, newest WHERE sp.e = newest.epoch AND b IN (FROM touched) GROUP BY b)) > {ROLLOVER}),
+x2 AS (SELECT max(t) AS epoch FROM x WHERE (SELECT max(n) FROM (
+         SELECT sum(size) AS n FROM x WHERE {_E} AND b IN (SELECT b FROM x WHERE {_L}) GROUP BY b)) > {ROLLOVER})"""
+
+
+def _rolling_store(spark: SparkSession, sf: str) -> PointStore:
+    store = PointStore.temporary(spark)
+    store.register("points", 4, 3, threshold=ROLLOVER)
+    for name in ("simple", "extended"):
+        points = table(spark, sf, f"{name}_points")
+        early = u64.between(F.col("time"), 0, BOUNDARY - 1)
+        for part in (early, ~early):
+            store.write("points", **{name: points.filter(part)})
+    return store
+
 
+@query(f"""WITH {_STORE}
+SELECT 'simple' AS kind, {_back('epoch')} AS epoch, 4 AS n_buckets FROM (SELECT 0::HUGEINT AS epoch UNION FROM e1 UNION FROM e2) WHERE epoch IS NOT NULL
+UNION ALL SELECT 'extended', {_back('epoch')}, 3 FROM (SELECT 0::HUGEINT AS epoch UNION FROM x2) WHERE epoch IS NOT NULL""")
+def store_rollover(spark: SparkSession, sf: str) -> DataFrame:
+    """The indexes of a registered namespace after writes that made its objects too large."""
+    store = _rolling_store(spark, sf)
+    rows = [(k, to_signed(e), n) for k in ("simple", "extended") for e, n in store.index("points", k).entries]
+    return spark.createDataFrame(rows, "kind string, epoch long, n_buckets long")
 
-@query()
+
+@query(f"""WITH {_STORE}
+SELECT 'simple' AS kind, {_back('e')} AS epoch, CAST(b AS BIGINT) AS bucket, count(*) AS n, CAST(24 * count(*) AS BIGINT) AS bytes
+FROM (SELECT e::HUGEINT AS e, b FROM sp UNION ALL SELECT 0::HUGEINT, b FROM x WHERE {_E} UNION ALL
+      SELECT CASE WHEN t > epoch THEN epoch ELSE 0 END, b FROM x, x2 WHERE {_L}) GROUP BY e, b
+UNION ALL
+SELECT 'extended', {_back('e')}, CAST(b AS BIGINT), count(*), CAST(sum(size) AS BIGINT)
+FROM (SELECT CASE WHEN t > epoch THEN epoch ELSE 0 END AS e, b, size FROM x, x2) GROUP BY e, b""")
 def describe_store(spark: SparkSession, sf: str) -> DataFrame:
-    """Objects of a store after both tables were written to it."""
-    return _stored(spark, sf).describe("points")
+    """Objects of a store whose epochs rolled over."""
+    return _rolling_store(spark, sf).describe("points")
+
+
+@query(f"""
+SELECT {_back('s')} AS latest_simple, {_back('e')} AS latest_extended FROM (
+  SELECT greatest((SELECT coalesce(max({_u('time')}), 0) FROM simple_points WHERE address IS NOT NULL AND (address & 1) = 0), e) AS s, e
+  FROM (SELECT coalesce(max({_u('time')}), 0) AS e FROM extended_points WHERE address IS NOT NULL AND (address & 1) = 1))""")
+def store_latest(spark: SparkSession, sf: str) -> DataFrame:
+    """Latest times as the commits of four writes carry them on."""
+    latest = _rolling_store(spark, sf).latest("points")
+    return spark.createDataFrame([tuple(to_signed(latest[k]) for k in ("simple", "extended"))], "latest_simple long, latest_extended long")
+
+
+@query(_first("payload", "simple_points", f"(address & 1) = 0 AND address IN {ADDRESSES}").replace("ORDER BY seq", f"ORDER BY {_L}, seq"))
+def store_read_simple(spark: SparkSession, sf: str) -> DataFrame:
+    """All simple points written to a store, and some addresses read back over all times and epochs."""
+    return _rolling_store(spark, sf).read_simple("points", 0, (1 << 64) - 1, _words(ADDRESSES))
+
+
+@query(_first("hex(payload) AS payload", "extended_points", f"address IN {EXTENDED_ADDRESSES} AND {_u('time')} BETWEEN {START} AND {END}"))
+def store_read_extended(spark: SparkSession, sf: str) -> DataFrame:
+    found = _rolling_store(spark, sf).read_extended("points", START, END, _words(EXTENDED_ADDRESSES))
+    return found.withColumn("payload", F.hex("payload"))
+
+
+@query("""
+SELECT address, time, payload, seq, 1 + (CASE WHEN """ + _E + """ THEN 0 ELSE 1 END) AS version FROM simple_points
+WHERE address IS NOT NULL AND time IS NOT NULL AND (address & 1) = 0""")
+def store_points(spark: SparkSession, sf: str) -> DataFrame:
+    """All points of a store as written, after its batches were merged into one."""
+    store = _rolling_store(spark, sf)
+    store.compact("points")
+    return store.points("points").select("address", "time", "payload", "seq", "version")
+
+
+@query(f"""WITH {_STORE},
+first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY address, time ORDER BY seq) AS r FROM sp WHERE address IN {ADDRESSES} AND t BETWEEN {START} AND {END}) WHERE r = 1 AND payload IS NOT NULL),
+asked AS (SELECT b, min(i) AS i FROM (SELECT unnest(range({len(ADDRESSES)})) AS i, unnest([{', '.join(f'({w} - {w} % 2) % 4' for w in _words(ADDRESSES))}]) AS b) GROUP BY b)
+SELECT e_rank AS epoch_place, b_rank AS bucket_place, row_number() OVER (PARTITION BY e_rank, b_rank ORDER BY t, {_u('address')}) AS position, address, time, payload
+FROM (SELECT *, CAST(dense_rank() OVER (ORDER BY e) AS INT) AS e_rank, CAST(dense_rank() OVER (ORDER BY i) AS INT) AS b_rank FROM first JOIN asked USING (b))""")
+def store_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """The chunks of a read: objects by epoch and by the first address that names them, points by time and address."""
+    found = _rolling_store(spark, sf).located_chunks("points", START, END, _words(ADDRESSES))
+    # Places are counted among chunks that have points; there are at most as many as objects.
+    places = found.select("e", "b").distinct().collect()
+    order = {k: {v: i + 1 for i, v in enumerate(sorted({r[k] for r in places}))} for k in ("e", "b")}
+    known = spark.createDataFrame([(r.e, r.b, order["e"][r.e], order["b"][r.b]) for r in places], "e int, b int, epoch_place int, bucket_place int")
+    at = Window.partitionBy("e", "b").orderBy(u64.order_key(F.col("time")), u64.order_key(F.col("address")))
+    rows = found.withColumn("position", F.row_number().over(at)).join(F.broadcast(known), ["e", "b"])
+    return rows.select("epoch_place", "bucket_place", "position", "address", "time", "payload")
+
+
+# The store of keys.
+
+
+def _keys(spark: SparkSession, sf: str) -> MutableStore:
+    """All entries inserted in order of seq, then some keys set and merged one by one."""
+    keys = MutableStore(PointStore.temporary(spark), "keys")
+    keys.insert_many(table(spark, sf, "mutable_entries"))
+    for k in _words(KEYS):
+        keys.insert(k, b"set")
+        keys.insert_with(lambda new, old: old + new, k, b"+")
+    return keys
+
+
+#: SQL of the same; two of KEYS each may be one key.
+_SET = f"(SELECT k | 1 AS address, count(*) AS times FROM (SELECT unnest({list(KEYS)}) AS k) GROUP BY 1)"
+_KEYS = f"""
+SELECT address, coalesce(n, 0) + 2 * coalesce(times, 0) - 1 AS version, CASE WHEN times IS NULL THEN value ELSE hex('set+'::BLOB) END AS value
+FROM (SELECT address | 1 AS address, count(*) AS n, hex(arg_max(value, seq)) AS value FROM mutable_entries WHERE address IS NOT NULL AND value IS NOT NULL GROUP BY 1)
+FULL JOIN {_SET} USING (address)"""
+
+
+@query(_KEYS)
+def mutable_store_enumerate(spark: SparkSession, sf: str) -> DataFrame:
+    return _keys(spark, sf).enumerate().withColumn("value", F.hex("value"))
+
+
+@query(f"SELECT k AS key, value FROM (SELECT unnest({[*KEYS, 2, -2]}) AS k) LEFT JOIN ({_KEYS}) ON address = k | 1")
+def mutable_store_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """Keys looked up one by one, two of them without a value."""
+    keys = _keys(spark, sf)
+    found = [(k, keys.lookup(k % (1 << 64))) for k in (*KEYS, 2, -2)]
+    return spark.createDataFrame([(k, v.hex().upper() if v is not None else None) for k, v in found], "key long, value string")

@@ -165,6 +165,36 @@ def blobs(points: DataFrame) -> DataFrame:
     return records(points.select("address", "time", "payload")).select("record").mapInArrow(run, "blob binary")
 
 
+def batch_blobs(simple: DataFrame, extended: DataFrame) -> DataFrame:
+    """batch_id LONG, blob BINARY: the records of both kinds of points that were written in one batch, in order of seq.
+
+    seq = batch_id * 2**32 + position; rows with a null seq are left out. A
+    blob is put together while its sorted records stream by. See records.
+    """
+    both = [records(x.select("address", "time", "payload", "seq").filter(F.col("seq").isNotNull())).select("seq", "record") for x in (simple, extended)]
+    rows = both[0].unionByName(both[1]).withColumn("batch_id", F.shiftright("seq", 32))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+
+        def blob() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([b"".join(held)], pa.binary())], ["batch_id", "blob"])
+
+        for batch in batches:
+            ids = batch.column("batch_id").to_numpy()
+            start = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]]) if len(ids) else []
+            for a, b in zip(start, [*start[1:], len(ids)]):
+                if held and ids[a] != at:
+                    yield blob()
+                    held = []
+                at = int(ids[a])
+                held += batch.column("record").slice(a, b - a).to_pylist()
+        if held:
+            yield blob()
+
+    return rows.repartition("batch_id").sortWithinPartitions("batch_id", "seq").mapInArrow(run, "batch_id long, blob binary")
+
+
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """Rows of DECODED from files in wire form, batches numbered by the order of their names."""
     files = spark.read.format("binaryFile").load(path)
