@@ -78,3 +78,9 @@ def test_columns_nulls_and_empty(spark):
     assert B.encode(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         B.encode(df, ids="text")
+
+
+def test_a_vocabulary_without_a_byte_is_refused():
+    ranks = {k: v for k, v in ENCODER.ranks.items() if k != b"q"}
+    with pytest.raises(ValueError, match="113"):
+        B.Encoder(ranks)

@@ -84,3 +84,27 @@ def test_empty(spark):
     assert m.copies.count() == 0 and m.report.count() == 0
     none = spark.createDataFrame([(1, None, "a", 1, 1, 1.0), (2, "", "a", 1, 1, 1.0)], DOCS)
     assert M.mix(none, t).copies.count() == 0
+
+
+def test_the_registered_mix_has_unequal_odds(spark):
+    """Longer documents of a source that is not used whole are likelier, and every source reaches its share."""
+    from tideline.llm import queries as Q
+
+    sf = "/root/testdata/sf0.01"
+    report = {r.source: r for r in Q.QUERIES["p7_report"](spark, sf).collect()}
+    copies = Q.QUERIES["p7_mix"](spark, sf).collect()
+    used = {r.source for r in copies}
+    assert sum(r.actual_share for r in report.values()) == pytest.approx(1)
+    whole = sum(r.target_share for r in report.values() if r.available_tokens)
+    for r in report.values():
+        assert r.tokens == sum(c.tokens * c.copies for c in copies if c.source == r.source)
+        assert r.repeats_used <= r.max_repeats and (not r.available_tokens or abs(r.actual_share - r.target_share / whole) < 0.02)
+    all_ = M.sized(Q.table(spark, sf, "documents")).filter("tokens > 0").collect()
+    taken = {c.doc_id: c.copies for c in copies}
+    gain = []
+    for s in used:
+        own = sorted((d for d in all_ if d.source == s), key=lambda d: d.tokens)
+        if report[s].tokens < report[s].available_tokens * report[s].max_repeats * 0.9:
+            half = len(own) // 2
+            gain.append(sum(taken.get(d.doc_id, 0) for d in own[half:]) / half - sum(taken.get(d.doc_id, 0) for d in own[:half]) / half)
+    assert gain and sum(gain) / len(gain) > 0.03

@@ -126,3 +126,36 @@ def test_too_many_subjects_are_refused(spark):
     listed = spark.range(S.MAX_SUBJECTS + 1).selectExpr("concat('s', id) AS subject", "'' AS description")
     with pytest.raises(ValueError, match="subjects"):
         S.subject_areas(spark.createDataFrame([], "doc_id long, text string"), listed, spark.createDataFrame([], LABELS))
+
+
+def test_subjects_are_assigned_by_cosine(spark, monkeypatch):
+    """Every row found is near to a centroid of its subject; none is without the cosine."""
+    docs, listed, labels, truth = corpus(spark)
+    found, centroids, names = S.fitted(docs, listed, labels)
+    rows = found.collect()
+    near = centroids.cosines(np.array([np.frombuffer(r.e, np.float32) for r in rows]))
+    assert near.shape == (len(rows), len(names)) and -1 <= near.min() and near.max() <= 1 + 1e-6
+    candidates = {(r.doc_id, names[s]) for r, c in zip(rows, near) for s in np.flatnonzero(c >= S.COSINE)}
+    assert {tuple(r) for r in S.subject_areas(docs, listed, labels).collect()} <= candidates
+    true = {(i, s) for i, t in truth.items() for s in t}
+    assert len(candidates & true) > 0.95 * len(true) and len(candidates) < 2 * len(true)
+
+
+@pytest.mark.parametrize("shape", [(5,), (700, 3), (1, 2)])
+def test_sums_of_arrays(spark, monkeypatch, shape):
+    """Put together in blocks, with blocks that are empty in some tasks or in all."""
+    monkeypatch.setattr(S, "SUM_BLOCK", 64)
+
+    def part(batches):
+        out = np.zeros(shape)
+        for b in batches:
+            for x in b.column("id").to_pylist():
+                out.reshape(-1)[x % out.size // 2] += x
+        return out
+
+    want = np.zeros(shape)
+    for x in range(1000):
+        want.reshape(-1)[x % want.size // 2] += x
+    for n in (1, 7, 40):
+        assert np.array_equal(S._summed(spark.range(1000, numPartitions=n), part, shape, np.float64), want)
+    assert not S._summed(spark.range(0), part, shape).any()

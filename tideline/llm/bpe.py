@@ -68,6 +68,9 @@ class Encoder:
     """Encodes texts; ids come as the bytes of little-endian 32-bit integers."""
 
     def __init__(self, ranks: dict[bytes, int]):
+        missing = [b for b in range(256) if bytes([b]) not in ranks]
+        if missing:
+            raise ValueError(f"a vocabulary needs a token for every byte; it has none for {missing}")
         self.ranks = ranks
         self.automaton = ahocorasick.Automaton()
         for token, rank in ranks.items():

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tideline.llm import bpe, mixing, subjects
 
@@ -34,16 +35,22 @@ def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.encode(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "ids")
 
 
+def _mix(spark: SparkSession, sf: str) -> mixing.Mix:
+    """Longer documents of a source are likelier, by the logarithm of their length."""
+    documents = table(spark, sf, "documents").select("doc_id", "text", "source", F.log2(F.length("text") + 2).alias("weight"))
+    return mixing.mix(documents, table(spark, sf, "mix_targets"), weight="weight")
+
+
 @query()
 def p7_mix(spark: SparkSession, sf: str) -> DataFrame:
     """The mix: documents with their number of copies."""
-    return mixing.mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets")).copies
+    return _mix(spark, sf).copies
 
 
 @query()
 def p7_report(spark: SparkSession, sf: str) -> DataFrame:
     """Target and actual share of every source in the mix, and repeats used."""
-    return mixing.mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets")).report
+    return _mix(spark, sf).report
 
 
 @query()

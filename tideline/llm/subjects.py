@@ -4,9 +4,11 @@ Every text becomes a vector of weighted terms; a truncated singular value
 decomposition of all vectors (subspace iteration, whose passes are distributed
 sums) gives the embedding. Seed centroids come from labelled documents, or from
 the description of a subject without any, and are refined over the whole corpus
-by the documents that are purely theirs. A document's cosines to the centroids,
-corrected for the overlap of the centroids with each other and with the common
-background, say how much of it each subject makes up.
+by the documents that are purely theirs. A document is a candidate for the
+subjects to whose centroids, freed of the common background, its cosine is
+large enough. Centroids overlap, so a check follows: the cosines, corrected for
+the overlap of the centroids with each other and with the background, say how
+much of the document each subject makes up.
 
 What the driver and the executors hold has a size fixed by the parameters:
 DIMENSIONS numbers of documents per term, DIMENSIONS x RANK for the embedding,
@@ -41,6 +43,8 @@ LEAST_DOCUMENTS, LEAST_WEIGHT = 3, 0.4
 MAX_SUBJECTS = 1000
 #: Labelled documents used at most, those with the least hash of doc_id.
 MAX_LABELLED = 20_000
+#: Cosine to a centroid of a subject from which on a document is a candidate for it.
+COSINE = 0.12
 #: Part of a document from which on it deals with a subject.
 THRESHOLD = 0.22
 #: A document is purely of one subject with so much of it and less than that of any other.
@@ -53,8 +57,8 @@ COMPANY, COMPANY_COSINE, COMPANY_SHARE = 3, 0.6, 0.8
 NEW_COSINE = 0.45
 #: Share of the labelled documents nearest to a further centroid that must have its subject, before and after refinement.
 BORNE_OUT = 0.7
-#: Further centroids per subject at most: documents in still more languages or forms are only found if they are near one of these.
-MORE_CENTROIDS = 8
+#: Numbers in a block of a sum; tasks that make a sum, per core.
+SUM_BLOCK, TASKS_PER_CORE = 1 << 18, 2
 #: Steps of the non-negative decomposition.
 STEPS = 40
 
@@ -181,41 +185,65 @@ def _pieces(batches: Iterator[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.
             yield pa.RecordBatch.from_arrays([pa.concat_arrays([c]) for c in piece.columns], piece.schema.names)
 
 
-def _summed(df: DataFrame, part: Callable[[Iterator[pa.RecordBatch]], np.ndarray], shape: tuple[int, ...]) -> np.ndarray:
-    """Sum over tasks of an array of a fixed shape, put together 16 at a time in the executors."""
+def _summed(df: DataFrame, part: Callable[[Iterator[pa.RecordBatch]], np.ndarray], shape: tuple[int, ...], kind: type = np.float32) -> np.ndarray:
+    """Sum over tasks of an array of a fixed shape.
+
+    As many tasks as there are cores, some times over, make one array each,
+    whatever the size of df; blocks of rows of them are added up in parallel,
+    so no task and no message holds more than a block of each.
+    """
     spark = df.sparkSession
     if 0 in shape:
         return np.zeros(shape)
+    width = int(np.prod(shape[1:]))
+    rows = max(1, SUM_BLOCK // width)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield pa.RecordBatch.from_arrays([pa.array([part(batches).astype(np.float32).tobytes()], pa.binary())], ["sum"])
+        own = part(batches).reshape(shape[0], width)
+        for block in range(-(-shape[0] // rows)):
+            piece = own[block * rows : (block + 1) * rows]
+            if piece.any():
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([piece.astype(kind).tobytes()], pa.binary())], ["block", "sum"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(shape, np.float64)
+        at, total = -1, np.zeros(0)
         for batch in batches:
-            for x in batch.column("sum"):
-                total += np.frombuffer(x.as_buffer(), np.float32).reshape(shape)
-        yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["sum"])
-
-    n = df.rdd.getNumPartitions()
-    sums = df.mapInArrow(first, "sum binary")
-    while n > 4:
-        n = max(4, -(-n // 16))
-        sums = sums.repartition(n).mapInArrow(add, "sum binary")
-    total = np.zeros(shape, np.float64)
-    for row in sums.toLocalIterator():
-        total += np.frombuffer(row["sum"], np.float32).reshape(shape)
-    return total
+            for block, x in zip(batch.column("block").to_pylist(), batch.column("sum")):
+                piece = np.frombuffer(x.as_buffer(), kind)
+                if block != at:
+                    if at >= 0:
+                        yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([total.astype(kind).tobytes()], pa.binary())], ["block", "sum"])
+                    at, total = block, np.zeros(len(piece))
+                total += piece
+        if at >= 0:
+            yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([total.astype(kind).tobytes()], pa.binary())], ["block", "sum"])
+
+    cores = spark.sparkContext.defaultParallelism
+    sums = df.coalesce(TASKS_PER_CORE * cores).mapInArrow(first, "block long, sum binary")
+    added = sums.repartition(min(cores, -(-shape[0] // rows)), "block").sortWithinPartitions("block").mapInArrow(add, "block long, sum binary")
+    total = np.zeros((shape[0], width))
+    # All of it has the fixed shape.
+    for row in added.collect():
+        piece = np.frombuffer(row["sum"], kind).reshape(-1, width)
+        total[row["block"] * rows : row["block"] * rows + len(piece)] = piece
+    return total.reshape(shape)
 
 
 def fit_space(vectors: DataFrame) -> Space:
     """Term weights and truncated SVD over all vectors."""
     spark = vectors.sparkSession
-    n = vectors.filter(F.size("dims") > 0).count()
-    # At most DIMENSIONS rows.
-    found = np.zeros(DIMENSIONS)
-    for r in vectors.select(F.explode("dims").alias("dim")).groupBy("dim").count().toLocalIterator():
-        found[r["dim"]] = r["count"]
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        found = np.zeros(DIMENSIONS + 1)
+        for batch in batches:
+            dims = batch.column("dims")
+            found[:DIMENSIONS] += np.bincount(dims.flatten().to_numpy(), minlength=DIMENSIONS)
+            found[DIMENSIONS] += (np.diff(dims.offsets.to_numpy()) > 0).sum()
+        return found
+
+    # Documents with each term; the last number is that of documents with any.
+    *found, n = _summed(vectors.select("dims"), seen, (DIMENSIONS + 1,), np.float64)
+    found = np.array(found)
     weights = np.zeros(DIMENSIONS)
     some = found >= LEAST_DOCUMENTS
     weights[some] = np.log(n / found[some])
@@ -266,6 +294,14 @@ class Centroids:
     def __init__(self, vectors: np.ndarray, owner: list[int], background: np.ndarray, subjects: int):
         self.vectors, self.owner, self.background, self.subjects = vectors, np.array(owner, int), background, subjects
 
+    def cosines(self, e: np.ndarray) -> np.ndarray:
+        """Cosine of each row to the nearest centroid of each subject, freed of the background."""
+        x = e @ _unit(self.vectors - np.outer(self.vectors @ self.background, self.background)).T
+        best = np.full((len(e), self.subjects), -1.0)
+        for c, s in enumerate(self.owner):
+            best[:, s] = np.maximum(best[:, s], x[:, c])
+        return best
+
     def parts(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Non-negative parts of each centroid in each row; the same by subject.
 
@@ -314,7 +350,7 @@ def _refined(found: DataFrame, seeds: Centroids, passes: int, least: float = PUR
                     total[c, rank] += mine.sum()
             return total
 
-        total = _summed(found.select("e"), sums, (len(now.owner), rank + 1))
+        total = _summed(found.select("e"), sums, (len(now.owner), rank + 1), np.float64)
         vectors = now.vectors.copy()
         enough = total[:, rank] >= 3
         vectors[enough] = _unit(total[enough, :rank])
@@ -339,7 +375,7 @@ def _further(now: Centroids, e: np.ndarray, has: np.ndarray) -> Centroids:
         near = e @ e[a] > COMPANY_COSINE
         share = has[near].mean(axis=0)
         s = int(share.argmax())
-        if near.sum() >= COMPANY and share[s] >= COMPANY_SHARE and owner.count(s) < MORE_CENTROIDS:
+        if near.sum() >= COMPANY and share[s] >= COMPANY_SHARE:
             v = _unit(e[near & has[:, s]].mean(axis=0))
             if (now.vectors @ v).max() < NEW_COSINE:
                 new.append(v)
@@ -356,15 +392,8 @@ def _borne_out(now: Centroids, first: int, e: np.ndarray, has: np.ndarray) -> Ce
     return Centroids(now.vectors[keep], list(now.owner[keep]), now.background, now.subjects)
 
 
-def subject_areas(documents: DataFrame, subjects: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, subject: a row for each subject that makes up at least the threshold of a document.
-
-    documents: doc_id, text; subjects: subject, description (a small table of
-    parameters, refused beyond MAX_SUBJECTS rows); labels: doc_id, subject, of any raters. Null, empty and blank
-    texts, and texts whose words are all too common or too rare to weigh, have
-    no subject. Labels of other subjects or documents, or with nulls, are not
-    used. Empty subjects or documents give no rows. Other columns are not read.
-    """
+def fitted(documents: DataFrame, subjects: DataFrame, labels: DataFrame) -> tuple[DataFrame, Centroids, list[str]] | None:
+    """Embeddings of the documents, centroids, and the subjects' names; None without subjects or terms."""
     spark = documents.sparkSession
     rows = subjects.select("subject", "description").filter(F.col("subject").isNotNull())
     if not fits(rows, MAX_SUBJECTS):
@@ -374,9 +403,8 @@ def subject_areas(documents: DataFrame, subjects: DataFrame, labels: DataFrame,
     vectors = materialise(term_vectors(documents), "terms")
     space = fit_space(vectors)
     rank = space.basis.shape[1]
-    result = "doc_id long, subject string"
     if not names or not rank:
-        return spark.createDataFrame([], result)
+        return None
     found = materialise(embeddings(vectors, space), "embeddings")
 
     def total(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
@@ -385,7 +413,7 @@ def subject_areas(documents: DataFrame, subjects: DataFrame, labels: DataFrame,
             out += _matrix(batch.column("e"), rank).sum(axis=0)
         return out
 
-    background = _unit(_summed(found.select("e"), total, (rank,)))
+    background = _unit(_summed(found.select("e"), total, (rank,), np.float64))
     votes = labels.filter(F.col("doc_id").isNotNull() & F.col("subject").isin(names)).groupBy("doc_id").agg(F.sort_array(F.collect_set("subject")).alias("has"))
     sample = votes.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
     known = found.join(F.broadcast(sample), "doc_id").orderBy("doc_id").collect()
@@ -411,11 +439,31 @@ def subject_areas(documents: DataFrame, subjects: DataFrame, labels: DataFrame,
         for _ in range(2):
             centroids = _borne_out(_further(centroids, e, has), len(names), e, has)
             centroids = _borne_out(_refined(found, centroids, 1), len(names), e, has)
+    return found, centroids, names
+
+
+def subject_areas(documents: DataFrame, subjects: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, subject: a row for each subject that a document is near to and that makes up at least the threshold of it.
+
+    documents: doc_id, text; subjects: subject, description (a small table of
+    parameters, refused beyond MAX_SUBJECTS rows); labels: doc_id, subject, of
+    any raters. Null, empty and blank texts, and texts whose words are all too common or too rare to weigh, have
+    no subject. Labels of other subjects or documents, or with nulls, are not
+    used. Empty subjects or documents give no rows. Other columns are not read.
+    """
+    result, fit = "doc_id long, subject string", fitted(documents, subjects, labels)
+    if fit is None:
+        return documents.sparkSession.createDataFrame([], result)
+    found, centroids, names = fit
+    rank = centroids.vectors.shape[1]
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            by = centroids.parts(_matrix(batch.column("e"), rank))[1]
-            row, s = np.nonzero(by >= threshold)
+            e = _matrix(batch.column("e"), rank)
+            near = centroids.cosines(e) >= COSINE
+            some = np.flatnonzero(near.any(axis=1))
+            at, s = np.nonzero(near[some] & (centroids.parts(e[some])[1] >= threshold))
+            row = some[at]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), pa.array([names[i] for i in s], pa.string())], ["doc_id", "subject"])
 
     return found.mapInArrow(assign, result)
