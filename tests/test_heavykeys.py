@@ -78,3 +78,28 @@ def test_no_partition_holds_the_heavy_key(spark):
     df = spark.range(40_000).selectExpr("if(id % 3 > 0, 2L, id * 2) AS address", "id AS time", "id AS payload")
     plan = H.key_statistics(df)._jdf.queryExecution().toString()
     assert "rangepartitioning" in plan
+
+
+def test_runs_through_many_blocks(monkeypatch):
+    """A partition gives two edges, whatever its blocks, and the same states."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    address = np.sort(rng.choice([1, 5, 5, 5, 5, 9], 3000))
+    rows = pa.table({
+        "address": address, "timed": rng.random(3000) < 0.8, "at": rng.integers(-(2**63), 2**63 - 1, 3000),
+        "payload": pa.array(rng.integers(-(2**62), 2**62, 3000), mask=rng.random(3000) < 0.3),
+    }).sort_by([("address", "ascending"), ("timed", "ascending"), ("at", "ascending")])
+
+    def states(n, size):
+        monkeypatch.setattr(H, "BLOCK_ROWS", n)
+        return [r for b in H._partials(iter(rows.to_batches(max_chunksize=size))) for r in b.to_pylist()]
+
+    whole = states(10**6, 10**6)
+    for n, size in ((1, 1), (7, 3), (500, 100)):
+        cut = states(n, size)
+        assert [r["edge"] for r in cut] == [r["edge"] for r in whole] == [True, False, True]
+        for a, b in zip(whole, cut):
+            assert {k: v for k, v in a.items() if k not in ("mean", "spread")} == {k: v for k, v in b.items() if k not in ("mean", "spread")}
+            assert np.allclose([a["mean"], a["spread"]], [b["mean"], b["spread"]])
+    assert not list(H._partials(iter([])))

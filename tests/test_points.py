@@ -1,0 +1,79 @@
+from __future__ import annotations
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from tideline import session
+from tideline.operators import points as P
+from tideline.sources import wire
+
+
+def test_newest(spark):
+    """By unsigned time, of equal times the first written; a column that is called rank stays."""
+    schema = "address long, time long, seq long, rank string"
+    rows = [(2, 5, 1, "a"), (2, -1, 2, "b"), (2, 5, 0, "c"), (2, 7, None, "d"), (2, 7, 9, "e"), (4, 1, 1, "f"), (None, 1, 1, ""), (4, None, 1, "")]
+    found = P.newest(spark.createDataFrame(rows, schema), 3).collect()
+    assert sorted((r.address, r.rank_, r.rank) for r in found) == [(2, 1, "b"), (2, 2, "e"), (2, 3, "d"), (4, 1, "f")]
+    assert P.newest(spark.createDataFrame([], schema), 3).count() == 0
+
+
+def test_sizes_and_pairs(spark):
+    sizes = spark.createDataFrame([("simple", 0, 2, 1, 24), ("simple", 0, 4, 1, 48), ("extended", 0, 2, 1, 9)], "kind string, epoch long, bucket long, n long, bytes long")
+    asked = spark.createDataFrame([("simple", 0, 2), ("extended", 0, 4), ("simple", 8, 2)], "kind string, epoch long, bucket long")
+    assert sorted(map(tuple, P.sizes_at(sizes, asked).collect())) == [("extended", 0, 4, 0), ("simple", 0, 2, 24), ("simple", 8, 2, 0)]
+    assert [tuple(r) for r in P.object_pairs(sizes).collect()] == [(0, 2, 24, 9)]
+
+
+def test_batches_in_wire_form(spark):
+    """Both kinds in one blob by their place in the batch, whatever their number, and back."""
+    r = random.Random(3)
+    simple, extended, want = [], [], {}
+    for batch in (0, 3, 2**31 - 1):
+        for at in r.sample(range(2**32), 300):
+            seq = (batch << 32) + at
+            if r.random() < 0.5:
+                simple.append((2 * r.randint(0, 9), r.randint(-9, 9), r.randint(-(2**63), 2**63 - 1), seq))
+                want[seq] = (*simple[-1][:3], None)
+            else:
+                data = r.choice([None, b"", r.randbytes(r.randint(1, 40))])
+                extended.append((2 * r.randint(0, 9) + 1, r.randint(-9, 9), data, seq))
+                want[seq] = (*extended[-1][:2], None, data or b"")
+    simple += [(None, 1, 1, 1), (2, None, 1, 1), (2, 1, None, 1), (2, 1, 1, None)]
+    extended += [(None, 1, b"x", 1), (1, 1, b"x", None)]
+    blobs = wire.batch_blobs(spark.createDataFrame(simple, "address long, time long, payload long, seq long"), spark.createDataFrame(extended, "address long, time long, payload binary, seq long"))
+    assert sorted(r.batch_id for r in blobs.collect()) == [0, 3, 2**31 - 1]
+    found = [(r.address, r.time, r.payload, r.data if r.data is None else bytes(r.data)) for r in wire.decode(blobs).orderBy("seq").collect()]
+    assert found == [want[k] for k in sorted(want)]
+    assert [list(wire.parse(bytes(r.blob)))[0][:2] for r in blobs.orderBy("batch_id").limit(1).collect()] == [tuple(x % 2**64 for x in want[min(want)][:2])]
+
+
+def test_records_of_slices():
+    import pyarrow as pa
+
+    words = wire.np.arange(6, dtype="<i8").reshape(2, 3)
+    payload = pa.array([b"skipped", b"ab", None, b"c"], pa.binary()).slice(1, 2)
+    out = wire._with_bytes(words.copy(), payload)
+    assert out.to_pylist() == [wire.struct.pack("<QQQ", 0, 1, 2) + b"ab", wire.struct.pack("<QQQ", 3, 4, 0)]
+    assert wire._joined(out.slice(1)) == out[1].as_py() and wire._joined(out.slice(2)) == b""
+
+
+@pytest.mark.parametrize("rows", [100, 0])
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_bounded_join_spreads_a_hot_key(spark, rows, how):
+    """With and without a broadcast the same rows; beyond, no partition gets most of a key."""
+    left = spark.range(4000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 50).alias("k"), "id")
+    right = spark.range(40).select(F.col("id").alias("r"), F.lit("x").alias("__part"))
+    on = F.col("k") == F.col("r")
+    joined = session.bounded_join(left, right, on, how, rows, F.col("id"))
+    assert joined.columns == ["k", "id", "r", "__part"]
+    assert sorted(map(tuple, joined.collect()), key=str) == sorted(map(tuple, left.join(right, on, how).collect()), key=str)
+    if not rows:
+        hot = joined.filter("k = 7").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        try:
+            hot = session.bounded_join(left, right, on, how, rows, F.col("id")).filter("k = 7").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+        finally:
+            spark.conf.set("spark.sql.adaptive.enabled", "true")
+        assert hot < 1000

@@ -49,8 +49,8 @@ FAR, PER_DOUBLING = 8.0, 4.0
 FAR_RUN = 5.0
 #: Rows that a task takes at a time; sources whose forests are grown together.
 ROWS, TOGETHER = 1 << 16, 256
-#: Models, and contexts of units, up to which they are broadcast; beyond, both sides are shuffled.
-BROADCAST_MODELS, BROADCAST_CONTEXTS = 2000, 20_000
+#: Models (2 KB at most) and contexts of units (300 bytes) up to which they are broadcast; beyond, both sides are shuffled.
+BROADCAST_MODELS, BROADCAST_CONTEXTS = 16_000, 20_000
 
 _HOUR = 3_600_000_000_000
 _LONGEST = (1 << 63) - 1
@@ -281,8 +281,9 @@ def _model(away, runs, hours, sample) -> dict:
     level = np.where(n > 0, total / np.maximum(n, 1), whole)
     off = np.abs(sample["payload"] - level[sample["hour"]])
     season = max(float(np.median(off)) * 1.4826, scatter) if len(off) else scatter
-    model = {"scatter": scatter, "usual": max(usual, 2), "level": level, "season": season}
-    model["sample"] = np.unique(_cells(sample, sample["payload"], sample["hour"], model), return_counts=True)
+    model = {"scatter": scatter, "usual": max(usual, 2), "level": level.astype(np.float32), "season": season}
+    cells, n = np.unique(_cells(sample, sample["payload"], sample["hour"], model), return_counts=True)
+    model["sample"] = cells.astype(np.int32), n.astype(np.int16)
     return model
 
 
@@ -456,5 +457,5 @@ def implausible(points: DataFrame, windows: DataFrame, limits: DataFrame, only_f
     sample = parts.filter(F.col("kind") == 3).withColumn("nth", first).filter(F.col("nth") <= SAMPLE).drop("nth")
     model_parts = sums.unionByName(sample).repartition(n, "address").sortWithinPartitions("address", "kind", "bin")
     models = materialise(model_parts.mapInArrow(_models, "m_address long, model binary"), "models")
-    joined = bounded_join(units, models, F.col("address") == F.col("m_address"), "left", BROADCAST_MODELS)
+    joined = bounded_join(units, models, F.col("address") == F.col("m_address"), "left", BROADCAST_MODELS, F.struct("window_id", "block"))
     return joined.select("address", "window_id", "seq", "time", "payload", "out", "context", "model").mapInArrow(_scored(only_found, cut), RESULT)

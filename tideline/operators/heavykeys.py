@@ -22,7 +22,7 @@ from tideline.functions.u64 import order_key
 from tideline.operators.arrow_blocks import blocks, emit
 from tideline.session import materialise, shuffle_partitions
 
-#: Sorted rows reduced at a time; a block's edges are stitched like a partition's.
+#: Sorted rows reduced at a time.
 BLOCK_ROWS = 1 << 18
 
 #: Partial state of a run of rows of one key. Times are order keys of words; a
@@ -75,9 +75,44 @@ def _reduce(block: pa.Table) -> pa.Table:
     })
 
 
+def _together(a: dict, b: dict) -> dict:
+    """State of a run that goes on: b follows a."""
+    n = a["n_payload"] + b["n_payload"]
+    high, low = a["sum_high"] + b["sum_high"], a["sum_low"] + b["sum_low"]
+    mean = (high * 4294967296.0 + low) / max(n, 1)
+    gaps = [x["widest_gap"] for x in (a, b)]
+    if a["last_time"] is not None and b["first_time"] is not None:
+        gaps.append(min(b["first_time"] - a["last_time"], int(_I64.max)))
+    return {
+        "address": a["address"], "edge": True, "n": a["n"] + b["n"],
+        "first_time": b["first_time"] if a["first_time"] is None else a["first_time"], "last_time": a["last_time"] if b["last_time"] is None else b["last_time"],
+        "widest_gap": max((g for g in gaps if g is not None), default=None),
+        "n_payload": n, "sum_high": high, "sum_low": low, "mean": mean,
+        "spread": sum(x["spread"] + x["n_payload"] * (x["mean"] - mean) ** 2 for x in (a, b)),
+        "lowest": min(a["lowest"], b["lowest"]), "highest": max(a["highest"], b["highest"]),
+    }
+
+
 def _partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """States of the runs of a partition; its first and its last are edges, however many blocks a run goes through."""
+    held, first = None, True
     for block in blocks(batches, BLOCK_ROWS):
-        yield from emit(_reduce(block))
+        states = _reduce(block)
+        if held is not None:
+            goes_on = held.column("address")[0] == states.column("address")[0]
+            if goes_on:
+                one = _together(held.to_pylist()[0], states.slice(0, 1).to_pylist()[0])
+                held, states = pa.Table.from_pylist([one], states.schema), states.slice(1)
+            states = pa.concat_tables([held, states])
+        done = states.num_rows - 1
+        if done:
+            edge = np.zeros(done, bool)
+            edge[0] = first
+            first = False
+            yield from emit(states.slice(0, done).set_column(1, "edge", pa.array(edge)))
+        held = states.slice(done)
+    if held is not None:
+        yield from emit(held.set_column(1, "edge", pa.array([True])))
 
 
 def _stitched(states: DataFrame) -> DataFrame:

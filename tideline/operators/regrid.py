@@ -85,7 +85,7 @@ def in_windows(points: DataFrame, windows: DataFrame, *extra: str) -> DataFrame:
         (F.col("p_address") == F.col("address")) & (F.col("p_cell") == F.col("cell"))
         & (F.col("p_key") >= F.col("first")) & (F.col("p_key") <= F.col("last"))
     )
-    joined = bounded_join(p, cells, on, "inner", BROADCAST_CELLS)
+    joined = bounded_join(p, cells, on, "inner", BROADCAST_CELLS, F.col("p_time"))
     return joined.withColumn("offset", F.col("p_key") - F.col("first")).drop("cell", "p_cell", "p_key", "p_address")
 
 

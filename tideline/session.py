@@ -12,6 +12,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of a row group of intermediate tables.
+ROW_GROUP = 16 << 20
+#: Parts that rows of one key are spread over where a join has to shuffle.
+SPREAD = 16
+
+
 def local_session(cores: int = 8, memory: str = "12g", partitions: int | None = None) -> SparkSession:
     """A session on this machine, for tests and the benchmark."""
     return (
@@ -66,11 +72,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it back: the lineage ends there.
 
     The files outlive executors, unlike a cache, and are columnar, so later
-    passes read only the columns they use.
+    passes read only the columns they use. Their row groups are small enough
+    for a pass to have as many tasks as its size asks for.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -85,23 +92,34 @@ def fits(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def bounded_join(left: DataFrame, right: DataFrame, on: Column | list[str], how: str, rows: int) -> DataFrame:
+def bounded_join(left: DataFrame, right: DataFrame, on: Column, how: str, rows: int, spread: Column | None = None) -> DataFrame:
     """Join with right broadcast when it is proven to have at most `rows` rows.
 
-    Beyond that both sides are shuffled by the keys and merged, where adaptive
-    execution splits skewed partitions of the left side.
+    Beyond that both sides are shuffled and merged. spread: a column of left by
+    which the rows of a key are spread over SPREAD parts, each of which meets a
+    copy of right, so that a key with a third of all rows is no hot spot.
     """
     if fits(right, rows):
         return left.join(F.broadcast(right), on, how)
-    return left.hint("merge").join(right, on, how)
+    if spread is None:
+        return left.hint("merge").join(right, on, how)
+    own, other = unused([*left.columns, *right.columns], "__part", "__copy")
+    parts = left.withColumn(own, F.pmod(F.xxhash64(spread), F.lit(SPREAD)).cast("int"))
+    copies = right.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    return parts.hint("merge").join(copies, on & (F.col(own) == F.col(other)), how).drop(own, other)
 
 
-def fresh(df: DataFrame, *names: str) -> list[str]:
-    """Column names for internal use that df does not have."""
-    taken, out = {c.lower() for c in df.columns}, []
+def unused(taken: list[str], *names: str) -> list[str]:
+    """Column names for internal use that are not taken."""
+    have, out = {c.lower() for c in taken}, []
     for n in names:
-        while n.lower() in taken:
+        while n.lower() in have:
             n += "_"
-        taken.add(n.lower())
+        have.add(n.lower())
         out.append(n)
     return out
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names for internal use that df does not have."""
+    return unused(df.columns, *names)

@@ -95,12 +95,20 @@ def decoded(batch_id: int, blob: bytes) -> Iterator[pa.RecordBatch]:
         elif not len(words):
             raise InvalidPayload(f"{len(rest)} bytes at offset {at} are no record")
         else:
-            size = int(words[0, 2])
-            at += RECORD_BYTES
-            if size > len(blob) - at:
-                raise InvalidPayload(f"{size} bytes announced at offset {at}, {len(blob) - at} left")
-            parts.append((words[:1], [bytes(view[at : at + size])]))
-            at, pos, held = at + size, pos + 1, held + 1
+            # Extended records follow each other: each says where the next one begins.
+            heads, data = [], []
+            while len(blob) - at >= RECORD_BYTES and len(data) < ROWS:
+                head = struct.unpack_from(RECORD, view, at)
+                if not head[0] & 1:
+                    break
+                at, size = at + RECORD_BYTES, head[2]
+                if size > len(blob) - at:
+                    raise InvalidPayload(f"{size} bytes announced at offset {at}, {len(blob) - at} left")
+                heads.append(head)
+                data.append(bytes(view[at : at + size]))
+                at += size
+            parts.append((np.array(heads, "<u8"), data))
+            pos, held = pos + len(data), held + len(data)
         if held >= ROWS:
             yield batch()
             parts, held = [], 0
@@ -131,6 +139,35 @@ def extended_points(decoded: DataFrame) -> DataFrame:
     return decoded.filter(F.col("address").bitwiseAND(F.lit(1)) == 1).select("address", "time", F.col("data").alias("payload"), "seq")
 
 
+def _binary(offsets: np.ndarray, data: bytes) -> pa.Array:
+    """Strings of bytes that lie one after the other."""
+    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype("<i8").tobytes()), pa.py_buffer(data)]).cast(pa.binary())
+
+
+def _with_bytes(words: np.ndarray, payload: pa.Array) -> pa.Array:
+    """Records of words (address, time, to be set to the length) and payloads, null ones as empty."""
+    payload = pa.concat_arrays([payload]).fill_null(b"")
+    held = np.frombuffer(payload.buffers()[1], np.int32, len(payload) + 1, payload.offset * 4).astype(np.int64)
+    words[:, 2] = np.diff(held)
+    offsets = np.r_[0, np.cumsum(RECORD_BYTES + words[:, 2])]
+    head = offsets[:-1, None] + np.arange(RECORD_BYTES)
+    out, body = np.empty(offsets[-1], np.uint8), np.ones(offsets[-1], bool)
+    out[head] = words.view(np.uint8).reshape(-1, RECORD_BYTES)
+    body[head] = False
+    data = payload.buffers()[2]
+    if data is not None:
+        out[body] = np.frombuffer(data, np.uint8)[held[0] : held[-1]]
+    return _binary(offsets, out.tobytes())
+
+
+def _joined(records: pa.Array) -> bytes:
+    """All records of an array, one after the other."""
+    if not len(records):
+        return b""
+    held = np.frombuffer(records.buffers()[1], np.int32, len(records) + 1, records.offset * 4)
+    return records.buffers()[2].slice(int(held[0]), int(held[-1] - held[0])).to_pybytes()
+
+
 def records(points: DataFrame) -> DataFrame:
     """points with their wire record: simple ones with a LONG payload, extended ones with a BINARY payload.
 
@@ -142,14 +179,15 @@ def records(points: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, t = (batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64).tolist() for c in ("address", "time"))
+            words = np.empty((batch.num_rows, 3), "<i8")
+            for i, c in enumerate(("address", "time")):
+                words[:, i] = batch.column(c).to_numpy(zero_copy_only=False)
             if extended:
-                out = [struct.pack(RECORD, x, y, len(p)) + p for x, y, p in zip(a, t, (p or b"" for p in batch.column("payload").to_pylist()))]
+                out = _with_bytes(words, batch.column("payload"))
             else:
-                words = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype("<i8") for c in ("address", "time", "payload")], axis=1)
-                raw = np.ascontiguousarray(words).tobytes()
-                out = [raw[i : i + 24] for i in range(0, len(raw), 24)]
-            yield batch.append_column("record", pa.array(out, pa.binary()))
+                words[:, 2] = batch.column("payload").to_numpy(zero_copy_only=False)
+                out = _binary(np.arange(0, words.nbytes + 1, RECORD_BYTES), words.tobytes())
+            yield batch.append_column("record", out)
 
     rows = known if extended else known.filter(F.col("payload").isNotNull())
     return rows.mapInArrow(run, T.StructType([*points.schema.fields, T.StructField("record", T.BinaryType())]))
@@ -160,7 +198,7 @@ def blobs(points: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([b"".join(batch.column("record").to_pylist())], pa.binary())], ["blob"])
+            yield pa.RecordBatch.from_arrays([pa.array([_joined(batch.column("record"))], pa.binary())], ["blob"])
 
     return records(points.select("address", "time", "payload")).select("record").mapInArrow(run, "blob binary")
 
@@ -188,7 +226,7 @@ def batch_blobs(simple: DataFrame, extended: DataFrame) -> DataFrame:
                     yield blob()
                     held = []
                 at = int(ids[a])
-                held += batch.column("record").slice(a, b - a).to_pylist()
+                held.append(_joined(batch.column("record").slice(a, b - a)))
         if held:
             yield blob()
 
