@@ -156,9 +156,10 @@ def test_rows_that_are_no_readings_cut_nothing(spark):
     assert {k: (r.run, r.deviation, r.reason) for k, r in found.items()} == {k: (r.run, r.deviation, r.reason) for k, r in alone.items()}
 
 
-@pytest.mark.parametrize("steps", [1, 3, 16])
-def test_units_of_any_length_give_the_same(spark, monkeypatch, steps):
-    """Runs over many units, empty units and readings with no neighbour in their unit."""
+@pytest.mark.parametrize("steps, part", [(1, 4096), (3, 4096), (16, 4096), (1, 7), (3, 2), (16, 1)])
+def test_units_of_any_length_give_the_same(spark, monkeypatch, steps, part):
+    """Runs over many units and parts of windows, empty units and readings with no neighbour in their unit."""
+    monkeypatch.setattr(A, "PART_UNITS", part)
     series = {2: list(wave(400, 7)), 4: list(wave(400, 8))}
     for v in series.values():
         v[100:160] = [v[100]] * 60

@@ -336,7 +336,7 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
     def on(master):
         return SimpleNamespace(
             conf=SimpleNamespace(get=lambda *_: None, set=lambda *_: None),
-            sparkContext=SimpleNamespace(master=master, getConf=lambda: SimpleNamespace(get=lambda *_: None)),
+            sparkContext=SimpleNamespace(master=master, applicationId="a", getConf=lambda: SimpleNamespace(get=lambda *_: None)),
         )
 
     for master in ("local", "local[4]", "local[*]"):

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,13 +41,15 @@ BLOCK = 4096
 #: Readings on each side that a reading is compared with.
 SIDE = 5
 #: Score from which on a reading is easy to isolate.
-CUT = 0.58
-#: The longest runs of a source that do not count among the usual ones, if there are more.
-APART = 2
+CUT = 0.585
+#: The longest runs of a source that do not count among the usual ones, if there are more: a run is compared with what the source shows otherwise.
+APART = 1
 #: Features are linear up to FAR usual units, with so many cells to the doubling beyond.
 FAR, PER_DOUBLING = 8.0, 4.0
 #: A run of so many times the usual length (of 2 at least) is FAR.
 FAR_RUN = 5.0
+#: Units of a window whose edges are gone through together; the number that stands for what lies beside them.
+PART_UNITS, BESIDE = 4096, -1
 #: Rows that a task takes at a time; sources whose forests are grown together.
 ROWS, TOGETHER = 1 << 16, 256
 #: Models (2 KB at most) and contexts of units (300 bytes) up to which they are broadcast; beyond, both sides are shuffled.
@@ -160,11 +163,8 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             s, edge = slice(a, b), None
             if not flags[a] & _ONLY:
                 inside = p[s][~out[s]]
-                head, tail = int(run[a]), int(run[b - 1])
-                edge = pickle.dumps((
-                    int(b - a), int((first[s] & ~out[s]).sum()), not out[a], inside[:SIDE].tolist(), inside[-SIDE:].tolist(),
-                    (int(p[a]), head), (int(p[b - 1]), tail),
-                ))
+                ends = [(int(p[k]), int(run[k])) for k in (a, b - 1)]
+                edge = pickle.dumps(_Edge(int(b - a), int((first[s] & ~out[s]).sum()), bool(not out[a]), inside[:SIDE].tolist(), inside[-SIDE:].tolist(), *ends))
             found.append((
                 *(int(get[c][a]) for c in ("address", "window_id", "start", "block")), bool(flags[a] & _SOLO),
                 _packed(get["seq"][s]), _packed(get["at"][s]), _packed(p[s]), out[s].tobytes(), edge,
@@ -176,33 +176,125 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(part, kinds)], names)
 
 
-def _beside(edges: list[tuple]) -> list[tuple[list[int], int]]:
-    """Of units in order, by their edges: the SIDE readings before each, and the length of the run that goes on into it."""
-    found, left, run = [], [], (None, 0)
-    for n, _, _, _, last, head, tail in edges:
-        goes_on = run[1] if run[1] and run[0] == head[0] else 0
-        found.append((left, goes_on))
-        left = (left + last)[-SIDE:]
-        run = (tail[0], tail[1] + goes_on) if tail[1] == n else tail
+class _Edge:
+    """What units in order show to those beside them, and what they make together."""
+
+    def __init__(self, n: int, heads: int, inside: bool, first: list[int], last: list[int], head: tuple[int, int], tail: tuple[int, int]):
+        #: Readings; first readings of runs within the limits; whether the very first is one, unless its run began before.
+        self.n, self.heads, self.inside = n, heads, inside
+        #: The SIDE first and last readings within the limits; payload and length of the first and the last run.
+        self.first, self.last, self.head, self.tail = first, last, head, tail
+
+    def then(self, other: _Edge) -> _Edge:
+        joined = self.tail[0] == other.head[0]
+        head = (self.head[0], self.n + other.head[1]) if joined and self.head[1] == self.n else self.head
+        tail = (other.tail[0], self.tail[1] + other.n) if joined and other.tail[1] == other.n else other.tail
+        heads = self.heads + other.heads - (joined and other.inside)
+        return _Edge(self.n + other.n, heads, self.inside, (self.first + other.first)[:SIDE], (self.last + other.last)[-SIDE:], head, tail)
+
+    def mirrored(self) -> _Edge:
+        return _Edge(self.n, self.heads, self.inside, self.last[::-1], self.first[::-1], self.tail, self.head)
+
+
+#: Readings before a unit, and payload and length of the run that ends there.
+_Side = tuple[list[int], tuple[int | None, int]]
+_NOTHING: _Side = ([], (None, 0))
+
+
+def _sides(edges: list[_Edge], before: _Side) -> list[_Side]:
+    """What lies before each of some edges in order."""
+    found, at = [], before
+    for e in edges:
+        found.append(at)
+        left, (payload, length) = at
+        whole = e.tail[1] == e.n and payload == e.tail[0]
+        at = (left + e.last)[-SIDE:], (e.tail[0], e.n + length) if whole else e.tail
     return found
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges, sorted by window and block, to what each unit needs of the rest of its window."""
+def _both_sides(edges: list[_Edge], before: _Side, after: _Side) -> list[tuple[_Side, _Side]]:
+    """What lies before and after each of some edges in order; readings after are the nearest last."""
+    return list(zip(_sides(edges, before), _sides([e.mirrored() for e in edges[::-1]], after)[::-1]))
+
+
+_KEYS = ["address", "window_id", "start", "part"]
+_PART = "address long, window_id long, start long, part long, block long, edge binary, part_key long"
+
+
+def _part_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges, sorted by part and block, to one edge per part, put together as they stream by."""
+    at, held = None, None
+
+    def row() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(pa.array([k], pa.int64()) for k in at), pa.array([pickle.dumps(held)], pa.binary())], [*_KEYS, "edge"])
+
+    for batch in batches:
+        keys = zip(*(batch.column(c).to_pylist() for c in _KEYS))
+        for key, edge in zip(keys, batch.column("edge").to_pylist()):
+            own = pickle.loads(edge)
+            if key != at:
+                if held is not None:
+                    yield row()
+                at, held = key, own
+            else:
+                held = held.then(own)
+    if held is not None:
+        yield row()
+
+
+def _part_sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges of parts, sorted by window and part, to what lies beside each part and the heads of its window."""
     for rows in whole_groups(batches, "window_key", ROWS):
-        keys = [rows.column(c).to_numpy() for c in ("address", "window_id", "start", "block")]
-        key = np.stack([rows.column("window_key").to_numpy(), *keys[:3]])
-        start = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0)])
+        keys = [rows.column(c).to_numpy() for c in _KEYS]
+        start = np.flatnonzero(np.r_[True, (np.diff(np.stack(keys[:3])) != 0).any(axis=0)])
         edges, out = [pickle.loads(e) for e in rows.column("edge").to_pylist()], []
         for a, b in zip(start, np.r_[start[1:], len(edges)]):
-            own = edges[a:b]
-            before = _beside(own)
-            mirrored = [(n, heads, inside, last[::-1], first[::-1], tail, head) for n, heads, inside, first, last, head, tail in own[::-1]]
-            after = [(right[::-1], goes_on) for right, goes_on in _beside(mirrored)[::-1]]
-            # A run that goes on from the unit before has its first reading there.
-            heads = sum(e[1] - (e[2] and x[1] > 0) for e, x in zip(own, before))
-            out += [pickle.dumps((heads, x, y)) for x, y in zip(before, after)]
-        yield pa.RecordBatch.from_arrays([*map(pa.array, keys), pa.array(out, pa.binary())], ["c_address", "c_window_id", "c_start", "c_block", "context"])
+            heads = reduce(_Edge.then, edges[a:b]).heads
+            out += [pickle.dumps((heads, *x)) for x in _both_sides(edges[a:b], _NOTHING, _NOTHING)]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, keys), pa.array(out, pa.binary())], [*_KEYS, "edge"])
+
+
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges, sorted by part and block, to what each unit needs of the rest of its window; what lies beside the part, if given, comes first."""
+    for rows in whole_groups(batches, "part_key", ROWS):
+        keys = [rows.column(c).to_numpy() for c in _KEYS]
+        block = rows.column("block").to_numpy()
+        start = np.flatnonzero(np.r_[True, (np.diff(np.stack(keys)) != 0).any(axis=0)])
+        held, out, units = [pickle.loads(e) for e in rows.column("edge").to_pylist()], [], []
+        for a, b in zip(start, np.r_[start[1:], len(held)]):
+            if block[a] == BESIDE:
+                heads, before, after = held[a]
+                a += 1
+            else:
+                heads, before, after = reduce(_Edge.then, held[a:b]).heads, _NOTHING, _NOTHING
+            for e, (left, right) in zip(held[a:b], _both_sides(held[a:b], before, after)):
+                # Of the runs beside it, those that go on in the unit.
+                runs = [n if payload == mine[0] else 0 for (_, (payload, n)), mine in ((left, e.head), (right, e.tail))]
+                out.append(pickle.dumps((heads, (left[0], runs[0]), (right[0][::-1], runs[1]))))
+            units += range(a, b)
+        columns = [pa.array(k[units]) for k in (*keys[:3], block)]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(out, pa.binary())], ["c_address", "c_window_id", "c_start", "c_block", "context"])
+
+
+def _stitched(units: DataFrame, longest: int, n: int) -> DataFrame:
+    """Contexts of the units that have an edge.
+
+    The edges of PART_UNITS units in a row are gone through together. Where a
+    window has more, each such part first makes one edge, and those of a window
+    tell what lies beside each part, so no task has more than a part of a
+    window's units, or its parts.
+    """
+    part = F.expr(f"block div {PART_UNITS}")
+    edges = units.filter(F.col("edge").isNotNull()).select("address", "window_id", "start", part.alias("part"), "block", "edge")
+    key = F.xxhash64(*_KEYS).alias("part_key")
+    if longest > PART_UNITS:
+        sorted_edges = edges.repartition(n, *_KEYS).sortWithinPartitions(*_KEYS, "block")
+        parts = sorted_edges.mapInArrow(_part_edges, "address long, window_id long, start long, part long, edge binary")
+        parts = parts.withColumn("window_key", F.xxhash64("window_id", "address", "start")).repartition(n, "window_key")
+        sides = parts.sortWithinPartitions("window_key", *_KEYS).mapInArrow(_part_sides, "address long, window_id long, start long, part long, edge binary")
+        edges = edges.unionByName(sides.withColumn("block", F.lit(BESIDE).cast("long")))
+    edges = edges.select("*", key).repartition(n, "part_key").sortWithinPartitions("part_key", *_KEYS, "block")
+    return edges.mapInArrow(_contexts, "c_address long, c_window_id long, c_start long, c_block long, context binary")
 
 
 class _Shaped:
@@ -446,9 +538,8 @@ def implausible(points: DataFrame, windows: DataFrame, limits: DataFrame, only_f
     )
     sorted_rows = rows.repartition(n, "unit_key").sortWithinPartitions("unit_key", "address", "block", "at", "seq")
     units = materialise(sorted_rows.mapInArrow(_units, _UNIT), "units")
-    edges = units.filter(F.col("edge").isNotNull()).select("address", "window_id", "start", "block", "edge", F.xxhash64("window_id", "address", "start").alias("window_key"))
-    edges = edges.repartition(n, "window_key").sortWithinPartitions("window_key", "address", "window_id", "start", "block")
-    contexts = materialise(edges.mapInArrow(_contexts, "c_address long, c_window_id long, c_start long, c_block long, context binary"), "contexts")
+    longest = proper.agg(F.coalesce(F.max("blocks"), F.lit(0))).first()[0]
+    contexts = materialise(_stitched(units, longest, n), "contexts")
     place = [F.col(c) == F.col(f"c_{c}") for c in ("address", "window_id", "start", "block")]
     units = bounded_join(units.drop("edge"), contexts, place[0] & place[1] & place[2] & place[3], "left", BROADCAST_CONTEXTS)
     parts = units.filter(~F.col("solo")).select("address", "seq", "time", "payload", "out", "context").mapInArrow(_parts, _PARTS)

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 ROW_GROUP = 16 << 20
 #: Parts that rows of one key are spread over where a join has to shuffle.
 SPREAD = 16
+#: How the shared folder of an application begins.
+_OWN = "tideline-"
 
 
 def local_session(cores: int = 8, memory: str = "12g", partitions: int | None = None) -> SparkSession:
@@ -65,7 +67,15 @@ def shared_folder(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors can reach")
         base = "file://" + tempfile.mkdtemp(prefix="tideline-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{_OWN}{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def sweep(spark: SparkSession, older: float = 7 * 86400.0) -> list[str]:
+    """Delete the shared folders of other applications that have not added to them for so many seconds; their names."""
+    from tideline.plans.commits import Folder, vacuum
+
+    folder = Folder(spark, shared_folder(spark).rsplit("/", 2)[0])
+    return vacuum(folder, lambda name: not name.startswith(_OWN) or name == f"{_OWN}{spark.sparkContext.applicationId}", older)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
