@@ -79,15 +79,11 @@ def test_bounded_join_spreads_a_hot_key(spark, rows, how):
         assert hot < 1000
 
 
-def test_sweep(spark, tmp_path):
+def test_sweep(spark, tmp_path, monkeypatch):
     """Folders of other applications go when they are old; this one's, and what is not ours, stay."""
-    old = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
-    try:
-        session.materialise(spark.range(3), "x")
-        for name in ("tideline-app-1", "other"):
-            (tmp_path / name).mkdir()
-        assert session.sweep(spark) == [] and session.sweep(spark, older=-1) == ["tideline-app-1"]
-        assert sorted(p.name for p in tmp_path.iterdir()) == ["other", f"tideline-{spark.sparkContext.applicationId}"]
-    finally:
-        spark.conf.set("spark.checkpoint.dir", old) if old else spark.conf.unset("spark.checkpoint.dir")
+    monkeypatch.setattr(session, "_shared", lambda _: f"file://{tmp_path}")
+    session.materialise(spark.range(3), "x")
+    for name in ("tideline-app-1", "other"):
+        (tmp_path / name).mkdir()
+    assert session.sweep(spark) == [] and session.sweep(spark, older=-1) == ["tideline-app-1"]
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["other", f"tideline-{spark.sparkContext.applicationId}"]

@@ -335,12 +335,15 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
 
     def on(master):
         return SimpleNamespace(
-            conf=SimpleNamespace(get=lambda *_: None, set=lambda *_: None),
+            conf=SimpleNamespace(get=lambda *_: None),
             sparkContext=SimpleNamespace(master=master, applicationId="a", getConf=lambda: SimpleNamespace(get=lambda *_: None)),
         )
 
     for master in ("local", "local[4]", "local[*]"):
-        assert session.shared_folder(on(master)).startswith("file:///")
+        one = on(master)
+        assert session.shared_folder(one).startswith("file:///")
+        # The same folder, and a new one in it, each time.
+        assert session.shared_folder(one).rsplit("/", 1)[0] == session.shared_folder(one).rsplit("/", 1)[0]
     for master in ("yarn", "local-cluster[3,2,3000]", "spark://host:7077"):
         with pytest.raises(ValueError, match="checkpoint"):
             session.shared_folder(on(master))

@@ -53,28 +53,33 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def _shared(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, or one of this machine if Spark runs on it alone."""
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or getattr(sc, "_tideline_shared", None)
+    if not base:
+        if not re.fullmatch(r"local(\[[^]]*])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors can reach")
+        # That setting cannot be changed in a running session, so it is kept here.
+        base = sc._tideline_shared = "file://" + tempfile.mkdtemp(prefix="tideline-")
+    return base.rstrip("/")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder that all executors can reach, below spark.checkpoint.dir.
 
     Only where that setting is absent and Spark runs on this machine alone
-    (tests) is a temporary folder of it used; it is then set for the session.
-    On a cluster without the setting executors would write to their own disks:
-    ValueError.
+    (tests) is a temporary folder of it used. On a cluster without the setting
+    executors would write to their own disks: ValueError.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.fullmatch(r"local(\[[^]]*])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors can reach")
-        base = "file://" + tempfile.mkdtemp(prefix="tideline-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{_OWN}{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    return f"{_shared(spark)}/{_OWN}{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
 def sweep(spark: SparkSession, older: float = 7 * 86400.0) -> list[str]:
     """Delete the shared folders of other applications that have not added to them for so many seconds; their names."""
     from tideline.plans.commits import Folder, vacuum
 
-    folder = Folder(spark, shared_folder(spark).rsplit("/", 2)[0])
+    folder = Folder(spark, _shared(spark))
     return vacuum(folder, lambda name: not name.startswith(_OWN) or name == f"{_OWN}{spark.sparkContext.applicationId}", older)
 
 
