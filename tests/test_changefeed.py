@@ -127,3 +127,23 @@ def test_a_feed_that_changes_nothing(spark):
     assert table.apply(empty) == 0 and table.apply(empty) == 1 and table.rows().count() == 0
     table.apply(spark.createDataFrame([(1, "I", 1, 1, 5, "", 0)], FEED))
     assert table.apply(empty) == 3 and got(table.rows()) == [(1, 1, 5, 1)]
+
+
+@pytest.mark.parametrize("first", [True, False])
+def test_another_writer_is_first(spark, monkeypatch, first):
+    table = C.ChangeTable(spark, f"{shared_folder(spark)}/t")
+    rows = random_feed(90, 12, 2)
+    if not first:
+        table.apply(spark.createDataFrame(rows[::3], FEED))
+    commit, raced = CommitLog.commit, []
+
+    def racing(self, version, content):
+        if not raced:
+            raced.append(1)
+            C.ChangeTable(spark, table.path).apply(spark.createDataFrame(rows[1::3], FEED))
+        return commit(self, version, content)
+
+    monkeypatch.setattr(CommitLog, "commit", racing)
+    table.apply(spark.createDataFrame(rows[2::3], FEED))
+    want = brute(rows[2::3] + rows[1::3] + ([] if first else rows[::3]))
+    assert got(table.rows()) == sorted(want, key=lambda r: (r[0], r[1]))

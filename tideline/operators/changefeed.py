@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.operators.arrow_blocks import blocks, whole_groups
-from tideline.plans.commits import CommitLog, Folder, vacuum
+from tideline.plans.commits import CommitConflict, CommitLog, Folder, vacuum
 from tideline.session import materialise, shared_folder, ship, shuffle_partitions
 
 #: Spellings of operations, after trimming and lower-casing. Anything else changes nothing.
@@ -38,6 +38,9 @@ BUCKETS, PART_ROWS = 64, 1 << 22
 #: Memory of an embedded database; a bucket needs a small part of it.
 MEMORY = "1GB"
 
+#: A feed is applied again so often when another writer publishes first.
+ATTEMPTS = 8
+
 STATE = "address long, time long, payload long, change_seq long, deleted boolean"
 
 _CREATE = """
@@ -169,30 +172,39 @@ class ChangeTable:
         return self.state().filter(~F.col("deleted")).select("address", "time", "payload", "change_seq")
 
     def apply(self, feed: DataFrame) -> int:
-        """Apply a feed; the version published. CommitConflict if another writer was first."""
-        found = self.log.latest()
-        changes, data = changes_of(feed), f"data-{uuid.uuid4().hex}"
-        if found is None:
-            # Every part is new, so nothing needs to be known of the feed but about how long it is.
-            version, parts, held = 0, self._parts or max(shuffle_partitions(self.spark), -(-feed.count() // PART_ROWS)), {}
-            result = upsert(changes, None, parts)
-        else:
-            version, parts, held = found[0] + 1, found[1]["parts"], found[1]["held"]
-            # What tasks leave of the feed, written once: it is asked which parts it touches, and then upserted.
-            own = materialise(changes.mapInArrow(_local, STATE), "changes")
-            touched = {str(r.part): r.n for r in own.groupBy(part_of(parts).alias("part")).agg(F.count("*").alias("n")).collect()}
-            rows = sum(touched.values()) + sum(n for _, n in held.values())
-            before = {p: held[p] for p in touched if p in held}
-            if rows > PART_ROWS * parts:
-                parts, before, held = parts * 2 ** math.ceil(math.log2(rows / PART_ROWS / parts)), held, {}
-            result = upsert(own, self._read(before), parts, settled=True) if touched else None
-        if result is not None:
-            result.withColumn("part", part_of(parts)).write.partitionBy("part").parquet(f"{self.path}/{data}")
-            # By the folders' names and the files' own counts; as many rows as parts.
-            new = self.spark.read.schema(f"{STATE}, part int").parquet(f"{self.path}/{data}").groupBy("part").count().collect()
-            held = held | {str(r.part): [data, r["count"]] for r in new}
-        self.log.commit(version, {"parts": parts, "held": held})
-        return version
+        """Apply a feed; the version published.
+
+        If another writer is first, the feed is upserted into what that left.
+        """
+        changes, own = changes_of(feed), None
+        for _ in range(ATTEMPTS):
+            found = self.log.latest()
+            if found is None:
+                # Every part is new, so nothing needs to be known of the feed but about how long it is.
+                version, parts, held = 0, self._parts or max(shuffle_partitions(self.spark), -(-feed.count() // PART_ROWS)), {}
+                result = upsert(changes, None, parts)
+            else:
+                version, parts, held = found[0] + 1, found[1]["parts"], found[1]["held"]
+                # What tasks leave of the feed, written once: it is asked which parts it touches, and then upserted.
+                own = own or materialise(changes.mapInArrow(_local, STATE), "changes")
+                touched = {str(r.part): r.n for r in own.groupBy(part_of(parts).alias("part")).agg(F.count("*").alias("n")).collect()}
+                rows = sum(touched.values()) + sum(n for _, n in held.values())
+                before = {p: held[p] for p in touched if p in held}
+                if rows > PART_ROWS * parts:
+                    parts, before, held = parts * 2 ** math.ceil(math.log2(rows / PART_ROWS / parts)), held, {}
+                result = upsert(own, self._read(before), parts, settled=True) if touched else None
+            if result is not None:
+                data = f"data-{uuid.uuid4().hex}"
+                result.withColumn("part", part_of(parts)).write.partitionBy("part").parquet(f"{self.path}/{data}")
+                # By the folders' names and the files' own counts; as many rows as parts.
+                new = self.spark.read.schema(f"{STATE}, part int").parquet(f"{self.path}/{data}").groupBy("part").count().collect()
+                held = held | {str(r.part): [data, r["count"]] for r in new}
+            try:
+                self.log.commit(version, {"parts": parts, "held": held})
+                return version
+            except CommitConflict:
+                continue
+        raise CommitConflict(f"{self.path}: other writers were first {ATTEMPTS} times")
 
     def vacuum(self, older: float = 7 * 86400.0) -> list[str]:
         """Delete data that the newest version does not hold and that is older than so many seconds, and earlier versions."""
