@@ -19,6 +19,20 @@ def test_newest(spark):
     assert P.newest(spark.createDataFrame([], schema), 3).count() == 0
 
 
+def test_newest_is_limited_before_the_shuffle(spark):
+    plan = P.newest(spark.range(9).selectExpr("id % 2 AS address", "id AS time", "id AS seq"), 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("WindowGroupLimit") and plan.rindex("WindowGroupLimit") > plan.index("Exchange")
+
+
+def test_ties_of_versions(spark):
+    """The same result whatever the order of rows."""
+    schema = "address long, version long, value binary, seq long"
+    rows = [(1, 5, b"b", 2), (0, 5, b"a", 2), (1, 5, b"0", 3), (1, 4, b"z", 1), (3, -1, None, None), (3, -1, b"x", None)]
+    for order in (rows, rows[::-1]):
+        found = {r.address: r.value for r in P.latest_per_key(spark.createDataFrame(order, schema).coalesce(1)).collect()}
+        assert found == {1: b"a", 3: None}
+
+
 def test_sizes_and_pairs(spark):
     sizes = spark.createDataFrame([("simple", 0, 2, 1, 24), ("simple", 0, 4, 1, 48), ("extended", 0, 2, 1, 9)], "kind string, epoch long, bucket long, n long, bytes long")
     asked = spark.createDataFrame([("simple", 0, 2), ("extended", 0, 4), ("simple", 8, 2)], "kind string, epoch long, bucket long")

@@ -153,12 +153,12 @@ def with_offsets(extended: DataFrame, index: Index) -> DataFrame:
 
 
 def latest_per_key(entries: DataFrame) -> DataFrame:
-    """address, version, value: of every key the entry of the highest version, of ties the first written.
+    """address, version, value: of every key the entry of the highest version, of ties the first written, then the least value.
 
     entries: address, version, value, seq. 2k and 2k+1 are the same key, given
     as 2k+1. Versions are words. Null addresses or versions are no entries.
     """
     known = entries.filter(F.col("address").isNotNull() & F.col("version").isNotNull())
-    rank = F.struct((-1 - order_key(F.col("version"))).alias("v"), F.col("seq"))
+    rank = F.struct((-1 - order_key(F.col("version"))).alias("v"), F.col("seq"), F.col("value"))
     best = F.min_by(F.struct("version", "value"), rank)
     return known.groupBy(set_bit0(F.col("address")).alias("address")).agg(best.alias("best")).select("address", "best.version", "best.value")

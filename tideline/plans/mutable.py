@@ -119,10 +119,12 @@ class MutableStore:
         """Insert rows (address, value and a column of their order) as if one by one; only what is seen of it is stored.
 
         A key's version grows by the number of its rows. Rows with a null
-        address or value are left out. Keys are combined before the shuffle.
+        address or value are left out; those with a null order come first, and
+        of equal ones the greater value counts. Keys are combined before the
+        shuffle.
         """
         known = rows.filter(F.col("address").isNotNull() & F.col("value").isNotNull())
-        new = known.groupBy(set_bit0(F.col("address")).alias("address")).agg(F.max_by("value", order).alias("value"), F.count("*").alias("n"))
+        new = known.groupBy(set_bit0(F.col("address")).alias("address")).agg(F.max_by("value", F.struct(order, "value")).alias("value"), F.count("*").alias("n"))
         for _ in range(ATTEMPTS):
             version, state = self._state()
             old = latest_per_key(self._entries(state)).select("address", F.col("version").alias("old"))

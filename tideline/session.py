@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-#: Bytes of a row group of intermediate tables.
-ROW_GROUP = 16 << 20
+#: Bytes of a row group of intermediate tables: a task reads whole ones.
+ROW_GROUP = 8 << 20
 #: Parts that rows of one key are spread over where a join has to shuffle.
 SPREAD = 16
 #: How the shared folder of an application begins.
