@@ -101,3 +101,23 @@ def test_sweep(spark, tmp_path, monkeypatch):
         (tmp_path / name).mkdir()
     assert session.sweep(spark) == [] and session.sweep(spark, older=-1) == ["tideline-app-1"]
     assert sorted(p.name for p in tmp_path.iterdir()) == ["other", f"tideline-{spark.sparkContext.applicationId}"]
+
+
+def test_partitions_follow_what_is_read(spark, tmp_path, monkeypatch):
+    """More than the session says only where files are large; what Spark does not know does not count."""
+    spark.range(200_000).selectExpr("id % 7 AS address", "id AS time", "id AS payload", "id AS seq").write.parquet(f"{tmp_path}/t")
+    t = spark.read.parquet(f"{tmp_path}/t")
+    size = session.input_bytes(t)
+    assert size > 500_000 and session.input_bytes(t.filter("address = 3"), t) == 2 * size
+    joined = t.join(t.select("address", F.col("payload").alias("p")), "address").select("address").mapInArrow(lambda b: b, "address long")
+    assert session.input_bytes(joined) == 2 * size
+    assert session.input_bytes(spark.createDataFrame(spark.sparkContext.parallelize([(1,)]), "a int")) == 0
+    assert session.shuffle_partitions(spark, t) == session.shuffle_partitions(spark) == 4
+    monkeypatch.setattr(session, "PARTITION_BYTES", size // 9)
+    assert session.shuffle_partitions(spark, t) in (9, 10)
+    from tideline.operators import heavykeys, quotient
+
+    assert quotient.first_deliveries(t).rdd.getNumPartitions() in (9, 10)
+    assert {r.points for r in heavykeys.key_statistics(t).collect()} == {28571, 28572}
+    monkeypatch.setattr(session, "MOST_PARTITIONS", 6)
+    assert session.shuffle_partitions(spark, t) == 6

@@ -505,7 +505,7 @@ def implausible(points: DataFrame, windows: DataFrame, limits: DataFrame, only_f
     break limits. Empty tables give no rows.
     """
     spark = points.sparkSession
-    n = shuffle_partitions(spark)
+    n = shuffle_partitions(spark, points)
     firsts = first_deliveries(points.select("address", "time", "payload", "seq")).filter(F.col("payload").isNotNull() & F.col("seq").isNotNull())
     bounds = limits.filter(F.col("unit").isNotNull()).groupBy("unit").agg(F.max("lowest").alias("lowest"), F.min("highest").alias("highest"))
     unit = windows.filter(F.col("unit").isNotNull()).select("window_id", F.col("address").alias("u_address"), F.col("start_time").alias("u_start"), "unit").distinct()

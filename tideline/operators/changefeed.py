@@ -181,7 +181,7 @@ class ChangeTable:
             found = self.log.latest()
             if found is None:
                 # Every part is new, so nothing needs to be known of the feed but about how long it is.
-                version, parts, held = 0, self._parts or max(shuffle_partitions(self.spark), -(-feed.count() // PART_ROWS)), {}
+                version, parts, held = 0, self._parts or max(shuffle_partitions(self.spark, feed), -(-feed.count() // PART_ROWS)), {}
                 result = upsert(changes, None, parts)
             else:
                 version, parts, held = found[0] + 1, found[1]["parts"], found[1]["held"]

@@ -154,7 +154,7 @@ def key_statistics(points: DataFrame) -> DataFrame:
         "address", F.col("time").isNotNull().alias("timed"), F.coalesce(order_key(F.col("time")), F.lit(int(_I64.min))).alias("at"), "payload"
     )
     # The payload is the last part of the composite: rows alike in key and time can be split, too.
-    parts = rows.repartitionByRange(shuffle_partitions(spark), "address", "timed", "at", "payload").sortWithinPartitions("address", "timed", "at")
+    parts = rows.repartitionByRange(shuffle_partitions(spark, points), "address", "timed", "at", "payload").sortWithinPartitions("address", "timed", "at")
     states = parts.mapInArrow(_partials, STATE)
     some = F.col("n_payload") > 0
     return _stitched(states).select(

@@ -163,7 +163,7 @@ def _deliveries(df: DataFrame, keys: tuple[str, str], order: str, later: bool) -
                 out[open_] = at > _least(slot, at) if later else _first(slot, at, part, np.arange(len(at)))
             yield from emit(rows.select(columns).filter(pa.array(out)))
 
-    n = shuffle_partitions(df.sparkSession)
+    n = shuffle_partitions(df.sparkSession, df)
     return (
         (df.filter(whole) if later else df)
         .mapInArrow(local, schema)

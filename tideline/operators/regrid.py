@@ -288,5 +288,5 @@ def regular_grid(points: DataFrame, windows: DataFrame, bandwidth: float = BANDW
     before = F.col("chunk") * SLOT_CHUNK
     width = F.least(F.lit(SLOT_CHUNK).cast("long"), F.col("slots") - before)
     places = parts.select("wid", "chunk", width.alias("width"), "step_ns", "window_id", "address", "start_time", before.alias("before")).mapInArrow(_chunks, _CELL)
-    ordered = cells.unionByName(places).repartition(shuffle_partitions(spark), "wid", "chunk").sortWithinPartitions("wid", "chunk", "slot")
+    ordered = cells.unionByName(places).repartition(shuffle_partitions(spark, points, w), "wid", "chunk").sortWithinPartitions("wid", "chunk", "slot")
     return ordered.mapInArrow(_evaluated(bandwidth, min_support), RESULT)

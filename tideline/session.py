@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of a row group of intermediate tables: a task reads whole ones.
 ROW_GROUP = 8 << 20
+#: Bytes of input for each partition of a shuffle, and the most partitions that are asked for on that account.
+PARTITION_BYTES, MOST_PARTITIONS = 32 << 20, 100_000
 #: Parts that rows of one key are spread over where a join has to shuffle.
 SPREAD = 16
 #: How the shared folder of an application begins.
@@ -49,8 +51,21 @@ def ship(spark: SparkSession) -> None:
     sc._tideline_shipped = True
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+def input_bytes(*dfs: DataFrame) -> int:
+    """Bytes of the files and local rows that DataFrames read, as far as Spark knows them without a job."""
+    total = 0
+    for df in dfs:
+        leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+        sizes = (int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+        # Of what is not known Spark says that it is very large.
+        total += sum(x for x in sizes if x < 1 << 60)
+    return total
+
+
+def shuffle_partitions(spark: SparkSession, *reads: DataFrame) -> int:
+    """Partitions of a shuffle: as many as the session says, and more where PARTITION_BYTES of what is read for each would not do."""
+    asked = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(1, asked, min(MOST_PARTITIONS, -(-input_bytes(*reads) // PARTITION_BYTES)))
 
 
 def _shared(spark: SparkSession) -> str:
