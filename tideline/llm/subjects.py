@@ -20,7 +20,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -65,6 +67,8 @@ STEPS = 40
 _UPPER = "A-ZÀ-ÖØ-Þ"
 #: Parts of identifiers: runs of capitals, or a letter with the small ones after it.
 _TERMS = re.compile(rf"[{_UPPER}]+(?![^\W\d_{_UPPER}])|[{_UPPER}]?[^\W\d_{_UPPER}]+").findall
+#: Runs of letters, which the parts of an identifier never cross; the same in ASCII texts, where smaller sets are faster.
+_LETTERS, _ASCII_LETTERS = re.compile(r"[^\W\d_]+").findall, re.compile(r"[A-Za-z]+").findall
 #: Runs of scripts that put no spaces between words (Thai, Lao, Burmese, Khmer, Japanese, Chinese), and Korean, whose words are mostly of two.
 _UNSPACED = re.compile("[\u0e01-\u0e4e\u0e81-\u0ece\u1000-\u103f\u1780-\u17d3\u3005\u3041-\u3096\u30a1-\u30fa\u30fc\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7a3\uf900-\ufaff\U00020000-\U000323af]+")
 _COMMENTS_AT_START = re.compile(r"\A(?:[ \t]*(?://|#|/\*|\*|--|<!--|;|%)[^\n]*\n)+")
@@ -80,22 +84,35 @@ def terms(text: str) -> dict[str, int]:
     """
     head = _COMMENTS_AT_START.match(text)
     body = text[head.end() :] if head and _LICENCE.search(head.group()) else text
-    words = _TERMS(body)
-    if not words:
-        body, words = text, _TERMS(text)
+    find = _ASCII_LETTERS if text.isascii() else _LETTERS
+    runs = find(body)
+    if not runs:
+        body, runs = text, find(text)
     out: dict[str, int] = {}
     if not body.isascii() and _UNSPACED.search(body):
-        words = [part for w in words for part in _UNSPACED.split(w)]
         for run in _UNSPACED.findall(body):
             for pair in map("".join, zip(run, run[1:])):
                 out[pair] = out.get(pair, 0) + 1
-    for w in words:
-        if len(w) >= 3:
-            w = w.lower()
-            out[w] = out.get(w, 0) + 1
+    for run, n in Counter(runs).items():
+        for w in _words(run):
+            out[w] = out.get(w, 0) + n
     return out
 
 
+#: Runs of letters and terms that a worker remembers.
+REMEMBERED = 1 << 17
+
+
+@lru_cache(REMEMBERED)
+def _words(run: str) -> tuple[str, ...]:
+    """Terms of a run of letters, without those of scripts that are taken by pairs."""
+    parts = _TERMS(run)
+    if not run.isascii():
+        parts = [part for w in parts for part in _UNSPACED.split(w)]
+    return tuple(w.lower() for w in parts if len(w) >= 3)
+
+
+@lru_cache(REMEMBERED)
 def _dimension(term: str) -> int:
     return zlib.crc32(term.encode("utf-8")) % DIMENSIONS
 
