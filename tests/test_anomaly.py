@@ -84,6 +84,48 @@ def test_nulls_repeats_and_empty(spark):
     assert none.count() == 0
 
 
+def test_pieces_of_groups():
+    """Groups of any size, in blocks of any size: nothing lost, pieces numbered, no group above the bound held."""
+    import pyarrow as pa
+
+    from tideline.operators import arrow_blocks
+
+    rng = np.random.default_rng(4)
+    key = np.repeat(np.arange(40), rng.integers(1, 60, 40))
+    rows = pa.table({"k": key, "v": np.arange(len(key))})
+    for size, least, most in ((1, 1, 1), (7, 3, 20), (5, 9, 25), (1000, 10, 30), (3, 2, 10**6)):
+        found, at, last = [], 0, {}
+        for table, number in arrow_blocks.pieces(iter(rows.to_batches(max_chunksize=size)), "k", least, most):
+            k = table.column("k").to_pylist()
+            assert table.column("v").to_pylist() == list(range(at, at + len(k)))
+            at += len(k)
+            for i, g in enumerate(dict.fromkeys(k)):
+                n = number if i == 0 else None
+                assert (n is None and g not in last) or n == last.get(g, -1) + 1
+                last[g] = n if n is not None else 10**9
+                if n is None:
+                    assert k.count(g) == (key == g).sum()
+            found += k
+        assert at == len(key)
+    assert not list(arrow_blocks.pieces(iter([]), "k", 1, 1))
+
+
+def test_readings_that_crowd_into_a_slot(spark):
+    """One unit with most readings of a window of one unit is cut and gives what it gives whole."""
+    v = wave(30_000, 6)
+    v[12_000:12_020] = v[12_000]
+    v[20_000] += 900
+    rows = [(2, BASE + k, int(x), k, 1, "") for k, x in enumerate(v)] + [(2, BASE + 10**12 + k, int(x), 10**6 + k, 1, "") for k, x in enumerate(v[:5])]
+    points = spark.createDataFrame(rows, POINTS)
+    windows = spark.createDataFrame([(0, 2, "u", BASE, 10**9, 3000, 1)], WINDOWS)
+    out = A.implausible(points, windows, spark.createDataFrame([("u", 0, 0, 10_000)], UNITS), True)
+    want = {r.seq: (r.reason, r.run) for r in out.collect()}
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(A, "PIECE", 500)
+        assert {r.seq: (r.reason, r.run) for r in A.implausible(points, windows, spark.createDataFrame([("u", 0, 0, 10_000)], UNITS), True).collect()} == want
+    assert {k for k, (r, _) in want.items() if r == "stuck"} >= set(range(12_000, 12_020)) and want[20_000][0] == "spike"
+
+
 def test_packing():
     v = np.array([2**63 - 1, -(2**63), 0, 5, -7], np.int64)
     assert (A._unpacked(A._packed(v)) == v).all()
@@ -156,9 +198,9 @@ def test_rows_that_are_no_readings_cut_nothing(spark):
     assert {k: (r.run, r.deviation, r.reason) for k, r in found.items()} == {k: (r.run, r.deviation, r.reason) for k, r in alone.items()}
 
 
-@pytest.mark.parametrize("steps, part", [(1, 4096), (3, 4096), (16, 4096), (1, 7), (3, 2), (16, 1)])
-def test_units_of_any_length_give_the_same(spark, monkeypatch, steps, part):
-    """Runs over many units and parts of windows, empty units and readings with no neighbour in their unit."""
+@pytest.mark.parametrize("steps, part, piece", [(1, 4096, 9), (3, 4096, 1 << 16), (16, 4096, 1 << 16), (1, 7, 1 << 16), (3, 2, 2), (16, 1, 1), (4096, 4096, 1)])
+def test_units_of_any_length_give_the_same(spark, monkeypatch, steps, part, piece):
+    """Runs over many units and parts of windows, units in pieces, empty units and readings with no neighbour in their unit."""
     monkeypatch.setattr(A, "PART_UNITS", part)
     series = {2: list(wave(400, 7)), 4: list(wave(400, 8))}
     for v in series.values():
@@ -168,6 +210,7 @@ def test_units_of_any_length_give_the_same(spark, monkeypatch, steps, part):
         v[301], v[310] = -5, 20_000
     whole = run(spark, series)
     monkeypatch.setattr(A, "BLOCK", steps)
+    monkeypatch.setattr(A, "PIECE", piece)
     cut = run(spark, series)
     assert whole.keys() == cut.keys()
     for k, r in whole.items():

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.functions.u64 import order_key
-from tideline.operators.arrow_blocks import blocks, whole_groups
+from tideline.operators.arrow_blocks import blocks, pieces, whole_groups
 from tideline.operators.forest import LEVELS, SAMPLE, scores
 from tideline.operators.quotient import first_deliveries
 from tideline.operators.regrid import in_windows, proper_windows
@@ -50,6 +50,8 @@ FAR, PER_DOUBLING = 8.0, 4.0
 FAR_RUN = 5.0
 #: Units of a window whose edges are gone through together; the number that stands for what lies beside them.
 PART_UNITS, BESIDE = 4096, -1
+#: Readings from which on a unit is cut into pieces, whatever its length; pieces of a unit at most.
+PIECE, PIECES = 1 << 16, 1 << 16
 #: Rows that a task takes at a time; sources whose forests are grown together.
 ROWS, TOGETHER = 1 << 16, 256
 #: Models (2 KB at most) and contexts of units (300 bytes) up to which they are broadcast; beyond, both sides are shuffled.
@@ -148,32 +150,41 @@ def _hour(at: np.ndarray) -> np.ndarray:
     return ((at.view(np.uint64) ^ np.uint64(1 << 63)) // np.uint64(_HOUR) % np.uint64(24)).astype(np.int8)
 
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of readings, sorted by unit and time, to one row per unit with its edge, if its window has others."""
-    for rows in whole_groups(batches, "unit_key", ROWS):
-        get = {c: rows.column(c).to_numpy() for c in ("window_id", "start", "block", "at", "seq", "payload", "flags", "address", "unit_key")}
-        key = np.stack([get["unit_key"], get["address"], get["block"]])
-        group = np.cumsum(np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0)]) - 1
-        p, flags = get["payload"], get["flags"]
-        out = (flags & _OUT) > 0
-        run, first = _runs(group, p)
-        start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-        found = []
-        for a, b in zip(start, np.r_[start[1:], len(group)]):
-            s, edge = slice(a, b), None
-            if not flags[a] & _ONLY:
-                inside = p[s][~out[s]]
-                ends = [(int(p[k]), int(run[k])) for k in (a, b - 1)]
-                edge = pickle.dumps(_Edge(int(b - a), int((first[s] & ~out[s]).sum()), bool(not out[a]), inside[:SIDE].tolist(), inside[-SIDE:].tolist(), *ends))
-            found.append((
-                *(int(get[c][a]) for c in ("address", "window_id", "start", "block")), bool(flags[a] & _SOLO),
-                _packed(get["seq"][s]), _packed(get["at"][s]), _packed(p[s]), out[s].tobytes(), edge,
-            ))
-        names = ["address", "window_id", "start", "block", "solo", "seq", "time", "payload", "out", "edge"]
-        kinds = [*[pa.int64()] * 4, pa.bool_(), *[pa.binary()] * 5]
-        for k in range(0, len(found), 512):
-            part = list(zip(*found[k : k + 512]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(part, kinds)], names)
+def _units(most: int):
+    """Rows of readings, sorted by unit and time, to one row per unit with its edge, if its window has others.
+
+    A unit that has many more readings than it should is cut into units of
+    about `most`; its block and the number of the piece make theirs.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, number in pieces(batches, "unit_key", ROWS, most):
+            get = {c: rows.column(c).to_numpy() for c in ("window_id", "start", "block", "at", "seq", "payload", "flags", "address", "unit_key")}
+            key = np.stack([get["unit_key"], get["address"], get["block"]])
+            group = np.cumsum(np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0)]) - 1
+            p, flags = get["payload"], get["flags"]
+            out = (flags & _OUT) > 0
+            run, first = _runs(group, p)
+            start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+            found = []
+            for a, b in zip(start, np.r_[start[1:], len(group)]):
+                s, edge = slice(a, b), None
+                cut = number is not None and get["unit_key"][a] == get["unit_key"][0]
+                if cut or not flags[a] & _ONLY:
+                    inside = p[s][~out[s]]
+                    ends = [(int(p[k]), int(run[k])) for k in (a, b - 1)]
+                    edge = pickle.dumps(_Edge(int(b - a), int((first[s] & ~out[s]).sum()), bool(not out[a]), inside[:SIDE].tolist(), inside[-SIDE:].tolist(), *ends))
+                found.append((
+                    *(int(get[c][a]) for c in ("address", "window_id", "start")), int(get["block"][a]) * PIECES + (number if cut else 0), bool(flags[a] & _SOLO) and not cut,
+                    _packed(get["seq"][s]), _packed(get["at"][s]), _packed(p[s]), out[s].tobytes(), edge,
+                ))
+            names = ["address", "window_id", "start", "block", "solo", "seq", "time", "payload", "out", "edge"]
+            kinds = [*[pa.int64()] * 4, pa.bool_(), *[pa.binary()] * 5]
+            for k in range(0, len(found), 512):
+                part = list(zip(*found[k : k + 512]))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(part, kinds)], names)
+
+    return run
 
 
 class _Edge:
@@ -284,7 +295,7 @@ def _stitched(units: DataFrame, longest: int, n: int) -> DataFrame:
     tell what lies beside each part, so no task has more than a part of a
     window's units, or its parts.
     """
-    part = F.expr(f"block div {PART_UNITS}")
+    part = F.expr(f"block div {PART_UNITS * PIECES}L")
     edges = units.filter(F.col("edge").isNotNull()).select("address", "window_id", "start", part.alias("part"), "block", "edge")
     key = F.xxhash64(*_KEYS).alias("part_key")
     if longest > PART_UNITS:
@@ -537,7 +548,7 @@ def implausible(points: DataFrame, windows: DataFrame, limits: DataFrame, only_f
         F.xxhash64("window_id", "address", "start_time", "block").alias("unit_key"),
     )
     sorted_rows = rows.repartition(n, "unit_key").sortWithinPartitions("unit_key", "address", "block", "at", "seq")
-    units = materialise(sorted_rows.mapInArrow(_units, _UNIT), "units")
+    units = materialise(sorted_rows.mapInArrow(_units(PIECE), _UNIT), "units")
     longest = proper.agg(F.coalesce(F.max("blocks"), F.lit(0))).first()[0]
     contexts = materialise(_stitched(units, longest, n), "contexts")
     place = [F.col(c) == F.col(f"c_{c}") for c in ("address", "window_id", "start", "block")]

@@ -41,5 +41,27 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int) -> Iter
         yield held
 
 
+def pieces(batches: Iterator[pa.RecordBatch], key: str, rows: int, most: int) -> Iterator[tuple[pa.Table, int | None]]:
+    """Blocks of whole groups, from rows sorted by a non-null LONG key; a group of `most` rows and more comes in pieces.
+
+    With each block comes the number of the piece that its first group is, from
+    0 on, or None if that is whole. So no group is held whole, however large.
+    """
+    held, split, number = None, None, 0
+    for block in blocks(batches, rows):
+        held = block if held is None else pa.concat_tables([held, block])
+        ids = held.column(key).to_numpy()
+        end = int(np.searchsorted(ids, ids[-1]))
+        if end:
+            yield held.slice(0, end), number if ids[0] == split else None
+            split, held = None, held.slice(end)
+        if held.num_rows >= most:
+            number = number if ids[-1] == split else 0
+            yield held, number
+            split, number, held = ids[-1], number + 1, None
+    if held is not None:
+        yield held, number if held.column(key)[0].as_py() == split else None
+
+
 def emit(table: pa.Table) -> Iterator[pa.RecordBatch]:
     yield from table.combine_chunks().to_batches(max_chunksize=1 << 17)
